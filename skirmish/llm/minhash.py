@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, id_text, map_texts, materialize
+from .common import components, id_text, links_in_buckets, map_texts, materialize
 from .wordhash import GOLDEN, Words, digest, grams, mix
 
 WIDTH = 5
@@ -144,34 +144,6 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float, width: int) -
     return both.where(F.col("similarity") >= similarity)
 
 
-def links_in_buckets(buckets: DataFrame, check) -> DataFrame:
-    """Links (a, b) between members of buckets (bucket, id), without pairing all members of a bucket.
-
-    Every member is checked against the bucket's leader, its smallest id. Members that miss their leader elect leaders
-    among themselves (the smallest and the largest), which are checked against the whole bucket, and so on until each
-    member has a leader in each bucket: links between two members of one leader are implied, links of leaders are exact.
-    """
-    heads = buckets.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last")
-    members = materialize(buckets.join(heads.drop("last"), "bucket"))
-    asked = materialize(members.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct())
-    links = materialize(check(asked))
-    open_ = materialize(members.where("id <> leader").join(links.select(F.col("a").alias("id"), F.col("b").alias("leader")), ["id", "leader"], "left_anti").select("bucket", "id"))
-    while not open_.isEmpty():
-        lead = open_.groupBy("bucket").agg(F.array_distinct(F.array(F.min("id"), F.max("id"))).alias("leaders"))
-        pairs = members.select("bucket", "id").join(lead, "bucket").select("bucket", "id", F.explode("leaders").alias("leader")).where("id <> leader")
-        fresh = pairs.select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b")).distinct().join(asked, ["a", "b"], "left_anti")
-        fresh = materialize(fresh)
-        found = materialize(check(fresh))
-        links, asked = links.unionByName(found), asked.unionByName(fresh)
-        led = open_.join(lead.select("bucket", F.explode("leaders").alias("leader")), "bucket")
-        # leaders are done; so is a member that one of the leaders, of this round or before, links with
-        known = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hit = led.join(known.select(F.col("a").alias("id"), F.col("b").alias("leader")), ["id", "leader"], "left_semi").select("bucket", "id")
-        done = hit.unionByName(led.where("id = leader").select("bucket", "id")).distinct()
-        open_ = materialize(open_.join(done, ["bucket", "id"], "left_anti"))
-    return links
-
-
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id, kept): classes of documents joined by links of weighted Jaccard ``similarity`` or more.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, minhash, packing, substrings, token_counts, unigram
+from . import edit_fingerprints, licenses, minhash, packing, substrings, token_counts, unigram
 from .common import table
 
 
@@ -38,6 +38,10 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_fingerprints.edit_likeness(table(spark, sf_dir, "documents"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = substrings.substring_dedup(table(spark, sf_dir, "documents"))
     return made.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"), F.size("spans").alias("n_spans"))
@@ -50,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_counts": op3_token_counts,
         "op4_sentencepiece": op4_sentencepiece,
         "op5_minhash_dedup": op5_minhash_dedup,
+        "op8_edit_fingerprints": op8_edit_fingerprints,
         "op9_substring_dedup": op9_substring_dedup,
     }
 
