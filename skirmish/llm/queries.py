@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import edit_fingerprints, licenses, minhash, packing, substrings, token_counts, unigram
+from . import edit_fingerprints, embeddings, licenses, minhash, packing, substrings, token_counts, unigram
 from .common import table
 
 
@@ -47,6 +47,10 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"), F.size("spans").alias("n_spans"))
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
@@ -56,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_minhash_dedup": op5_minhash_dedup,
         "op8_edit_fingerprints": op8_edit_fingerprints,
         "op9_substring_dedup": op9_substring_dedup,
+        "op10_embedding_dedup": op10_embedding_dedup,
     }
 
 
