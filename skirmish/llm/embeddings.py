@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import components, materialize
 
 COSINE = 0.95
-EXPECTED = 10.0
+EXPECTED, LEAST = 12.0, 12
 BLOCK = 512
 
 
@@ -29,13 +29,13 @@ class Codes:
     The threshold is that which a random unit vector exceeds in about ``expected`` of the size**2 filters.
     """
 
-    def __init__(self, dim: int, size: int, expected: float):
+    def __init__(self, dim: int, size: int, expected: float, least: int = LEAST):
         from statistics import NormalDist
 
         rng = np.random.default_rng([dim, size])
         self.turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
         self.half = max(1, dim // 2)
-        self.size = size
+        self.size, self.least = size, least
         self.codes = []
         for width in (self.half, dim - self.half):
             c = rng.standard_normal((size, width))
@@ -43,25 +43,29 @@ class Codes:
         self.threshold = NormalDist().inv_cdf(1 - min(0.5, expected / size**2)) if dim > 1 else -np.inf
 
     def passed(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, filter) of all filters that unit vectors exceed, and for each row its best one whatever its score."""
+        """(row, filter) of all filters that unit vectors exceed, and of the ``least`` best ones of each whatever the score."""
         x = unit @ self.turn
         a, b = x[:, : self.half] @ self.codes[0].T, x[:, self.half :] @ self.codes[1].T
         ia, ib = np.argsort(-a, axis=1), np.argsort(-b, axis=1)
         a, b = np.take_along_axis(a, ia, 1), np.take_along_axis(b, ib, 1)
-        rows, filters = [np.arange(len(x))], [ia[:, 0] * self.size + ib[:, 0]]
+        k = min(self.least, self.size**2)
+        # the k best sums are among the places (p, q) that at most k places dominate
+        near = [(p, q) for p in range(min(k, self.size)) for q in range(min(k // (p + 1), self.size))]
+        kth = np.sort(np.stack([a[:, p] + b[:, q] for p, q in near], 1), axis=1)[:, -k]
+        least = np.minimum(self.threshold, kth)
+        rows, filters = [], []
         live = np.arange(len(x))
         for p in range(self.size):
-            live = live[a[live, p] + b[live, 0] > self.threshold]
+            live = live[a[live, p] + b[live, 0] >= least[live]]
             if not len(live):
                 break
             now = live
             for q in range(self.size):
-                now = now[a[now, p] + b[now, q] > self.threshold]
+                now = now[a[now, p] + b[now, q] >= least[now]]
                 if not len(now):
                     break
-                if p or q:
-                    rows.append(now)
-                    filters.append(ia[now, p] * self.size + ib[now, q])
+                rows.append(now)
+                filters.append(ia[now, p] * self.size + ib[now, q])
         return np.concatenate(rows), np.concatenate(filters)
 
 
@@ -71,7 +75,7 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 def code_size(vectors: int) -> int:
     """A power of two that keeps the mean number of vectors in a filter about the same at every size of the table."""
-    return int(min(1 << 14, max(8, 2 ** round(np.log2(max(vectors, 1) ** 0.5)))))
+    return int(min(1 << 14, max(8, 2 ** round(np.log2(max(vectors, 1) ** 0.5 / 2)))))
 
 
 def filtered(reps: DataFrame, size: int, expected: float) -> DataFrame:
