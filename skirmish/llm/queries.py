@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import edit_fingerprints, embeddings, licenses, minhash, packing, substrings, token_counts, unigram
+from . import edit_fingerprints, embeddings, licenses, minhash, packing, quality, substrings, token_counts, unigram
 from .common import table
 
 
@@ -38,6 +38,10 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_fingerprints.edit_likeness(table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_counts": op3_token_counts,
         "op4_sentencepiece": op4_sentencepiece,
         "op5_minhash_dedup": op5_minhash_dedup,
+        "op6_quality_classifier": op6_quality_classifier,
         "op8_edit_fingerprints": op8_edit_fingerprints,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_embedding_dedup": op10_embedding_dedup,
