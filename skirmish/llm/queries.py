@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import edit_fingerprints, embeddings, licenses, minhash, packing, quality, substrings, token_counts, unigram
+from . import edit_fingerprints, embeddings, licenses, minhash, packing, pii, quality, substrings, token_counts, unigram
 from .common import table
 
 
@@ -42,6 +42,11 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = pii.find(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.encode("base", "UTF-8"), 256).alias("base_sha256"), "spans")
+
+
 def op8_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_fingerprints.edit_likeness(table(spark, sf_dir, "documents"))
 
@@ -63,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_sentencepiece": op4_sentencepiece,
         "op5_minhash_dedup": op5_minhash_dedup,
         "op6_quality_classifier": op6_quality_classifier,
+        "op7_pii": op7_pii,
         "op8_edit_fingerprints": op8_edit_fingerprints,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_embedding_dedup": op10_embedding_dedup,
