@@ -116,6 +116,22 @@ def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
     return np.cumsum(step[:n]) > 0
 
 
+def judged(text: str, first: int | None, places: list[int] | None, window: int) -> tuple[list[str], np.ndarray]:
+    """(words, which of them go) of a text, given what repeats() found for it."""
+    words = _WORD.findall(text)
+    gone = np.zeros(len(words), bool)
+    if first is not None:
+        gone[:] = len(words) >= window
+    elif places:
+        at = np.array(places)
+        gone = covered(len(words), at[at < len(words)], window)
+    return words, gone
+
+
+def kept(words: list[str], gone: np.ndarray) -> str:
+    return " ".join(w for w, x in zip(words, gone.tolist(), strict=True) if not x)
+
+
 def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, spans, kept_text) of every row; a word goes if a window of ``window`` words over it
     starts in a document with a smaller doc_id too.
@@ -131,19 +147,36 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, id_
     def run(cols: dict) -> dict:
         out: dict[str, list] = {"doc_id": cols["doc_id"], "n_words": [], "n_removed": [], "spans": [], "kept_text": []}
         for text, first, places in zip(cols["text"], cols["first"], cols["places"], strict=True):
-            words = _WORD.findall(text)
-            n = len(words)
-            gone = np.zeros(n, bool)
-            if first is not None:
-                gone[:] = n >= window
-            elif places:
-                at = np.array(places)
-                gone = covered(n, at[at < n], window)
+            words, gone = judged(text, first, places, window)
             edge = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
-            out["n_words"].append(n)
+            out["n_words"].append(len(words))
             out["n_removed"].append(int(gone.sum()))
             out["spans"].append([{"start": int(a), "end": int(b)} for a, b in zip(edge[0::2], edge[1::2], strict=True)])
-            out["kept_text"].append(" ".join(w for w, x in zip(words, gone.tolist(), strict=True) if not x))
+            out["kept_text"].append(kept(words, gone))
         return out
 
     return map_texts(joined, run, "doc_id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept_text string")
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with all columns, repeated words taken out of ``text_col``; texts that lose no word stay as they are."""
+    found = repeats(id_text(docs, id_col, text_col), window, seed).dropDuplicates(["doc_id"])
+    mark = F.struct("first", "places").alias("__found")
+    joined = docs.join(found.select(F.col("doc_id").alias("__id"), mark), docs[id_col].cast("long") == F.col("__id"), "left").drop("__id")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            names = batch.schema.names[:-1]
+            at, texts = names.index(text_col), batch.column(text_col).to_pylist()
+            for k, (text, hit) in enumerate(zip(texts, batch.column("__found").to_pylist(), strict=True)):
+                if text is not None and hit is not None:
+                    words, gone = judged(text, hit["first"], hit["places"], window)
+                    if gone.any():
+                        texts[k] = kept(words, gone)
+            cols = [batch.column(i) for i in range(len(names))]
+            cols[at] = pa.array(texts, cols[at].type)
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return joined.mapInArrow(run, docs.schema)
