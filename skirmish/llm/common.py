@@ -7,8 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -97,30 +98,111 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def links_in_buckets(buckets: DataFrame, check: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Links (a, b) between members of buckets (bucket, id), without pairing all members of a bucket.
+def in_block_pairs(rows: DataFrame, keys: list[str], block: int) -> DataFrame:
+    """Deals the rows of each key to groups in which every two of its rows meet at least once.
 
-    ``check`` gives those of some pairs (a, b) that are links.
-    Every member is checked against the bucket's leader, its smallest id. Members that miss their leader elect leaders
-    among themselves (the smallest and the largest), which are checked against the whole bucket, and so on until each
-    member has a leader in each bucket: links between two members of one leader are implied, links of leaders are exact.
+    Rows fall into blocks of about ``block`` by their id; a group is a pair of blocks (u, v), ``mine`` a row's own. A key
+    with few rows is one group; a hot one is spread over many tasks, none with more than about two blocks. 
+    """
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("__n")).where("__n > 1")
+    cut = rows.join(sizes, keys).withColumn("__blocks", F.ceil(F.col("__n") / block).cast("int"))
+    cut = cut.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("__blocks")).cast("int")).drop("__n")
+    cut = cut.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
+    cut = cut.withColumns({"u": F.least("mine", "__other"), "v": F.greatest("mine", "__other")}).drop("__blocks", "__other")
+    return cut
+
+
+def map_groups(dealt: DataFrame, keys: list[str], fn: Callable[[pa.Table], dict | None], schema: str) -> DataFrame:
+    """``fn`` maps each group of in_block_pairs(), a table of two rows at least, to a dict of columns or None."""
+    names = [*keys, "u", "v"]
+    dealt = dealt.repartition(*names).sortWithinPartitions(*names)
+    out = dealt.sparkSession.createDataFrame([], schema).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(out)
+        held: pa.Table | None = None
+
+        def groups(table: pa.Table, last: bool) -> Iterator[dict]:
+            """All groups that end in ``table``; the rows of its last one, which may go on, are held back."""
+            nonlocal held
+            key = np.stack([np.array(table.column(k)).astype(np.int64) for k in names], 1)
+            edge = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, [len(key)]))
+            stop = len(edge) - (1 if last else 2)
+            for a, b in zip(edge[:stop], edge[1 : stop + 1], strict=True):
+                if b - a > 1 and (made := fn(table.slice(a, b - a))):
+                    yield made
+            held = None if last else table.slice(edge[stop])
+
+        def packed(made: list[dict]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([m[f.name] for m in made]), f.type) for f in arrow], schema=arrow)
+
+        for batch in batches:
+            new = pa.Table.from_batches([batch])
+            if made := list(groups(new if held is None else pa.concat_tables([held, new]), False)):
+                yield packed(made)
+        if held is not None and (made := list(groups(held, True))):
+            yield packed(made)
+
+    return dealt.mapInArrow(run, out)
+
+
+def group_components(hit: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The smallest id that links reach within a group."""
+    low = ids.copy()
+    some = np.flatnonzero(hit.any(axis=1))
+    while True:
+        new = low.copy()
+        for i in some:
+            new[i] = min(low[i], low[hit[i]].min())
+        if (new == low).all():
+            return low
+        low = new
+
+
+def cross_only(hit: np.ndarray, table: pa.Table) -> np.ndarray:
+    """Of a group's links those between its two blocks, or all of them in a group of one block; none of a row with itself."""
+    np.fill_diagonal(hit, False)
+    if table.column("u")[0] != table.column("v")[0]:
+        mine = np.array(table.column("mine"))
+        hit &= mine[:, None] != mine[None, :]
+    return hit
+
+
+def links_in_buckets(buckets: DataFrame, items_of: Callable[[DataFrame], DataFrame], pair: Column, hits: Callable[[pa.Table], np.ndarray], block: int = 512) -> DataFrame:
+    """Links (a, b) whose components are those of all links between members of a bucket (bucket, id).
+
+    ``items_of`` gets the ids that have a partner (doc_id) and gives (id, items); ``pair`` says from columns x and y, two
+    rows' items, whether they link; ``hits`` does the same for all rows of a group at once. No member is paired with all
+    others as rows: first each is checked against its bucket's leader, the smallest id. That settles all buckets whose
+    members then share a component. In the others, the members (less the leader, whose links are known) are compared in
+    blocks inside tasks, so no link is missed, and each comes out with the smallest id that it reaches there.
     """
     heads = buckets.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last")
-    members = materialize(buckets.join(heads.drop("last"), "bucket"))
-    asked = materialize(members.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct())
-    links = materialize(check(asked))
-    open_ = materialize(members.where("id <> leader").join(links.select(F.col("a").alias("id"), F.col("b").alias("leader")), ["id", "leader"], "left_anti").select("bucket", "id"))
-    while not open_.isEmpty():
-        lead = open_.groupBy("bucket").agg(F.array_distinct(F.array(F.min("id"), F.max("id"))).alias("leaders"))
-        pairs = members.select("bucket", "id").join(lead, "bucket").select("bucket", "id", F.explode("leaders").alias("leader")).where("id <> leader")
-        fresh = pairs.select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b")).distinct().join(asked, ["a", "b"], "left_anti")
-        fresh = materialize(fresh)
-        found = materialize(check(fresh))
-        links, asked = links.unionByName(found), asked.unionByName(fresh)
-        led = open_.join(lead.select("bucket", F.explode("leaders").alias("leader")), "bucket")
-        # leaders are done; so is a member that one of the leaders, of this round or before, links with
-        known = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hit = led.join(known.select(F.col("a").alias("id"), F.col("b").alias("leader")), ["id", "leader"], "left_semi").select("bucket", "id")
-        done = hit.unionByName(led.where("id = leader").select("bucket", "id")).distinct()
-        open_ = materialize(open_.join(done, ["bucket", "id"], "left_anti"))
-    return links
+    members = materialize(buckets.join(heads.drop("last"), "bucket").distinct())
+    items = materialize(items_of(members.select(F.col("id").alias("doc_id")).distinct()))
+    asked = members.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
+    both = asked.join(items.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(items.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
+    links = materialize(both.where(pair).select("a", "b"))
+    label = materialize(components(links))
+    mine = label.select(F.col("node").alias("id"), F.col("component").alias("x"))
+    theirs = label.select(F.col("node").alias("leader"), F.col("component").alias("y"))
+    rest = members.where("id <> leader").join(mine, "id", "left").join(theirs, "leader", "left")
+    rest = rest.select("bucket", "id", (F.coalesce("x", "id") != F.coalesce("y", "leader")).alias("apart"))
+    # buckets with the same members need one comparison
+    open_ = rest.groupBy("bucket").agg(F.max("apart").alias("apart"), F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum")).where("apart and n > 1")
+    open_ = open_.groupBy("n", "sum").agg(F.min("bucket").alias("bucket")).select("bucket")
+    left = materialize(rest.select("bucket", "id").join(open_, "bucket"))
+    dealt = in_block_pairs(left, ["bucket"], block).join(items, "id")
+
+    def linked(table: pa.Table) -> dict | None:
+        hit = cross_only(hits(table), table)
+        some = np.flatnonzero(hit.any(axis=1))
+        if not len(some):
+            return None
+        ids = np.array(table.column("id"))[some]
+        return {"a": ids, "b": group_components(hit[np.ix_(some, some)], ids)}
+
+    more = map_groups(dealt, ["bucket"], linked, "a long, b long")
+    return materialize(links.unionByName(more.where("a <> b")).distinct())

@@ -148,17 +148,16 @@ def near_duplicates(prints: DataFrame, threshold: float = 0.8, bands: int = BAND
 
     buckets = reps.mapInArrow(keys, "id long, buckets array<long>").select("id", F.explode("buckets").alias("bucket"))
 
-    def check(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(reps.select(F.col("rep").alias("a"), F.col("fingerprint").alias("x")), "a").join(reps.select(F.col("rep").alias("b"), F.col("fingerprint").alias("y")), "b")
+    @F.pandas_udf("boolean")
+    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([likeness(read(p), read(q)) >= threshold for p, q in zip(x, y, strict=True)])
 
-        def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                keep = [likeness(read(x), read(y)) >= threshold for x, y in zip(pdf["x"], pdf["y"], strict=True)]
-                yield pdf.loc[keep, ["a", "b"]]
+    def hits(table: pa.Table) -> np.ndarray:
+        prints = [read(f) for f in table.column("items").to_pylist()]
+        return np.array([[likeness(p, q) >= threshold for q in prints] for p in prints])
 
-        return both.mapInPandas(alike, "a long, b long").distinct()
-
-    classes = components(links_in_buckets(buckets, check))
+    items = reps.select(F.col("rep").alias("id"), F.col("fingerprint").alias("items")).dropDuplicates(["id"])
+    classes = components(links_in_buckets(buckets, lambda ids: items.join(ids, items["id"] == ids["doc_id"], "left_semi"), alike("x", "y"), hits, 128))
     of_print = reps.join(classes, reps["rep"] == classes["node"], "left").select("fingerprint", F.coalesce("component", "rep").alias("class"))
     return rows.join(of_print, "fingerprint", "left").select("doc_id", F.coalesce("class", "doc_id").alias("class_id"))
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize
+from .common import components, cross_only, group_components, in_block_pairs, map_groups, materialize
 
 COSINE = 0.95
 EXPECTED, LEAST = 12.0, 12
@@ -104,86 +104,38 @@ def filtered(reps: DataFrame, size: int, expected: float) -> DataFrame:
     return reps.mapInArrow(run, "dim int, filter long, id long, weight long, filters array<long>, vector array<float>")
 
 
-def group_links(x: np.ndarray, side: np.ndarray, same: bool, filt: int, lists: list[np.ndarray], cosine: float) -> np.ndarray:
-    """Which pairs of a group link: cosine reached, and no smaller filter in common, so that each pair counts once."""
-    hit = x @ x.T >= cosine
-    np.fill_diagonal(hit, False)
-    if not same:
-        hit &= side[:, None] != side[None, :]
+def first_met(hit: np.ndarray, filt: int, lists: list[np.ndarray]) -> np.ndarray:
+    """The links of a group whose vectors have no smaller filter in common, so that each pair counts once."""
     if hit.any():
         early = [f[f < filt] for f in lists]
         names, at = np.unique(np.concatenate(early), return_inverse=True)
         if len(names):
-            has = np.zeros((len(x), len(names)), np.float32)
-            has[np.repeat(np.arange(len(x)), [len(e) for e in early]), at] = 1
+            has = np.zeros((len(hit), len(names)), np.float32)
+            has[np.repeat(np.arange(len(hit)), [len(e) for e in early]), at] = 1
             hit &= has @ has.T < 0.5
     return hit
 
 
-def group_components(hit: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """The smallest id that links reach within a group."""
-    low = ids.copy()
-    some = np.flatnonzero(hit.any(axis=1))
-    while True:
-        new = low.copy()
-        for i in some:
-            new[i] = min(low[i], low[hit[i]].min())
-        if (new == low).all():
-            return low
-        low = new
-
-
 def vector_links(rows: DataFrame, cosine: float, block: int) -> DataFrame:
     """(id, n, to): for a vector in a group, the weight of its new links there and the smallest id reached in the group.
 
     The vectors of a filter are dealt to blocks of about ``block``, and each pair of blocks is a group of its own: a
     filter that many vectors pass is spread over many tasks, and every pair of its vectors is compared all the same.
     """
-    sizes = rows.groupBy("dim", "filter").agg(F.count("*").alias("n")).where("n > 1")
-    cut = rows.join(sizes, ["dim", "filter"]).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    cut = cut.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("n")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    cut = cut.withColumn("other", other).withColumns({"u": F.least("mine", "other"), "v": F.greatest("mine", "other")}).drop("blocks", "other")
-    keys = ["dim", "filter", "u", "v"]
-    dealt = cut.repartition(*keys).sortWithinPartitions(*keys)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            held = yield from done(table, False)
-        if held is not None:
-            yield from done(held, True)
-
-    def done(table: pa.Table, last: bool):
-        """Handles all groups that end in ``table`` and gives back the rows of the last one, which may go on."""
-        key = np.stack([np.array(table.column(k)) for k in keys], 1)
-        edge = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, [len(key)]))
-        stop = len(edge) - 1 if last else len(edge) - 2
-        ids, weight, mine = (np.array(table.column(c)) for c in ("id", "weight", "mine"))
+    def linked(table: pa.Table) -> dict | None:
+        x = matrix(table.column("vector").combine_chunks(), table.column("dim")[0].as_py())
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
         lists = table.column("filters").combine_chunks()
-        vectors = table.column("vector").combine_chunks()
-        out: list[list[np.ndarray]] = [[], [], []]
-        for g in range(stop):
-            a, b = edge[g], edge[g + 1]
-            if b - a < 2:
-                continue
-            dim, filt, u, v = key[a]
-            x = matrix(vectors.slice(a, b - a), int(dim))
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            part = lists.slice(a, b - a)
-            hit = group_links(x, mine[a:b], u == v, int(filt), np.split(np.array(part.flatten()), np.cumsum(np.array(part.value_lengths()))[:-1]), cosine)
-            some = np.flatnonzero(hit.any(axis=1))
-            if len(some):
-                hit, own = hit[np.ix_(some, some)], ids[a:b][some]
-                out[0].append(own)
-                out[1].append(hit @ weight[a:b][some])
-                out[2].append(group_components(hit, own))
-        if out[0]:
-            yield pa.RecordBatch.from_pydict({"id": np.concatenate(out[0]), "n": np.concatenate(out[1]).astype(np.int64), "to": np.concatenate(out[2])})
-        return None if last else table.slice(edge[stop])
-
-    return dealt.mapInArrow(run, "id long, n long, to long")
+        parts = np.split(np.array(lists.flatten()), np.cumsum(np.array(lists.value_lengths()))[:-1])
+        hit = first_met(cross_only(x @ x.T >= cosine, table), table.column("filter")[0].as_py(), parts)
+        some = np.flatnonzero(hit.any(axis=1))
+        if not len(some):
+            return None
+        hit, ids = hit[np.ix_(some, some)], np.array(table.column("id"))[some]
+        return {"id": ids, "n": hit @ np.array(table.column("weight"))[some], "to": group_components(hit, ids)}
+
+    return map_groups(in_block_pairs(rows, ["dim", "filter"], block), ["dim", "filter"], linked, "id long, n long, to long")
 
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, expected: float = EXPECTED, block: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

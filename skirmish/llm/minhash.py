@@ -9,6 +9,7 @@ probability of their weighted Jaccard similarity. Points come in order of time,
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -134,14 +135,30 @@ def item_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return map_texts(docs, run, "doc_id long, items array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, similarity: float, width: int) -> DataFrame:
-    """(a, b, similarity) of those pairs whose bags overlap enough: sum of minima by sum of maxima."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = materialize(item_sets(docs.join(ids, "doc_id"), width).dropDuplicates(["doc_id"]))
-    left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a")
-    both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b")
-    both = both.withColumn("n", F.size(F.array_intersect("x", "y"))).select("a", "b", (F.col("n") / (F.size("x") + F.size("y") - F.col("n"))).alias("similarity"))
-    return both.where(F.col("similarity") >= similarity)
+def bag_items(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(id, items) of the documents with those ids."""
+    return item_sets(docs.join(ids, "doc_id"), width).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "id")
+
+
+def overlaps(table: pa.Table, similarity: float, width: int = 4096) -> np.ndarray:
+    """Which rows of a group overlap enough, by products of their incidence matrices over the items that rows share."""
+    column = table.column("items").combine_chunks()
+    sizes = np.array(column.value_lengths()).astype(np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    _, at, count = np.unique(np.array(column.flatten()), return_inverse=True, return_counts=True)
+    shared = np.full(len(count), -1)
+    shared[count > 1] = np.arange(int((count > 1).sum()))
+    at = shared[at]
+    row, at = row[at >= 0], at[at >= 0]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    common = np.zeros((len(sizes), len(sizes)))
+    for start in range(0, int(at[-1]) + 1 if len(at) else 0, width):
+        a, b = np.searchsorted(at, (start, start + width))
+        has = np.zeros((len(sizes), width), np.float32)
+        has[row[a:b], at[a:b] - start] = 1
+        common += has @ has.T
+    return common / np.maximum(sizes[:, None] + sizes[None, :] - common, 1) >= similarity
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,7 +174,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
     reps = materialize(made.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep")))
     alone = made.join(reps.select(F.col("rep").alias("doc_id"), "key"), ["doc_id", "key"], "left_semi")
     buckets = alone.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket"))
-    links = links_in_buckets(buckets, lambda pairs: verified(pairs, rows_, similarity, width))
+    n = F.size(F.array_intersect("x", "y"))
+    links = links_in_buckets(buckets, lambda ids: bag_items(rows_, ids, width), n / (F.size("x") + F.size("y") - n) >= similarity, lambda t: overlaps(t, similarity))
     classes = components(links)
     of_key = reps.join(classes, reps["rep"] == classes["node"], "left").select("key", F.coalesce("component", "rep").alias("class"))
     out = made.select("doc_id", "key").join(of_key, "key", "left").select("doc_id", F.coalesce("class", "doc_id").alias("class_id"))
