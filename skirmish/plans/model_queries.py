@@ -202,16 +202,18 @@ def topk_sets(spark, sf_dir):
 
 def series_dp(spark, sf_dir):
     """Best-of-three and best-of-five from the smoothed rates as map probabilities."""
+    rows = scored(spark, sf_dir).withColumns({"p": F.col("p") * 0.98765 + 0.00617, "p2": F.col("p2") * 0.97531 + 0.01357})
     p = F.col("p")
-    rows = scored(spark, sf_dir).withColumns({"p3": F.array(p, F.col("p2"), F.lit(0.5)), "p5": F.array(p, F.col("p2"), F.lit(0.5), 1 - p, p)})
-    return rows.select("match_id", F.round(series.win_probability(F.col("p3")), 9).alias("bo3"), F.round(series.win_probability(F.col("p5")), 9).alias("bo5"))
+    rows = rows.withColumns({"p3": F.array(p, F.col("p2"), F.lit(0.4321)), "p5": F.array(p, F.col("p2"), F.lit(0.4321), 1 - p, p)})
+    return rows.select("match_id", F.round(series.win_probability(F.col("p3")), 7).alias("bo3"), F.round(series.win_probability(F.col("p5")), 7).alias("bo5"))
 
 
 DP = sql(
     """
-SELECT match_id, round(p * p2 + p * (1 - p2) * 0.5 + (1 - p) * p2 * 0.5, 9) AS bo3,
-  round((SELECT sum(CASE WHEN a + b + c + d + e >= 3 THEN (CASE a WHEN 1 THEN p ELSE 1 - p END) * (CASE b WHEN 1 THEN p2 ELSE 1 - p2 END) * 0.5 * (CASE d WHEN 1 THEN 1 - p ELSE p END) * (CASE e WHEN 1 THEN p ELSE 1 - p END) ELSE 0 END)
-    FROM (SELECT i % 2 AS a, i // 2 % 2 AS b, i // 4 % 2 AS c, i // 8 % 2 AS d, i // 16 % 2 AS e FROM range(32) r(i))), 9) AS bo5 FROM sc""",
+SELECT match_id, round(p * p2 + p * (1 - p2) * 0.4321 + (1 - p) * p2 * 0.4321, 7) AS bo3,
+  round((SELECT sum(CASE WHEN a + b + c + d + e >= 3 THEN (CASE a WHEN 1 THEN p ELSE 1 - p END) * (CASE b WHEN 1 THEN p2 ELSE 1 - p2 END) * (CASE c WHEN 1 THEN 0.4321 ELSE 0.5679 END) * (CASE d WHEN 1 THEN 1 - p ELSE p END) * (CASE e WHEN 1 THEN p ELSE 1 - p END) ELSE 0 END)
+    FROM (SELECT i % 2 AS a, i // 2 % 2 AS b, i // 4 % 2 AS c, i // 8 % 2 AS d, i // 16 % 2 AS e FROM range(32) r(i))), 7) AS bo5
+FROM (SELECT match_id, p * 0.98765 + 0.00617 AS p, p2 * 0.97531 + 0.01357 AS p2 FROM sc)""",
     WINDOWS,
     FEATURES,
     SCORED,
