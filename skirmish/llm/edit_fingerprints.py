@@ -64,7 +64,7 @@ def embed(texts: list[str]) -> list[tuple[int, np.ndarray]]:
     live = np.arange(int((n > 0).sum()))
     j = 0
     while len(live):
-        p, e = pos[live], end[live]
+        p, e, most = pos[live], end[live], 3 * n[live]
         c = np.empty(len(p), np.uint8)
         move = np.empty(len(p), np.int32)
         for step in range(j, j + 64):
@@ -73,7 +73,7 @@ def embed(texts: list[str]) -> list[tuple[int, np.ndarray]]:
             first = tail.get(min(ctz, len(tail) - 1), 0)
             k = int(np.searchsorted(live, first)) if first else 0
             if k < len(live):
-                here = np.flatnonzero(p[k:] < e[k:]) + k
+                here = np.flatnonzero((p[k:] < e[k:]) & (step < most[k:])) + k
                 if len(here):
                     who = live[here]
                     out[out_at[who] + (step >> level[who])] = nibble[c[here]]
@@ -83,7 +83,7 @@ def embed(texts: list[str]) -> list[tuple[int, np.ndarray]]:
         j += 64
         pos[live] = p
         # the walk may run to three times the length
-        live = live[(p < e) & (j < 3 * n[live])]
+        live = live[(p < e) & (j < most)]
     got: list = [None] * len(texts)
     for k, i in enumerate(order):
         got[i] = (int(level[k]), out[out_at[k] : out_at[k] + made[k]])
@@ -133,9 +133,12 @@ def band_keys(level: int, samples: np.ndarray, bands: int, bits: int) -> list[in
     return out
 
 
-def near_duplicates(prints: DataFrame, threshold: float = 0.8, bands: int = BANDS, bits: int = BITS) -> DataFrame:
+def near_duplicates(prints: DataFrame, threshold: float = 0.5, bands: int = BANDS, bits: int = BITS) -> DataFrame:
     """(doc_id, class_id) of fingerprints (doc_id, fingerprint): bands propose, likeness of ``threshold`` or more links.
 
+    Unrelated texts stay below about 0.25; a single edit leaves 0.98 in the median and less than 0.6 for one text in 20,
+    where the walks do not meet again, so the links are those of the fingerprints, not of exact edit distances.
+
     Equal fingerprints meet first, in a groupBy. Null fingerprints and those of empty texts are classes of their own.
     """
     rows = prints.select(F.col("doc_id").cast("long").alias("doc_id"), "fingerprint")
