@@ -75,6 +75,12 @@ def slices(batch: pa.RecordBatch, max_bytes: int) -> Iterator[pa.RecordBatch]:
     yield batch.slice(start)
 
 
+def apart(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` with its whole-number keys computed anew. An aggregate joined back on its own keys would share their shuffle
+    with the other side, and Spark cannot split a hot key there; after this, both sides have shuffles of their own."""
+    return df.withColumns({k: F.col(k).bitwiseXOR(F.lit(0).cast(df.schema[k].dataType)) for k in keys})
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected graph: (node, component), component the smallest node.
 
@@ -86,9 +92,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(apart(low, "u"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low2, "u").select(F.col("v").alias("x"), F.col("u"), F.col("m"))
+        small = large.join(apart(low2, "u"), "u").select(F.col("v").alias("x"), F.col("u"), F.col("m"))
         small = small.select(F.explode(F.array(F.struct(F.col("x").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e"))
         edges = materialize(small.select("e.u", "e.v").where("u <> v").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -105,7 +111,7 @@ def in_block_pairs(rows: DataFrame, keys: list[str], block: int) -> DataFrame:
     with few rows is one group; a hot one is spread over many tasks, none with more than about two blocks. 
     """
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("__n")).where("__n > 1")
-    cut = rows.join(sizes, keys).withColumn("__blocks", F.ceil(F.col("__n") / block).cast("int"))
+    cut = rows.join(apart(sizes, *keys), keys).withColumn("__blocks", F.ceil(F.col("__n") / block).cast("int"))
     cut = cut.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("__blocks")).cast("int")).drop("__n")
     cut = cut.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
     cut = cut.withColumns({"u": F.least("mine", "__other"), "v": F.greatest("mine", "__other")}).drop("__blocks", "__other")
@@ -180,7 +186,7 @@ def links_in_buckets(buckets: DataFrame, items_of: Callable[[DataFrame], DataFra
     blocks inside tasks, so no link is missed, and each comes out with the smallest id that it reaches there.
     """
     heads = buckets.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last")
-    members = materialize(buckets.join(heads.drop("last"), "bucket").distinct())
+    members = materialize(buckets.join(apart(heads.drop("last"), "bucket"), "bucket").distinct())
     items = materialize(items_of(members.select(F.col("id").alias("doc_id")).distinct()))
     asked = members.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
     both = asked.join(items.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(items.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")

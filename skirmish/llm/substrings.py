@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, map_texts, materialize
+from .common import apart, id_text, map_texts, materialize
 from .wordhash import Words, digest, grams
 
 WINDOW = 50
@@ -93,18 +93,18 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFram
     """(doc_id, first, places): for a document whose words all stand in a smaller one, ``first`` is that doc_id; else
     ``places`` are the starts of its windows that a document with a smaller id has too. Documents without either lack."""
     made = materialize(anchors(docs, window, seed))
-    firsts = made.groupBy("key").agg(F.min("doc_id").alias("first"))
+    firsts = materialize(made.groupBy("key").agg(F.min("doc_id").alias("first")))
     known = materialize(made.select("doc_id", "key").join(firsts, "key").select("doc_id", "first"))
     copies = known.where("doc_id > first")
     # copies repeat what their first document has: they go as wholes and ask for nothing
     rest = made.select("doc_id", "anchors").join(copies.select("doc_id"), "doc_id", "left_anti")
     each = rest.select("doc_id", F.explode("anchors").alias("anchor"))
     shared = each.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
-    wanted = each.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
+    wanted = each.join(apart(shared, "anchor"), "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
     seeded = docs.join(wanted, "doc_id")
     found = materialize(windows_at(seeded, window, seed))
     least = found.groupBy("anchor", "window").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor", "window", "lo")
-    later = found.join(least, ["anchor", "window"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+    later = found.join(apart(least, "anchor", "window"), ["anchor", "window"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
     return copies.withColumn("places", F.lit(None).cast("array<int>")).unionByName(later.withColumn("first", F.lit(None).cast("long")))
 
 
