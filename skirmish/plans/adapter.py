@@ -65,6 +65,7 @@ def player_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_quantity") + 50).alias("adr"),
         (F.col("l_discount") * 10).alias("kast"),
         (F.col("l_tax") - 0.04).alias("kd"),
+        (F.col("l_quantity") % 7 / 10).alias("apr"),
     )
 
 
@@ -89,7 +90,7 @@ ledger AS (SELECT * FROM sides WHERE elig),
 players AS (
   SELECT match_id, dt, epoch_us(dt) AS t, map_name, CASE WHEN rn % 2 = 1 THEN 1 ELSE 2 END AS side, CAST((rn + 1) // 2 AS INTEGER) AS slot,
     CASE WHEN rn % 2 = 1 THEN team1 ELSE team2 END AS team, CASE WHEN rn % 2 = 1 THEN elig1 ELSE elig2 END AS elig,
-    l_partkey % 200 AS player, l_quantity + 50 AS adr, l_discount * 10 AS kast, l_tax - 0.04 AS kd
+    l_partkey % 200 AS player, l_quantity + 50 AS adr, l_discount * 10 AS kast, l_tax - 0.04 AS kd, l_quantity % 7 / 10 AS apr
   FROM lines JOIN series ON l_orderkey = match_id)
 """
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import streaming
-from ..operators import metrics, models, prep, tournament
+from ..operators import compose, metrics, models, prep, tournament
 from ..scratch import kept
-from .adapter import match_sides, sql
+from .adapter import match_sides, player_rows, sql
 from .history_queries import rounded
 from .model_queries import features
 
@@ -134,7 +134,19 @@ def streaming_prior_counts(spark, sf_dir):
     return streaming.run_to_end(streaming.prior_counts(stream)).select("match_id", "side", "n_before", "wins_before")
 
 
+def rich_map_features(spark, sf_dir):
+    """62 directional, 30 symmetric and 3 categorical features of every match."""
+    return compose.rich(match_sides(spark, sf_dir), player_rows(spark, sf_dir))
+
+
+def modern_map_features(spark, sf_dir):
+    """The same with the selected-map family: 80, 37 and 3."""
+    return compose.rich(match_sides(spark, sf_dir), player_rows(spark, sf_dir), modern=True)
+
+
 QUERIES = {
+    "rich_map_features": (rich_map_features, None),
+    "modern_map_features": (modern_map_features, None),
     "pair_matrix": (pair_matrix, MATRIX),
     "tournament_path": (tournament_path, None),
     "monte_carlo": (monte_carlo, None),
