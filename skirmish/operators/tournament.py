@@ -104,24 +104,31 @@ def pairings(state: DataFrame, number: int, rules: Rules = Rules()) -> DataFrame
     return rows.select("sim", "wins", "losses", F.get("pool", F.col("p.a")).alias("a"), F.get("pool", F.col("p.b")).alias("b"))
 
 
-def results(played: DataFrame, matrix: DataFrame, best_of: Column, stage: int, number: int, seed: int | None) -> DataFrame:
+def results(played: DataFrame, matrix: DataFrame, best_of: Column, stage: int, number: int, seed: int | None, forced: DataFrame | None = None) -> DataFrame:
     """Adds best_of, p (that a wins) and a_wins; without a seed the favourite wins. ``matrix`` (a, b, best_of, p) has a row
-    for every two of at most 32 entrants and each best-of, so it may be broadcast."""
+    for every two of at most 32 entrants and each best-of, so it may be broadcast; so may ``forced`` (stage, round, team1,
+    team2, winner), results given beforehand, one at most for each of an event's 106 matches."""
     m = F.broadcast(matrix.select(F.col("a").alias("ma"), F.col("b").alias("mb"), F.col("best_of").alias("mbo"), "p"))
     rows = played.withColumn("best_of", best_of)
     rows = rows.join(m, (F.col("a.team") == F.col("ma")) & (F.col("b.team") == F.col("mb")) & (F.col("best_of") == F.col("mbo")), "left").drop("ma", "mb", "mbo")
     if seed is None:
-        return rows.withColumn("a_wins", F.col("p") >= 0.5)
-    # one draw decides the match whichever side comes first
-    first = F.col("a.team") < F.col("b.team")
-    u = uniform(F.lit(seed), F.col("sim"), F.lit(stage), F.lit(number), F.least("a.team", "b.team"), F.greatest("a.team", "b.team"))
-    return rows.withColumn("a_wins", F.when(first, u < F.col("p")).otherwise(u >= 1 - F.col("p")))
-
-
-def swiss_round(state: DataFrame, matrix: DataFrame, stage: int, number: int, rules: Rules = Rules(), seed: int | None = None) -> DataFrame:
+        rows = rows.withColumn("a_wins", F.col("p") >= 0.5)
+    else:
+        # one draw decides the match whichever side comes first
+        first = F.col("a.team") < F.col("b.team")
+        u = uniform(F.lit(seed), F.col("sim"), F.lit(stage), F.lit(number), F.least("a.team", "b.team"), F.greatest("a.team", "b.team"))
+        rows = rows.withColumn("a_wins", F.when(first, u < F.col("p")).otherwise(u >= 1 - F.col("p")))
+    if forced is None:
+        return rows
+    given = forced.where((F.col("stage") == stage) & (F.col("round") == number)).select(F.least("team1", "team2").alias("__x"), F.greatest("team1", "team2").alias("__y"), "winner")
+    rows = rows.join(F.broadcast(given), (F.least("a.team", "b.team") == F.col("__x")) & (F.greatest("a.team", "b.team") == F.col("__y")), "left")
+    return rows.withColumn("a_wins", F.when(F.col("winner").isNotNull(), F.col("winner") == F.col("a.team")).otherwise(F.col("a_wins"))).drop("__x", "__y", "winner")
+
+
+def swiss_round(state: DataFrame, matrix: DataFrame, stage: int, number: int, rules: Rules = Rules(), seed: int | None = None, forced: DataFrame | None = None) -> DataFrame:
     decider = (F.col("wins") + 1 == rules.wins) | (F.col("losses") + 1 == rules.losses)
     usual = rules.best_of[stage - 1]
-    played = results(pairings(state, number, rules), matrix, F.when(decider, max(3, usual)).otherwise(usual), stage, number, seed)
+    played = results(pairings(state, number, rules), matrix, F.when(decider, max(3, usual)).otherwise(usual), stage, number, seed, forced)
 
     def after(x: str, y: str, won: Column) -> Column:
         return F.struct(F.col(f"{x}.team").alias("team"), F.col(f"{x}.seed0").alias("seed0"), (F.col("wins") + won.cast("int")).alias("wins"), (F.col("losses") + (~won).cast("int")).alias("losses"), F.concat(F.col(f"{x}.opps"), F.array(F.col(f"{y}.team"))).alias("opps"))
@@ -136,11 +143,11 @@ def start(entrants: DataFrame) -> DataFrame:
     return entrants.select("sim", "team", "seed0", F.lit(0).alias("wins"), F.lit(0).alias("losses"), F.array().cast("array<bigint>").alias("opps"))
 
 
-def swiss_stage(entrants: DataFrame, matrix: DataFrame, stage: int, rules: Rules = Rules(), seed: int | None = None) -> DataFrame:
+def swiss_stage(entrants: DataFrame, matrix: DataFrame, stage: int, rules: Rules = Rules(), seed: int | None = None, forced: DataFrame | None = None) -> DataFrame:
     """Five rounds: every team ends with three wins or three losses. Adds the final seed."""
     state = start(entrants).repartition("sim")
     for number in range(1, rules.wins + rules.losses):
-        state = swiss_round(state, matrix, stage, number, rules, seed)
+        state = swiss_round(state, matrix, stage, number, rules, seed, forced)
         if number == 3:
             state = kept(state).repartition("sim")
     return kept(seeded(state))
@@ -153,7 +160,7 @@ def next_entrants(finished: DataFrame, direct: DataFrame, rules: Rules = Rules()
     return finished.select("sim").distinct().join(F.broadcast(direct.select("team", "seed0"))).unionByName(up)
 
 
-def playoffs(finished: DataFrame, matrix: DataFrame, rules: Rules = Rules(), seed: int | None = None) -> DataFrame:
+def playoffs(finished: DataFrame, matrix: DataFrame, rules: Rules = Rules(), seed: int | None = None, forced: DataFrame | None = None) -> DataFrame:
     """(sim, team, place): 8, 4, 2 or 1 for how far each of the best eight came."""
     w = Window.partitionBy("sim").orderBy("seed")
     eight = finished.where(F.col("wins") >= rules.wins).withColumn("k", F.row_number().over(w))
@@ -164,7 +171,7 @@ def playoffs(finished: DataFrame, matrix: DataFrame, rules: Rules = Rules(), see
     for number, (left, best_of) in enumerate(((4, 3), (2, 3), (1, rules.final)), 1):
         games = line.select("sim", F.posexplode(F.sequence(F.lit(0), F.lit(left - 1))).alias("slot", "i"), "line")
         games = games.select("sim", "slot", F.get("line", F.col("i") * 2).alias("a"), F.get("line", F.col("i") * 2 + 1).alias("b"))
-        games = kept(results(games, matrix, F.lit(best_of), 4, number, seed))
+        games = kept(results(games, matrix, F.lit(best_of), 4, number, seed, forced))
         loser = games.select("sim", F.when(F.col("a_wins"), F.col("b.team")).otherwise(F.col("a.team")).alias("team"), F.lit(left * 2).alias("place"))
         out = loser if out is None else out.unionByName(loser)
         winner = games.withColumn("w", F.when(F.col("a_wins"), F.col("a")).otherwise(F.col("b")))
@@ -172,7 +179,7 @@ def playoffs(finished: DataFrame, matrix: DataFrame, rules: Rules = Rules(), see
     return out.unionByName(line.select("sim", F.get("line", F.lit(0))["team"].alias("team"), F.lit(1).alias("place")))
 
 
-def major(sims: DataFrame, entrants: DataFrame, matrix: DataFrame, rules: Rules = Rules(), seed: int | None = None) -> DataFrame:
+def major(sims: DataFrame, entrants: DataFrame, matrix: DataFrame, rules: Rules = Rules(), seed: int | None = None, forced: DataFrame | None = None) -> DataFrame:
     """Whole events: (sim, team, stage, wins, losses, place) for every team's last stage.
 
     ``sims`` has a column sim; ``entrants`` (team, stage, seed0): 16 teams for stage 1, 8 each for stages 2 and 3.
@@ -180,13 +187,13 @@ def major(sims: DataFrame, entrants: DataFrame, matrix: DataFrame, rules: Rules
     now = sims.select("sim").join(F.broadcast(entrants.where("stage = 1").select("team", "seed0")))
     out = None
     for stage in (1, 2, 3):
-        finished = swiss_stage(now, matrix, stage, rules, seed)
+        finished = swiss_stage(now, matrix, stage, rules, seed, forced)
         left = finished if stage == 3 else finished.where(F.col("losses") >= rules.losses)
         rows = left.select("sim", "team", F.lit(stage).alias("stage"), "wins", "losses")
         out = rows if out is None else out.unionByName(rows)
         if stage < 3:
             now = next_entrants(finished, entrants.where(F.col("stage") == stage + 1), rules)
-    return out.join(playoffs(finished, matrix, rules, seed), ["sim", "team"], "left")
+    return out.join(playoffs(finished, matrix, rules, seed, forced), ["sim", "team"], "left")
 
 
 def matrix_of(strength: DataFrame) -> DataFrame:
