@@ -53,7 +53,7 @@ def op8_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = substrings.substring_dedup(table(spark, sf_dir, "documents"))
-    return made.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"), F.size("spans").alias("n_spans"))
+    return made.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,5 +82,36 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: Classes of near copies, by all pairs that share a shingle.
+OP5 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10ffff}]+') AS ws FROM documents),
+sh AS (SELECT doc_id, s, count(*) AS c FROM (SELECT doc_id, CASE WHEN len(ws) < 5 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i : i + 4], ' ') END AS s
+    FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)) GROUP BY ALL),
+size AS (SELECT doc_id, sum(c) AS n FROM sh GROUP BY 1),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.c, b.c)) AS shared FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE shared / (x.n + y.n - shared) >= 0.8),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT DISTINCT a AS v, a AS u FROM edges UNION SELECT r.v, e.b FROM reach r JOIN edges e ON e.a = r.u)
+SELECT doc_id, coalesce(m, doc_id) AS class_id, coalesce(m, doc_id) = doc_id AS kept FROM documents LEFT JOIN (SELECT v, min(u) AS m FROM reach GROUP BY v) ON v = doc_id"""
+
+#: Every window of 50 words by itself.
+OP9 = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i : i + 49], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)),
+lo AS (SELECT k, min(doc_id) AS lo FROM win GROUP BY k),
+gone AS (SELECT doc_id, list(p) AS ps FROM (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM win JOIN lo USING (k) WHERE lo < doc_id) GROUP BY 1)
+SELECT doc_id, len(ws) AS n_words, coalesce(len(ps), 0) AS n_removed, sha256(array_to_string(CASE WHEN ps IS NULL THEN ws ELSE list_filter(ws, lambda x, j: NOT list_contains(ps, j)) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN gone USING (doc_id)"""
+
+#: All pairs of vectors.
+OP10 = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding) AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+edges AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT DISTINCT a AS v, a AS u FROM edges UNION SELECT r.v, e.b FROM reach r JOIN edges e ON e.a = r.u)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(m, vec_id) AS component_id, coalesce(m, vec_id) = vec_id AS kept FROM embeddings
+LEFT JOIN (SELECT a, count(*) AS n FROM edges GROUP BY a) ON a = vec_id LEFT JOIN (SELECT v AS w, min(u) AS m FROM reach GROUP BY v) ON w = vec_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can express the whole result; the others are tested against brute force, libraries and held-out rows."""
+    return {"op5_minhash_dedup": OP5, "op9_substring_dedup": OP9, "op10_embedding_dedup": OP10}
