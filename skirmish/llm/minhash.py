@@ -19,6 +19,8 @@ from .wordhash import GOLDEN, Words, digest, grams, mix
 WIDTH = 5
 BANDS, ROWS = 25, 5
 SIMILARITY = 0.8
+#: Members of a bucket that meet in one task: two blocks at most, so a task stays small and its matrices too.
+BLOCK = 256
 
 
 def shingles(words: Words, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -175,7 +177,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
     alone = made.join(reps.select(F.col("rep").alias("doc_id"), "key"), ["doc_id", "key"], "left_semi")
     buckets = alone.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket"))
     n = F.size(F.array_intersect("x", "y"))
-    links = links_in_buckets(buckets, lambda ids: bag_items(rows_, ids, width), n / (F.size("x") + F.size("y") - n) >= similarity, lambda t: overlaps(t, similarity))
+    links = links_in_buckets(buckets, lambda ids: bag_items(rows_, ids, width), n / (F.size("x") + F.size("y") - n) >= similarity, lambda t: overlaps(t, similarity), BLOCK)
     classes = components(links)
     of_key = reps.join(classes, reps["rep"] == classes["node"], "left").select("key", F.coalesce("component", "rep").alias("class"))
     out = made.select("doc_id", "key").join(of_key, "key", "left").select("doc_id", F.coalesce("class", "doc_id").alias("class_id"))
