@@ -101,50 +101,76 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int, seed: int, effort: int = 60) -> list[list[int]]:
-    """Moves and swaps between underfull bins while the sum of squared fills grows; bins that run empty go.
-
-    A step takes two underfull bins and looks for the move, the one-for-one or the two-for-one exchange that fills the
-    fuller of them most. Every accepted step raises the squared fill, so it ends; ``effort`` bounds the tries per bin.
+def exchange(into: list[int], out_of: list[int], room: int) -> tuple[int, tuple, tuple]:
+    """The move, one-for-one or two-for-one exchange that adds most to the fuller bin within its room: (gain, lengths that
+    go in, lengths that come back). Both bins are lists of lengths, so equal pieces count once."""
+    best, step = 0, ((), ())
+    gives = {n: (n,) for n in out_of}
+    few = sorted(out_of)[:12]  # a bin may hold hundreds of tiny pieces: pairs of the smallest do
+    for k, x in enumerate(few):
+        for y in few[k + 1 :]:
+            gives.setdefault(x + y, (x, y))
+    backs = {0: ()} | {n: (n,) for n in into}
+    for got, give in gives.items():
+        for lost, back in backs.items():
+            if best < got - lost <= room:
+                best, step = got - lost, (give, back)
+                if best == room:
+                    return best, *step
+    return best, *step
+
+
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int, seed: int, effort: int = 150) -> list[list[int]]:
+    """Moves and exchanges between underfull bins while the sum of squared fills grows; bins that run empty go.
+
+    A step takes a random underfull bin and one of the emptiest, and fills the fuller of the two as far as one move, one
+    exchange of one for one or of two for one can. Every step taken raises the squared fill, so the search ends; it ends
+    early when the underfull bins hold more than one bin less could. ``effort`` bounds the tries for each underfull bin.
     """
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    if sum(fill) > (len(bins) - 1) * capacity:
-        return bins  # no bin can be saved
     rng = random.Random(seed)
-    under = [b for b in range(len(bins)) if fill[b] < capacity]
+    fill = [sum(lengths[i] for i in b) for b in bins]
+    held: list[dict[int, list[int]]] = []  # by length the pieces of each bin
+    for b in bins:
+        own: dict[int, list[int]] = {}
+        for i in b:
+            own.setdefault(lengths[i], []).append(i)
+        held.append(own)
+    under = sorted((k for k in range(len(bins)) if fill[k] < capacity), key=lambda k: fill[k])
+    free = sum(capacity - fill[k] for k in under)
     tries = effort * len(under)
-    while tries > 0 and len(under) > 1:
+
+    def flat(own: dict[int, list[int]]) -> list[int]:
+        return [n for n, who in own.items() for _ in who[:2]]
+
+    def shift(n: int, a: int, b: int) -> None:
+        """One piece of length n goes from bin a to bin b."""
+        i = held[a][n].pop()
+        if not held[a][n]:
+            del held[a][n]
+        held[b].setdefault(n, []).append(i)
+
+    while tries > 0 and len(under) > 1 and free >= capacity:
         tries -= 1
-        a, b = rng.sample(under, 2)
+        b = under[rng.randrange(min(3, len(under)))]
+        a = under[rng.randrange(len(under))]
+        if a == b:
+            continue
         if fill[a] < fill[b]:
             a, b = b, a
-        room = capacity - fill[a]
-        best, step = 0, None
-        ins = [(lengths[i], (i,)) for i in bins[b]]
-        few = bins[b][:12]
-        ins += [(lengths[x] + lengths[y], (x, y)) for k, x in enumerate(few) for y in few[k + 1 :]]
-        outs = [(0, ())] + [(lengths[i], (i,)) for i in bins[a]]
-        for got, give in ins:
-            for lost, back in outs:
-                gain = got - lost
-                if best < gain <= room:
-                    best, step = gain, (give, back)
-        if step is None:
+        gain, give, back = exchange(flat(held[a]), flat(held[b]), capacity - fill[a])
+        if not gain:
             continue
-        give, back = step
-        for i in give:
-            bins[b].remove(i)
-        for i in back:
-            bins[a].remove(i)
-        bins[a] += give
-        bins[b] += back
-        fill[a] += best
-        fill[b] -= best
-        if fill[a] == capacity or not bins[b]:
-            under = [x for x in under if fill[x] < capacity and bins[x]]
-        if sum(fill[x] for x in under) > (len(under) - 1) * capacity:
-            break  # what the underfull bins hold needs them all
-    return [b for b in bins if b]
+        for n in give:
+            shift(n, b, a)
+        for n in back:
+            shift(n, a, b)
+        fill[a] += gain
+        fill[b] -= gain
+        if fill[b] == 0:
+            free -= capacity
+        under = [k for k in under if 0 < fill[k] < capacity]
+        under.sort(key=lambda k: fill[k])
+    return [[i for who in own.values() for i in who] for own in held if own]
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
