@@ -45,15 +45,15 @@ def evaluation_groups(rows: DataFrame, is_event: Column, time: str = "dt") -> Da
     return rows.join(end).withColumn("evaluation_group", group).drop("__end")
 
 
-def drop_players_on_both_sides(players: DataFrame) -> DataFrame:
+def drop_players_on_both_sides(players: DataFrame, game: str = "match_id") -> DataFrame:
     """Games in which a player stands on both sides go as wholes."""
-    bad = players.groupBy("match_id", "player").agg(F.min("side").alias("a"), F.max("side").alias("b")).where("a <> b").select("match_id").distinct()
-    return players.join(bad, "match_id", "left_anti")
+    bad = players.groupBy(game, "player").agg(F.min("side").alias("a"), F.max("side").alias("b")).where("a <> b").select(game).distinct()
+    return players.join(bad, game, "left_anti")
 
 
-def collapse_slots(players: DataFrame, stats: list[str]) -> DataFrame:
+def collapse_slots(players: DataFrame, stats: list[str], game: str = "match_id") -> DataFrame:
     """A player listed twice on a side: with equal stats the lowest slot stays, with different ones the player goes."""
-    w = Window.partitionBy("match_id", "side", "player")
+    w = Window.partitionBy(game, "side", "player")
     kinds = F.size(F.collect_set(F.to_json(F.struct(*stats))).over(w))
     rn = F.row_number().over(w.orderBy("slot"))
     return players.withColumns({"__kinds": kinds, "__rn": rn}).where("__kinds = 1 and __rn = 1").drop("__kinds", "__rn")
