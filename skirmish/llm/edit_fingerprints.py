@@ -168,22 +168,29 @@ def near_duplicates(prints: DataFrame, threshold: float = 0.5, bands: int = BAND
 def with_next(docs: DataFrame, rows_a_part: int = 2_000, most_parts: int = 10_000) -> DataFrame:
     """Documents in descending doc_id, each followed in its partition by the next one: (part, tail, doc_id, text).
 
-    doc_ids are cut at approximate quantiles, which are ids themselves, so each part's first document is known: it goes
-    to the part before as well, with ``tail`` set; the very first follows the last. One shuffle of the texts.
+    doc_ids are cut at approximate quantiles; the largest id of each part, its first document, goes to the part before as
+    well, with ``tail`` set; the very first follows the last. One shuffle of the texts.
     """
-    count, top = docs.agg(F.count("*"), F.max("doc_id")).first()
+    count = docs.count()
     parts = max(1, min(most_parts, -(-count // rows_a_part)))
-    cuts = docs.select(F.percentile_approx("doc_id", [(k + 1) / parts for k in range(parts)], 20 * parts)).first()[0] or []
-    bounds = np.array(sorted({*cuts, top} if top is not None else {}), np.int64)
+    ids = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"))  # null ids come last; whole numbers pass exactly
+    cuts = np.array(sorted(ids.select(F.percentile_approx("id", [k / parts for k in range(1, parts)] or [0.5], 20 * parts)).first()[0] or []), np.int64)
 
     @F.pandas_udf("long")
-    def place(ids: pd.Series) -> pd.Series:
-        v = ids.to_numpy(np.int64, na_value=bounds[0] if len(bounds) else 0)
-        at = np.minimum(np.searchsorted(bounds, v), max(len(bounds) - 1, 0))
-        return pd.Series(2 * at + (bounds[at] == v))
+    def rough(v: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, v.to_numpy(np.int64)))
+
+    # quantiles pass through doubles: the largest id of each part is asked for, at most ``parts`` numbers
+    bounds = np.array(sorted(r["m"] for r in ids.groupBy(rough("id").alias("c")).agg(F.max("id").alias("m")).collect()), np.int64)
+
+    @F.pandas_udf("long")
+    def place(v: pd.Series) -> pd.Series:
+        x = v.to_numpy(np.int64)
+        at = np.minimum(np.searchsorted(bounds, x), len(bounds) - 1)
+        return pd.Series(2 * at + (bounds[at] == x))
 
     n = max(1, len(bounds))
-    at = docs.withColumn("at", place("doc_id")).withColumn("own", F.shiftright("at", 1))
+    at = docs.withColumn("at", place(F.coalesce("doc_id", F.lit(-(1 << 63))))).withColumn("own", F.shiftright("at", 1))
     both = F.array(F.struct(F.col("own").alias("part"), F.lit(False).alias("tail")), F.when(F.col("at") % 2 == 1, F.struct(((F.col("own") + 1) % n).alias("part"), F.lit(True).alias("tail"))))
     rows = at.select("doc_id", "text", F.explode(both).alias("p")).where("p is not null").select("p.part", "p.tail", "doc_id", "text")
     return rows.repartition(n, "part").sortWithinPartitions("part", "tail", F.desc("doc_id"), "text")
@@ -198,8 +205,8 @@ def edited(text: str, following: str) -> str:
 def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row.
 
-    The edited text is made with the next document in descending doc_id; rows with equal ids follow by their texts; a
-    table of one row follows itself. Null texts are empty. No rows give no rows.
+    The edited text is made with the next document in descending doc_id; rows with equal ids follow by their texts, null
+    ids come last; a table of one row follows itself. Null texts are empty. No rows give no rows.
     """
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     out = docs.sparkSession.createDataFrame([], schema).schema

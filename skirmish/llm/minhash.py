@@ -169,10 +169,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
     Words are runs of letters and digits in lower case. Texts with the same words meet first, in a groupBy; the smallest
     doc_id stands for them. class_id is the smallest doc_id of the class; kept holds where it is the document's own.
     Documents without words (null and empty texts among them) are classes of their own; short texts are one shingle;
-    rows that repeat a doc_id count as one document; an empty table gives no rows.
+    rows that repeat a doc_id count as one document; rows with a null doc_id take no part (class_id null, kept); an empty
+    table gives no rows.
     """
     rows_ = id_text(docs, id_col, text_col)
-    made = materialize(bag_signatures(rows_, width, bands, rows))
+    made = materialize(bag_signatures(rows_, width, bands, rows).withColumn("key", F.when(F.col("doc_id").isNotNull(), F.col("key"))))
     reps = materialize(made.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep")))
     alone = made.join(reps.select(F.col("rep").alias("doc_id"), "key"), ["doc_id", "key"], "left_semi")
     buckets = alone.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket"))
@@ -181,4 +182,4 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
     classes = components(links)
     of_key = reps.join(classes, reps["rep"] == classes["node"], "left").select("key", F.coalesce("component", "rep").alias("class"))
     out = made.select("doc_id", "key").join(of_key, "key", "left").select("doc_id", F.coalesce("class", "doc_id").alias("class_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))

@@ -13,6 +13,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -180,27 +181,25 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Dat
     The order of repeated pieces is fixed by (doc_id, piece, ids_crc32). No rows give no rows.
     """
     pieces = materialize(pieces)
-    names = pieces.columns
     rest = pieces.where(F.col("length") < capacity)
     groups = max(1, -(-rest.count() // group))
-    bits = 40
 
-    def run(pdf):
-        pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=False, kind="stable").reset_index(drop=True)
-        lengths, g = pdf["length"].astype(int).tolist(), int(pdf["g"].iloc[0])
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "descending") for c in ("length", "doc_id", "piece", "ids_crc32")])
+        lengths, g = table.column("length").to_pylist(), table.column("g")[0].as_py()
         bins = local_search(best_fit(lengths, capacity), lengths, capacity, seed=g)
-        seq, off = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
+        seq, off = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
         for k, b in enumerate(bins):
             at = 0
             for i in b:
                 seq[i], off[i] = (g << 24) + k, at
                 at += lengths[i]
-        return pdf.assign(sequence_id=seq, offset=off)[[*names, "sequence_id", "offset"]]
+        return table.drop_columns(["g"]).append_column("sequence_id", pa.array(seq)).append_column("offset", pa.array(off))
 
     schema = ", ".join(f"{n} {t}" for n, t in pieces.dtypes) + ", sequence_id long, offset long"
     dealt = rest.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
-    packed = dealt.groupBy("g").applyInPandas(run, schema)
-    full = pieces.where(F.col("length") >= capacity).withColumns({"sequence_id": F.lit(1 << (bits + 22)) + F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    packed = dealt.groupBy("g").applyInArrow(run, schema)
+    full = pieces.where(F.col("length") >= capacity).withColumns({"sequence_id": F.lit(1 << 62) + F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
     return packed.unionByName(full)
 
 

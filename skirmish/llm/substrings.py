@@ -138,7 +138,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, id_
 
     spans are the maximal runs of removed words (first word, end). Words are ``[^\\x20\\x09-\\x0D]+``, unchanged; kept
     ones are joined by single spaces. Null and empty texts have no words; texts shorter than the window lose none; rows
-    with the same doc_id do not count as smaller than each other, and each is judged by the windows of both.
+    with the same doc_id do not count as smaller than each other, and each is judged by the windows of both; rows with a
+    null doc_id neither lose words nor cost others any.
     """
     rows = id_text(docs, id_col, text_col)
     found = repeats(rows, window, seed).dropDuplicates(["doc_id"])

@@ -152,7 +152,7 @@ def test_edit_likeness(spark):
         better += r["near_edited"] > r["near_next"] or len(t) < 4 or d < 30
     assert better > 0.9 * len(down)
     assert edit_fingerprints.edit_likeness(empty(spark)).count() == 0
-    assert edit_fingerprints.edit_likeness(table(spark, ["only"]).limit(1)).first()["n_chars"] == 4
+    assert edit_fingerprints.edit_likeness(spark.createDataFrame([(5, "only")], "doc_id long, text string")).first()["n_chars"] == 4
 
 
 def test_fingerprint_classes(spark):
