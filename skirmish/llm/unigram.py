@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from .common import id_text, map_texts
 
 SPACE = "▁"
-CACHE = 200_000
+CACHE = 500_000
 LONGEST = 64
+_RUNS = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 _state: dict = {}
 
 
@@ -37,47 +38,41 @@ class Model:
         self.bytes_at = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if kinds[i] == 6}
         self.byte_of = {i: b for b, i in self.bytes_at.items()}
         self.unk = kinds.index(2)
-        self.silent = {i for i, k in enumerate(kinds) if k == 3}
         normal = [i for i, k in enumerate(kinds) if k == 1]
         self.unknown = min(scores[i] for i in normal) - 10.0
         self.auto = ahocorasick.Automaton()
         for i in normal:
             self.auto.add_word(self.pieces[i], (len(self.pieces[i]), scores[i], i))
         self.auto.make_automaton()
-        # a cut before a run of spaces is safe when no piece goes on behind a space mark with one in its middle
-        self.cuts = not any(re.search(f"[^{SPACE}]{SPACE}", self.pieces[i]) for i in normal)
+        # cuts before runs of spaces and around newlines are safe when no piece reaches across one
+        self.cuts = not any(re.search(f"[^{SPACE}]{SPACE}|\n", self.pieces[i]) for i in normal)
+        self.surface = [b"" if k == 3 else bytes([self.byte_of[i]]) if k == 6 else " ⁇ ".encode() if k == 2 else self.pieces[i].replace(SPACE, " ").encode() for i, k in enumerate(kinds)]
+        self.is_byte = np.array([k == 6 for k in kinds])
         self.cache: dict[str, tuple[int, ...]] = {}
 
     def viterbi(self, text: str) -> tuple[int, ...]:
-        """Ids of the best segmentation of one run (spaces already marked). Ties go to the piece that begins first."""
+        """Ids of the best segmentation of one run (spaces already marked); ties go to the longer last piece.
+
+        A place that no piece reaches is reached by one unknown character: the pass stops short there, takes that step
+        and goes on.
+        """
         n = len(text)
-        best, back = [0.0] + [-np.inf] * n, [None] * (n + 1)
-        done = 0
-
-        def skip_to(end: int) -> None:
-            # a place that no piece reaches is reached by one unknown character
-            nonlocal done
-            while done < end:
-                done += 1
-                if self.unknown + best[done - 1] > best[done] and back[done] is None:
-                    best[done], back[done] = best[done - 1] + self.unknown, (1, -1)
-
-        at = 0
+        best, size_of, id_of = [0.0] + [-np.inf] * n, [0] * (n + 1), [-1] * (n + 1)
+        unknown, done = self.unknown, 0  # places up to ``done`` are settled
         for last, (size, score, i) in self.auto.iter(text):
             end = last + 1
-            if end != at:
-                skip_to(end - 1)
-                at = end
+            if done < last:
+                while done < last:
+                    done += 1
+                    if not size_of[done]:
+                        best[done], size_of[done] = best[done - 1] + unknown, 1
             s = best[end - size] + score
-            old = back[end]
-            if old is None or s > best[end] or (s == best[end] and size > old[0]):
-                best[end], back[end] = s, (size, i)
-            done = max(done, end) if back[end] else done
-        skip_to(n)
+            if s > best[end] or (s == best[end] and size > size_of[end]):
+                best[end], size_of[end], id_of[end] = s, size, i
         out: list[int] = []
         end = n
         while end:
-            size, i = back[end]
+            size, i = size_of[end] or 1, id_of[end]
             if i >= 0:
                 out.append(i)
             elif self.bytes_at:
@@ -93,7 +88,7 @@ class Model:
             return []
         text = SPACE + text.replace(" ", SPACE)
         out: list[int] = []
-        for run in re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+$", text) if self.cuts else [text]:
+        for run in _RUNS.findall(text) if self.cuts else [text]:
             ids = self.cache.get(run)
             if ids is None:
                 ids = self.viterbi(run)
@@ -106,13 +101,7 @@ class Model:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: bytes join to characters, marks become spaces, the space in front goes."""
-        parts = []
-        for i in ids:
-            if i in self.byte_of:
-                parts.append(bytes([self.byte_of[i]]))
-            elif i not in self.silent:
-                parts.append((" ⁇ " if i == self.unk else self.pieces[i].replace(SPACE, " ")).encode())
-        text = b"".join(parts).decode("utf-8", "replace")
+        text = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
 
@@ -150,11 +139,12 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     def run(cols: dict) -> dict:
         m = model(path)
         ids = [m.encode(t) for t in cols["text"]]
+        arrays = [np.array(x, "<u4") for x in ids]
         return {
             "doc_id": cols["doc_id"],
             "n_tokens": [len(x) for x in ids],
-            "ids_crc32": [crc32(x) for x in ids],
-            "n_byte_pieces": [sum(i in m.byte_of for i in x) for x in ids],
+            "ids_crc32": [zlib.crc32(x.tobytes()) for x in arrays],
+            "n_byte_pieces": [int(m.is_byte[x].sum()) for x in arrays],
             "decoded": [m.decode(x) for x in ids],
         }
 
