@@ -256,7 +256,7 @@ def split_symmetry(spark, sf_dir):
 F_ = (WINDOWS, FEATURES)
 QUERIES = {
     "mirror_augment": (mirror_augment, MIRROR),
-    "augmented_symmetry": (split_symmetry, "SELECT 0.0 AS win_rate_diff, 0.0 AS format_win_rate_diff, 0.0 AS days_since_last_diff, 0.0 AS n_before_diff, 0.0 AS win1"),
+    "augmented_symmetry": (split_symmetry, "SELECT 0::DOUBLE AS win_rate_diff, 0::DOUBLE AS format_win_rate_diff, 0::DOUBLE AS days_since_last_diff, 0::DOUBLE AS n_before_diff, 0::DOUBLE AS win1"),
     "impute_zscore": (impute_zscore, ZSCORE),
     "one_hot_unknown": (one_hot_unknown, sql("SELECT match_id, CAST(map_name = 'ECONOMY' AS INTEGER) AS economy, CAST(map_name = 'STANDARD' AS INTEGER) AS standard, CAST(map_name NOT IN ('ECONOMY', 'PROMO', 'STANDARD') AS INTEGER) AS unknown FROM series")),
     "chrono_split": (chrono_split, sql(f"SELECT match_id, CASE WHEN t <= {cut('0.70')} THEN 'train' WHEN t <= {cut('0.85')} THEN 'validation' ELSE 'test' END AS split FROM fe", *F_)),

@@ -135,7 +135,7 @@ def era_islands(spark, sf_dir):
 ERAS = sql(
     """
 SELECT team, era, any_value(map_name) AS map_name, count(*) AS n FROM (
-  SELECT *, sum(new) OVER (PARTITION BY team ORDER BY t, match_id) AS era FROM (
+  SELECT *, CAST(sum(new) OVER (PARTITION BY team ORDER BY t, match_id) AS BIGINT) AS era FROM (
     SELECT *, CASE WHEN map_name = lag(map_name) OVER (PARTITION BY team ORDER BY t, match_id) THEN 0 ELSE 1 END AS new FROM ledger))
 GROUP BY team, era"""
 )
