@@ -43,6 +43,22 @@ def test_base_spans(spark):
     assert pii.find(empty(spark)).count() == 0
 
 
+def test_cards_of_single_digits(spark):
+    """No two digits of these texts are neighbours."""
+    rng = random.Random(13)
+    texts = [" ".join("4111111111111111"), "-".join("4111111111111111"), " ".join("0" * 14), "pay " + " ".join("4111111111111112") + " now", "1 2-3", "1  2"]
+    texts += ["x ".join("".join(rng.choice("0123456789") + rng.choice(" -") for _ in range(rng.randint(10, 22))) for _ in range(3)) for _ in range(200)]
+    df = table(spark, texts)
+    got = {r["doc_id"]: r for r in pii.find(df, pii.Model([], {})).collect()}
+    for i, t in enumerate(texts):
+        want = base_spans(t)
+        assert got[i]["base"] == ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in want), t
+        assert got[i]["n_card"] == sum(k == 2 for _, k, _ in want)
+    assert [got[i]["n_card"] for i in range(6)] == [1, 1, 1, 0, 0, 0] and sum(r["n_card"] for r in got.values()) > 20
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(df, pii.Model([], {})).collect()}
+    assert [clean[i] for i in range(4)] == ["[CARD]"] * 3 + [texts[3]]
+
+
 def test_trees_add_secrets_and_keep_the_base(spark):
     rng = random.Random(2)
     hexa = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
