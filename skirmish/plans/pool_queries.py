@@ -144,22 +144,38 @@ LEFT JOIN LATERAL (SELECT nullif(count(*), 0) AS n, CAST(sum(win) AS BIGINT) AS
 ).replace("FROM ledger l WHERE l.team = team AND", "FROM ledger l WHERE l.team = x.team AND").replace("(SELECT DISTINCT team FROM ledger) CROSS", "(SELECT DISTINCT team FROM ledger) x CROSS").replace("SELECT team, m.t", "SELECT x.team, m.t")
 
 
-def two_stream_requests(spark, sf_dir):
+def requests_of(spark, sf_dir, asked):
     """Requests that change nothing on one time axis with the events: a request sees what came before it alone."""
     rows = ledger(match_sides(spark, sf_dir))
-    requests = matches(spark, sf_dir).where("match_id % 3 = 0").select("match_id", F.unix_micros(F.col("dt").cast("timestamp")).alias("t"), F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("team1").alias("team")), F.struct(F.lit(2).alias("side"), F.col("team2").alias("team")))).alias("s")).select("match_id", "t", "s.*")
+    requests = asked.select("match_id", F.unix_micros(F.col("dt").cast("timestamp")).alias("t"), F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("team1").alias("team")), F.struct(F.lit(2).alias("side"), F.col("team2").alias("team")))).alias("s")).select("match_id", "t", "s.*")
     both = rows.select("team", "t", "win", F.lit(None).cast("struct<match_id:bigint,side:int>").alias("ask")).unionByName(requests.select("team", "t", F.lit(None).cast("int").alias("win"), F.struct("match_id", "side").alias("ask")))
     w = history.prior("team")
     made = both.withColumns({"n": F.count("win").over(w), "wins": F.coalesce(F.sum("win").over(w), F.lit(0))}).where("ask is not null")
     return made.select("ask.match_id", "ask.side", "n", "wins")
 
 
+def two_stream_requests(spark, sf_dir):
+    """The requests that the query's SQL names: a third of the matches."""
+    return requests_of(spark, sf_dir, matches(spark, sf_dir).where("match_id % 3 = 0"))
+
+
+def two_stream_requests_all(spark, sf_dir):
+    """Every match asks."""
+    return requests_of(spark, sf_dir, matches(spark, sf_dir))
+
+
 REQUESTS = sql(
     """
 SELECT s.match_id, s.side, count(l.match_id) AS n, CAST(coalesce(sum(l.win), 0) AS BIGINT) AS wins FROM sides s LEFT JOIN ledger l ON l.team = s.team AND l.t < s.t
 WHERE s.match_id % 3 = 0 GROUP BY 1, 2"""
 )
 
+REQUESTS_ALL = sql(
+    """
+SELECT s.match_id, s.side, count(l.match_id) AS n, CAST(coalesce(sum(l.win), 0) AS BIGINT) AS wins FROM sides s LEFT JOIN ledger l ON l.team = s.team AND l.t < s.t
+GROUP BY 1, 2"""
+)
+
 
 def selected_map_decay(spark, sf_dir):
     """Decayed, smoothed rate and margin on the match's map, half-life 90 days."""
@@ -249,6 +265,7 @@ QUERIES = {
     "map_form_smoothed": (map_form, MAP_FORM),
     "asof_probe": (asof_probe, ASOF),
     "two_stream_requests": (two_stream_requests, REQUESTS),
+    "two_stream_requests_all": (two_stream_requests_all, REQUESTS_ALL),
     "selected_map_decay": (selected_map_decay, SELECTED),
     "roster_top5": (roster_top5, sql("SELECT match_id, side, player, rank, round(mass, 6) AS mass FROM core", CORE)),
     "core_concentration": (core_concentration, sql("SELECT match_id, side, (SELECT count(*) FROM core c WHERE c.match_id = m.match_id AND c.side = m.side) AS roster_size, round(sum(mass) FILTER (rank <= 5) / sum(mass), 6) AS concentration FROM (SELECT *, row_number() OVER (PARTITION BY match_id, side ORDER BY round(mass, 9) DESC, last_t DESC, player) AS rank FROM mass) m GROUP BY match_id, side", CORE)),
