@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import math
+import os
+import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import kept
+
+#: About so many rows a micro-batch when a table is fed as a stream.
+MICRO_BATCH = 50_000
 
 
 def event_windows(events: DataFrame, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -39,18 +46,72 @@ def prior_state(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[
 
 
 def prior_counts(sides: DataFrame) -> DataFrame:
-    """Prior matches and wins of each side of a stream, kept as a few numbers for each team."""
+    """Prior matches and wins of each side of a stream, kept as a few numbers for each team. A task holds one team's rows of
+    one micro-batch, so the source has to bound micro-batches; for whole tables there is prior_moments()."""
     return sides.select("match_id", "side", "team", "t", "win").groupBy("team").applyInPandasWithState(prior_state, OUT, STATE, "append", "NoTimeout")
 
 
+MOMENT_OUT = "team long, t long, n_before long, wins_before long"
+
+
+def moment_state(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """Counts before each moment of a team. Micro-batches come in time order: a moment that is not after the last one
+    would be lost or wrong, so it ends the stream with an error."""
+    t, n, wins = state.get if state.exists else (None, 0, 0)
+    rows = pd.concat(list(batches)).sort_values("t")
+    if (t is not None and rows["t"].iloc[0] <= t) or rows["t"].duplicated().any():
+        raise ValueError(f"moments of team {key[0]} out of time order")
+    out = pd.DataFrame({"team": key[0], "t": rows["t"], "n_before": n + rows["n"].cumsum() - rows["n"], "wins_before": wins + rows["wins"].cumsum() - rows["wins"]})
+    state.update((int(rows["t"].iloc[-1]), int(n + rows["n"].sum()), int(wins + rows["wins"].sum())))
+    yield out
+
+
+def moments(sides: DataFrame) -> DataFrame:
+    """(team, t, n, wins): one row for all that a team does at one moment."""
+    return sides.groupBy("team", "t").agg(F.count("*").alias("n"), F.sum("win").cast("long").alias("wins"))
+
+
+def prior_moments(stream: DataFrame) -> DataFrame:
+    """Matches and wins of a team before each of its moments, from a stream of moments() in time order."""
+    return stream.select("team", "t", "n", "wins").groupBy("team").applyInPandasWithState(moment_state, MOMENT_OUT, "t long, n long, wins long", "append", "NoTimeout")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    top = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "skirmish-shared")
+    return f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def run_in_time_order(rows: DataFrame, step: Callable[[DataFrame], DataFrame], time: str = "t", most: int | None = None) -> DataFrame:
+    """Feeds a table to ``step`` as a stream, one range of time a file and a micro-batch, the next one after the one before is done.
+
+    A range has about ``most`` rows (MICRO_BATCH), rows of one time are never parted. The order does not rest on the
+    times of files, which some stores give in whole seconds only.
+    """
+    spark = rows.sparkSession
+    rows = kept(rows)
+    ranges = max(1, math.ceil(rows.count() / (most or MICRO_BATCH)))
+    # files are named by the number of their range; there may be more of them than asked for
+    files = sorted(kept(rows.repartitionByRange(ranges, time)).inputFiles(), key=lambda f: f.rsplit("/", 1)[1])
+    each = math.ceil(len(files) / ranges)
+    path = shared_folder(spark)
+    query = None
+    try:
+        for k in range(0, len(files), each):
+            spark.read.schema(rows.schema).parquet(*files[k : k + each]).coalesce(1).write.mode("append").parquet(f"{path}/in")
+            if query is None:
+                made = step(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in"))
+                query = made.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/progress").outputMode("append").start()
+            query.processAllAvailable()
+    finally:
+        if query is not None:
+            query.stop()
+    return spark.read.schema(made.schema).parquet(f"{path}/out")
+
+
 def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over what its source has and gives what it wrote; sink and progress lie in the shared folder."""
     spark: SparkSession = stream.sparkSession
-    import os
-    import tempfile
-
-    top = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "skirmish-shared")
-    path = f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = shared_folder(spark)
     query = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/progress").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")

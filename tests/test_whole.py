@@ -1,9 +1,11 @@
 """Queries and operators do the whole job, not a part of it."""
 
+import glob
 import os
 
 import pytest
 
+from skirmish import streaming
 from skirmish.plans.adapter import match_sides
 from skirmish.plans.catalog import QUERIES
 
@@ -23,3 +25,39 @@ def test_every_match_asks(spark):
     events = [r for r in sides if r["elig"]]
     got = {(r["match_id"], r["side"]): (r["n"], r["wins"]) for r in QUERIES["two_stream_requests_all"][0](spark, FOLDER).collect()}
     assert got == {(r["match_id"], r["side"]): before(events, r["team"], r["t"]) for r in sides}
+
+
+def fed(spark):
+    """Rows of each file that streams were fed with."""
+    top = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    return {f: [r["t"] for r in spark.read.parquet(f).collect()] for f in glob.glob(f"{top}/stream-*/in/*.parquet")}
+
+
+@tables
+def test_stream_comes_in_bounded_batches(spark, monkeypatch):
+    monkeypatch.setattr(streaming, "MICRO_BATCH", 500)
+    old = fed(spark)
+    got = {(r["match_id"], r["side"]): (r["n_before"], r["wins_before"]) for r in QUERIES["streaming_prior_counts"][0](spark, FOLDER).collect()}
+    sides = match_sides(spark, FOLDER).where("elig").select("match_id", "side", "team", "t", "win").collect()
+    assert got == {(r["match_id"], r["side"]): before(sides, r["team"], r["t"]) for r in sides}
+    files = sorted(ts for f, ts in fed(spark).items() if f not in old)
+    assert len(files) > 2 and max(map(len, files)) < 1_000
+    assert all(max(a) < min(b) for a, b in zip(files, files[1:]))
+
+
+def test_hot_team_is_one_row_a_moment(spark):
+    rows = [(i, 1, 7 if i % 3 else i, i // 40, i % 2) for i in range(1, 1_200)]
+    df = spark.createDataFrame(rows, "match_id long, side int, team long, t long, win int")
+    moments = streaming.moments(df)
+    assert moments.where("team = 7").count() == 30
+    made = {(r["team"], r["t"]): (r["n_before"], r["wins_before"]) for r in streaming.run_in_time_order(moments, streaming.prior_moments, most=100).collect()}
+    events = [{"team": r[2], "t": r[3], "win": r[4]} for r in rows]
+    assert made == {(e["team"], e["t"]): before(events, e["team"], e["t"]) for e in events}
+
+
+def test_stream_out_of_time_order_fails(spark, tmp_path):
+    for t in (20, 10):
+        spark.createDataFrame([(7, t, 1, 1)], "team long, t long, n long, wins long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("team long, t long, n long, wins long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    with pytest.raises(Exception, match="out of time order"):
+        streaming.run_to_end(streaming.prior_moments(stream))
