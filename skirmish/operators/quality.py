@@ -79,12 +79,19 @@ def win_flag_check(rows: DataFrame) -> DataFrame:
 
 
 def players_in_common(rosters: DataFrame) -> DataFrame:
-    """(a, b, shared) for identities that share players: they meet in their players, so unrelated pairs never arise."""
+    """(a, b, shared) for all identities that share players, related or not: a player's identities meet in pairs."""
     pairs = rosters.select("player", "team").distinct()
     left, right = pairs.select("player", F.col("team").alias("a")), pairs.select("player", F.col("team").alias("b"))
     return left.join(right, "player").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
+def overlaps(rosters: DataFrame, name: str, ident: str) -> DataFrame:
+    """(name, a, b, shared) for identities under one name that share players; those of different names never meet."""
+    pairs = rosters.where(F.col("player").isNotNull()).select(name, "player", ident).distinct()
+    left, right = pairs.withColumnRenamed(ident, "a"), pairs.withColumnRenamed(ident, "b")
+    return left.join(right, [name, "player"]).where("a < b").groupBy(name, "a", "b").agg(F.count("*").alias("shared"))
+
+
 def spelling_groups(names: DataFrame, name: str, count: str) -> DataFrame:
     """Spellings with one identity key; the most frequent, then the first by name, is canonical."""
     w = Window.partitionBy("key").orderBy(F.desc(count), name)

@@ -116,6 +116,18 @@ JOIN (SELECT DISTINCT team, player FROM players WHERE map_name = 'PROMO') y ON x
 )
 
 
+def pairwise_overlap_all(spark, sf_dir):
+    """Appearances of one team, on all maps, that share players."""
+    return quality.overlaps(player_rows(spark, sf_dir), "team", "match_id")
+
+
+OVERLAP_ALL = sql(
+    """
+SELECT x.team, x.match_id AS a, y.match_id AS b, count(*) AS shared FROM (SELECT DISTINCT team, match_id, player FROM players) x
+JOIN (SELECT DISTINCT team, match_id, player FROM players) y ON x.team = y.team AND x.player = y.player AND x.match_id < y.match_id GROUP BY 1, 2, 3"""
+)
+
+
 def spelling(spark, sf_dir):
     (events,) = read_tables(spark, sf_dir, "conversations")
     names = events.select(F.substring("text", 1, 6).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
@@ -178,6 +190,7 @@ QUERIES = {
     "crosstab_bestof": (crosstab_bestof, sql("SELECT tier, count(*) FILTER (best_of = 1) AS bo1, count(*) FILTER (best_of = 3) AS bo3, count(*) FILTER (best_of = 5) AS bo5 FROM series GROUP BY 1")),
     "win_flag_check": (win_flags, sql("SELECT CASE WHEN score1 > score2 THEN 'team1' WHEN score1 < score2 THEN 'team2' ELSE 'tie' END AS implied, CASE WHEN win1 = 1 THEN 'team1' ELSE 'team2' END AS recorded, count(*) AS n FROM series GROUP BY 1, 2")),
     "pairwise_overlap": (pairwise_overlap, OVERLAP),
+    "pairwise_overlap_all": (pairwise_overlap_all, OVERLAP_ALL),
     "spelling_groups": (spelling, SPELLING),
     "era_islands": (era_islands, ERAS),
     "round_replay": (round_replay, ROUNDS),

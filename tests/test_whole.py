@@ -6,6 +6,7 @@ import os
 import pytest
 
 from skirmish import streaming
+from skirmish.operators import quality
 from skirmish.plans.adapter import match_sides
 from skirmish.plans.catalog import QUERIES
 
@@ -61,3 +62,9 @@ def test_stream_out_of_time_order_fails(spark, tmp_path):
     stream = spark.readStream.schema("team long, t long, n long, wins long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     with pytest.raises(Exception, match="out of time order"):
         streaming.run_to_end(streaming.prior_moments(stream))
+
+
+def test_only_identities_of_one_name_are_compared(spark):
+    rows = [("A", 1, 10), ("A", 1, 11), ("A", 2, 10), ("A", 2, 11), ("A", 2, 11), ("A", 3, 12), ("A", 3, None), ("B", 4, 10), ("B", 5, None)]
+    df = spark.createDataFrame(rows, "name string, id long, player long")
+    assert [tuple(r) for r in quality.overlaps(df, "name", "id").collect()] == [("A", 1, 2, 2)]
