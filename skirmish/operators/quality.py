@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import identity_key, sign_winner
+from ..functions import DAY, identity_key, sign_winner
 
 
 def reject_reasons(raw: DataFrame, rules: dict[str, Column]) -> DataFrame:
@@ -93,11 +93,50 @@ def overlaps(rosters: DataFrame, name: str, ident: str) -> DataFrame:
 
 
 def spelling_groups(names: DataFrame, name: str, count: str) -> DataFrame:
-    """Spellings with one identity key; the most frequent, then the first by name, is canonical."""
+    """Spellings with one identity key; the most frequent, then the first by name, is canonical. That they are one
+    identity is not shown by this: resolve_names() asks for shared players."""
     w = Window.partitionBy("key").orderBy(F.desc(count), name)
     return names.withColumn("key", identity_key(F.col(name))).withColumn("canonical", F.first(name).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
 
 
+GENERIC = r"(?i)^(mix\d*|tbd|team \d+[a-z]*|unknown|amateur team|qualifier)$"
+CLOSE_DAYS = 60
+
+
+def close_strangers(rosters: DataFrame, name: str, ident: str, event: str, time: str = "t") -> DataFrame:
+    """Names with two identities of known rosters, in one event or at most CLOSE_DAYS apart, that share no player.
+
+    Identities meet in their event or in neighbouring cells of time, so those far apart never do.
+    """
+    known = rosters.where(F.col("player").isNotNull()).groupBy(name, ident).agg(F.min(event).alias("e"), F.min(time).alias("t"))
+    cell = F.floor(F.col("t") / ((CLOSE_DAYS + 1) * DAY))
+    a, b = known.select(name, F.col(ident).alias("a"), F.col("e"), F.col("t").alias("ta")), known.select(name, F.col(ident).alias("b"), F.col("e"), F.col("t").alias("tb"))
+    same = a.join(b, [name, "e"]).where("a < b").select(name, "a", "b")
+    near = a.withColumn("cell", F.floor(F.col("ta") / ((CLOSE_DAYS + 1) * DAY))).drop("e")
+    around = known.select(name, F.col(ident).alias("b"), F.col("t").alias("tb"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
+    days = F.abs(F.floor((F.col("ta") - F.col("tb")) / DAY))  # whole days, rounded down as the reference does
+    near = near.join(around, [name, "cell"]).where(F.col("a") < F.col("b")).where(days <= CLOSE_DAYS).select(name, "a", "b")
+    return same.unionByName(near).join(overlaps(rosters, name, ident), [name, "a", "b"], "left_anti").select(name).distinct()
+
+
+def resolve_names(rosters: DataFrame, name: str, ident: str, event: str, time: str = "t") -> DataFrame:
+    """(name, key, n, canonical, resolution) of every name that is not blank.
+
+    ``rosters`` has a row for each player of an identity (null where the roster is unknown). Spellings with one key merge
+    (normalized) only if two of them share a player; otherwise they stay apart, unresolved. So do generic names and those
+    of close_strangers(); all others are exact.
+    """
+    rows = rosters.where(F.trim(name) != "").withColumn("key", identity_key(F.col(name)))
+    names = rows.groupBy("key", name).agg(F.count_distinct(ident).alias("n"))
+    spellings = names.groupBy("key").agg(F.count("*").alias("spellings"))
+    shared = rows.where(F.col("player").isNotNull()).groupBy("key", "player").agg(F.min(name).alias("x"), F.max(name).alias("y")).where("x <> y").select("key").distinct().withColumn("verified", F.lit(True))
+    strangers = close_strangers(rows, name, ident, event, time).withColumn("strange", F.lit(True))
+    made = spelling_groups(names, name, "n").join(spellings, "key").join(shared, "key", "left").join(strangers, name, "left")
+    open_ = (F.col("spellings") > 1) | F.col("strange").isNotNull() | F.rlike(F.col(name), F.lit(GENERIC))
+    merged = (F.col("spellings") > 1) & F.col("verified").isNotNull()
+    return made.select(name, "key", "n", F.when(merged, F.col("canonical")).otherwise(F.col(name)).alias("canonical"), F.when(merged, "normalized").when(open_, "unresolved").otherwise("exact").alias("resolution"))
+
+
 def eras(rows: DataFrame, key: str, value: str, time: str = "t") -> DataFrame:
     """Runs of equal values in time order (gaps and islands): key, era, value, n, begin, end."""
     w = Window.partitionBy(key).orderBy(time, "match_id")

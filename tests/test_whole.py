@@ -6,6 +6,7 @@ import os
 import pytest
 
 from skirmish import streaming
+from skirmish.functions import DAY
 from skirmish.operators import quality
 from skirmish.plans.adapter import match_sides
 from skirmish.plans.catalog import QUERIES
@@ -68,3 +69,22 @@ def test_only_identities_of_one_name_are_compared(spark):
     rows = [("A", 1, 10), ("A", 1, 11), ("A", 2, 10), ("A", 2, 11), ("A", 2, 11), ("A", 3, 12), ("A", 3, None), ("B", 4, 10), ("B", 5, None)]
     df = spark.createDataFrame(rows, "name string, id long, player long")
     assert [tuple(r) for r in quality.overlaps(df, "name", "id").collect()] == [("A", 1, 2, 2)]
+
+
+def test_spellings_merge_only_with_shared_players(spark):
+    games = [
+        ("Alpha", 1, [1, 2], "e1", 0), ("Alpha", 2, [1, 2], "e2", 10), ("ALPHA", 3, [2, 3], "e3", 200),  # a shared player
+        ("Beta", 4, [11], "e1", 0), ("beta", 5, [12], "e2", 900),  # marks and case alone
+        ("Gamma", 6, [21], "e1", 0), ("Gamma", 7, [22], "e2", 60),  # near in time, none shared
+        ("Delta", 8, [31], "e1", 0), ("Delta", 9, [32], "e2", 61),  # far apart
+        ("Eps", 10, [41], "e9", 0), ("Eps", 11, [42], "e9", 500),  # one event
+        ("Zeta", 12, [51], "e1", 0), ("Zeta", 13, [None], "e1", 1),  # roster unknown
+        ("mix3", 14, [61], "e1", 0), ("", 15, [71], "e1", 0),
+    ]
+    rows = [(n, i, p, e, d * DAY) for n, i, players, e, d in games for p in players]
+    df = spark.createDataFrame(rows, "name string, id long, player long, event string, t long")
+    got = {r["name"]: (r["canonical"], r["resolution"]) for r in quality.resolve_names(df, "name", "id", "event").collect()}
+    assert got == {
+        "Alpha": ("Alpha", "normalized"), "ALPHA": ("Alpha", "normalized"), "Beta": ("Beta", "unresolved"), "beta": ("beta", "unresolved"), "Gamma": ("Gamma", "unresolved"),
+        "Delta": ("Delta", "exact"), "Eps": ("Eps", "unresolved"), "Zeta": ("Zeta", "exact"), "mix3": ("mix3", "unresolved"),
+    }
