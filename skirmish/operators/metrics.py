@@ -106,15 +106,22 @@ def uniform(*parts: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") * F.lit(2.0**-53)
 
 
-def bootstrap(rows: DataFrame, cluster: str, replicates: int, seed: int = 42, y: str = "y", p: str = "p") -> DataFrame:
-    """Cluster bootstrap: (metric, low, high) percentile intervals of accuracy, log-loss and Brier score.
+def bootstrap(rows: DataFrame, cluster: str, replicates: int, seed: int = 42, y: str = "y", p: str = "p", other: str | None = None) -> DataFrame:
+    """Cluster bootstrap: (metric, low, high) percentile intervals of accuracy, log-loss and Brier score, and with the
+    probabilities of another arm of the paired deltas p - other (delta_accuracy, ...) on the same draws.
 
     Every cluster gets in every replicate a Poisson(1) number of copies, drawn from a hash of (seed, replicate, cluster):
     draws need no order and no second pass, all arms see the same ones. Sums by replicate are combined before the
     shuffle, so that moves ``replicates`` rows a task.
     """
-    q = clipped(F.col(p))
-    each = rows.groupBy(cluster).agg(F.count("*").alias("n"), F.sum(F.when((F.col(p) >= 0.5) == (F.col(y) == 1), 1.0).otherwise(0.0)).alias("hits"), F.sum(-F.when(F.col(y) == 1, F.log(q)).otherwise(F.log(1 - q))).alias("ll"), F.sum(F.pow(F.col(p) - F.col(y), 2)).alias("br"))
+    names = ("accuracy", "log_loss", "brier")
+    sums_of = {}
+    for k, arm in enumerate([p, other] if other else [p]):
+        q = clipped(F.col(arm))
+        sums_of[f"accuracy{k}"] = F.sum(F.when((F.col(arm) >= 0.5) == (F.col(y) == 1), 1.0).otherwise(0.0))
+        sums_of[f"log_loss{k}"] = F.sum(-F.when(F.col(y) == 1, F.log(q)).otherwise(F.log(1 - q)))
+        sums_of[f"brier{k}"] = F.sum(F.pow(F.col(arm) - F.col(y), 2))
+    each = rows.groupBy(cluster).agg(F.count("*").alias("n"), *[v.alias(m) for m, v in sums_of.items()])
     drawn = each.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     u = uniform(F.lit(seed), F.col("rep"), F.col(cluster))
     # Poisson(1) by its cumulative probabilities
@@ -123,6 +130,9 @@ def bootstrap(rows: DataFrame, cluster: str, replicates: int, seed: int = 42, y:
         cum += term
         copies = copies + (u >= cum).cast("int")
         term /= k
-    sums = drawn.withColumn("c", copies).where("c > 0").groupBy("rep").agg(F.sum(F.col("c") * F.col("n")).alias("n"), *[F.sum(F.col("c") * F.col(m)).alias(m) for m in ("hits", "ll", "br")])
-    named = F.explode(F.array(*[F.struct(F.lit(name).alias("metric"), (F.col(c) / F.col("n")).alias("value")) for name, c in (("accuracy", "hits"), ("log_loss", "ll"), ("brier", "br"))])).alias("m")
+    sums = drawn.withColumn("c", copies).where("c > 0").groupBy("rep").agg(F.sum(F.col("c") * F.col("n")).alias("n"), *[F.sum(F.col("c") * F.col(m)).alias(m) for m in sums_of])
+    values = {m: F.col(f"{m}0") / F.col("n") for m in names}
+    if other:
+        values |= {f"delta_{m}": (F.col(f"{m}0") - F.col(f"{m}1")) / F.col("n") for m in names}
+    named = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), v.alias("value")) for m, v in values.items()])).alias("m")
     return sums.select(named).groupBy("m.metric").agg(F.percentile("m.value", 0.025).alias("low"), F.percentile("m.value", 0.975).alias("high"))

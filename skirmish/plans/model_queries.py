@@ -244,8 +244,12 @@ SELECT match_id, name, value + 0.0 AS value, row_number() OVER (PARTITION BY mat
 )
 
 
+#: SURVEY 2.27.
+REPLICATES = 2000
+
+
 def bootstrap_ci(spark, sf_dir):
-    return rounded(metrics.bootstrap(scored(spark, sf_dir), "match_id", 200), "low", "high")
+    return rounded(metrics.bootstrap(scored(spark, sf_dir), "match_id", REPLICATES, other="p2"), "low", "high")
 
 
 def split_symmetry(spark, sf_dir):

@@ -3,11 +3,14 @@
 import glob
 import os
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from skirmish import streaming
 from skirmish.functions import DAY
-from skirmish.operators import quality
+from skirmish.operators import metrics, quality
+from skirmish.plans import model_queries
 from skirmish.plans.adapter import match_sides
 from skirmish.plans.catalog import QUERIES
 
@@ -88,3 +91,28 @@ def test_spellings_merge_only_with_shared_players(spark):
         "Alpha": ("Alpha", "normalized"), "ALPHA": ("Alpha", "normalized"), "Beta": ("Beta", "unresolved"), "beta": ("beta", "unresolved"), "Gamma": ("Gamma", "unresolved"),
         "Delta": ("Delta", "exact"), "Eps": ("Eps", "unresolved"), "Zeta": ("Zeta", "exact"), "mix3": ("mix3", "unresolved"),
     }
+
+
+def test_bootstrap_of_two_arms(spark):
+    assert model_queries.REPLICATES == 2000
+    rng = np.random.default_rng(5)
+    rows = [(i // 2, int(rng.integers(2)), float(rng.uniform(0.1, 0.9)), float(rng.uniform(0.1, 0.9))) for i in range(60)]
+    df = spark.createDataFrame(rows, "match_id long, y int, p double, p2 double")
+    reps = 40
+    u = spark.range(30).select(F.col("id").alias("match_id"), F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
+    drawn = {(r["rep"], r["match_id"]): r["u"] for r in u.withColumn("u", metrics.uniform(F.lit(42), F.col("rep"), F.col("match_id"))).collect()}
+    cdf = np.cumsum([np.exp(-1) / np.prod(np.arange(1, k + 1)) for k in range(8)])
+    want = {}
+    y, m = np.array([r[1] for r in rows]), [r[0] for r in rows]
+    for rep in range(1, reps + 1):
+        c = np.array([(drawn[rep, k] >= cdf).sum() for k in m])
+        arms = []
+        for p in (np.array([r[2] for r in rows]), np.array([r[3] for r in rows])):
+            arms.append([np.average(v, weights=c) for v in ((p >= 0.5) == (y == 1), -np.log(np.where(y == 1, p, 1 - p)), (p - y) ** 2)])
+        for k, name in enumerate(("accuracy", "log_loss", "brier")):
+            want.setdefault(name, []).append(arms[0][k])
+            want.setdefault(f"delta_{name}", []).append(arms[0][k] - arms[1][k])
+    got = {r["metric"]: (r["low"], r["high"]) for r in metrics.bootstrap(df, "match_id", reps, other="p2").collect()}
+    assert set(got) == set(want)
+    for name, v in want.items():
+        assert got[name] == pytest.approx(tuple(np.percentile(v, [2.5, 97.5])), abs=1e-9)
