@@ -6,14 +6,35 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Only a session on this one machine, as in tests, may do without: it
+    gets a temporary folder. On a cluster executors could not see that, so there it is an error."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = os.path.join(tempfile.gettempdir(), "skirmish-shared")
+    return top.rstrip("/")
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared folder in spark.checkpoint.dir and reads it back: cuts the lineage, survives lost
-    executors. A temporary folder serves only where the session names none."""
+    """Writes ``df`` to the shared folder and reads it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "skirmish-shared")
-    path = f"{top.rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes the files of tables of kept() that no later step reads. Any other DataFrame is left alone."""
+    for df in tables:
+        at = getattr(df, "_kept_at", None)
+        if at:
+            jvm = df.sparkSession.sparkContext._jvm
+            path = jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
