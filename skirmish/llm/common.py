@@ -197,4 +197,6 @@ def links_in_buckets(buckets: DataFrame, items_of: Callable[[DataFrame], DataFra
         return {"a": ids, "b": group_components(hit[np.ix_(some, some)], ids)}
 
     more = map_groups(dealt, ["bucket"], linked, "a long, b long")
-    return materialize(links.unionByName(more.where("a <> b")).distinct())
+    out = materialize(links.unionByName(more.where("a <> b")).distinct())
+    drop(members, items, links, label, left)
+    return out

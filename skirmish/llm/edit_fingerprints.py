@@ -4,7 +4,11 @@ All texts take the same random walk: at step j the character under the cursor is
 on j and the character alone decides whether the cursor moves on. Texts a few edits apart fall into step again after an
 edit, so edit distance becomes Hamming distance between the emitted strings. A fingerprint keeps the emitted characters
 at every 2^level-th step, four bits each; the level grows with the length, so a fingerprint has 85 to 256 samples or so
-(all steps of a short text), and the samples of a coarse level are among those of a fine one.
+(all steps of a short text), and the samples of a coarse level are among those of a fine one. Bands of a few samples each,
+drawn from the whole fingerprint, propose pairs; the likeness of the two fingerprints verifies them.
+
+Likeness depends on where an edit lies: what comes before it always agrees, what comes after it agrees once the walks have
+met again, which they may not do. An early edit can so cost more likeness than a late one of the same size.
 """
 
 from __future__ import annotations
@@ -18,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, id_text, links_in_buckets, map_texts, materialize
+from .common import components, drop, id_text, links_in_buckets, map_texts, materialize
 from .wordhash import GOLDEN, mix
 
 SAMPLES = 256
 PERIOD = 8192
-BANDS, BITS = 24, 6
+#: Likeness from which fingerprints link, and the bands: at this likeness six samples of a band agree with probability 0.30
+#: or so, and one of 20 bands does with 0.999.
+THRESHOLD, BANDS, BITS = 0.8, 20, 6
 _state: dict = {}
 
 
@@ -120,33 +126,41 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_texts(id_text(docs, id_col, text_col), run, "doc_id long, n_chars long, fingerprint string", 12_000_000)
 
 
-def band_keys(level: int, samples: np.ndarray, bands: int, bits: int) -> list[int]:
-    """Keys of bit-sampled bands at a text's own level and the next, so that texts on both sides of a step can meet."""
+def band_picks(bands: int, bits: int) -> np.ndarray:
+    """For each band the places of samples in random order. A fingerprint takes the first ``bits`` that it has, so bands
+    draw from the whole of it, and fingerprints of about the same size take the same places."""
+    if (bands, bits) not in _state:
+        draw = mix(np.arange(bands * SAMPLES, dtype=np.uint64) * GOLDEN + np.uint64(5)).reshape(bands, SAMPLES)
+        _state[bands, bits] = np.argsort(draw, axis=1)
+    return _state[bands, bits]
+
+
+def band_keys(level: int, samples: np.ndarray, bands: int = BANDS, bits: int = BITS, threshold: float = THRESHOLD) -> list[int]:
+    """Keys of bit-sampled bands at a text's own level. A text near the upper end of its level has keys of the next level
+    too, so that it meets texts of that level whose size it may be alike to."""
     out = []
-    for up in (0, 1):
+    # sizes of texts that link differ by the threshold at most; walks are a little longer or shorter than expected
+    near = len(samples) >= threshold * 0.85 * 2 / 3 * SAMPLES
+    for up in (0, 1) if near else (0,):
         s = samples[:: 1 << up]
-        pick = (mix(np.arange(bands * bits, dtype=np.uint64) * GOLDEN + np.uint64(5)) % np.uint64(80)).astype(int).reshape(bands, bits)
-        got = np.where(pick < len(s), s[np.minimum(pick, max(len(s) - 1, 0))] if len(s) else 0, 16)
+        order = band_picks(bands, bits)
         for b in range(bands):
-            raw = bytes([level + up, b]) + got[b].astype(np.uint8).tobytes()
-            out.append(int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True))
+            pick = order[b][order[b] < len(s)][:bits]
+            got = bytes([level + up, b, len(pick)]) + s[pick].astype(np.uint8).tobytes()
+            out.append(int.from_bytes(hashlib.blake2b(got, digest_size=8).digest(), "little", signed=True))
     return out
 
 
-def near_duplicates(prints: DataFrame, threshold: float = 0.5, bands: int = BANDS, bits: int = BITS) -> DataFrame:
-    """(doc_id, class_id) of fingerprints (doc_id, fingerprint): bands propose, likeness of ``threshold`` or more links.
-
-    Unrelated texts stay below about 0.25; a single edit leaves 0.98 in the median and less than 0.6 for one text in 20,
-    where the walks do not meet again, so the links are those of the fingerprints, not of exact edit distances.
-
-    Equal fingerprints meet first, in a groupBy. Null fingerprints and those of empty texts are classes of their own.
-    """
-    rows = prints.select(F.col("doc_id").cast("long").alias("doc_id"), "fingerprint")
-    reps = materialize(rows.where("length(fingerprint) > 2").groupBy("fingerprint").agg(F.min("doc_id").alias("rep")))
+def print_classes(prints: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, bits: int = BITS) -> DataFrame:
+    """(fingerprint, class_id) of every distinct fingerprint but those of empty texts: bands propose, likeness of
+    ``threshold`` or more links; class_id is the smallest doc_id of the class."""
+    rows = prints.select(F.col("doc_id").cast("long").alias("doc_id"), "fingerprint").where("length(fingerprint) > 2")
+    # distinct fingerprints are the nodes: the first doc_id stands for each; null ids come last
+    reps = materialize(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("rep")).where("rep is not null"))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [band_keys(*read(f), bands, bits) for f in b.column("fingerprint").to_pylist()]
+            made = [band_keys(*read(f), bands, bits, threshold) for f in b.column("fingerprint").to_pylist()]
             yield pa.RecordBatch.from_pydict({"id": b.column("rep"), "buckets": pa.array(made, pa.list_(pa.int64()))})
 
     buckets = reps.mapInArrow(keys, "id long, buckets array<long>").select("id", F.explode("buckets").alias("bucket"))
@@ -159,41 +173,27 @@ def near_duplicates(prints: DataFrame, threshold: float = 0.5, bands: int = BAND
         prints = [read(f) for f in table.column("items").to_pylist()]
         return np.array([[likeness(p, q) >= threshold for q in prints] for p in prints])
 
-    items = reps.select(F.col("rep").alias("id"), F.col("fingerprint").alias("items")).dropDuplicates(["id"])
-    classes = components(links_in_buckets(buckets, lambda ids: items.join(ids, items["id"] == ids["doc_id"], "left_semi"), alike("x", "y"), hits, 128))
-    of_print = reps.join(classes, reps["rep"] == classes["node"], "left").select("fingerprint", F.coalesce("component", "rep").alias("class"))
-    return rows.join(of_print, "fingerprint", "left").select("doc_id", F.coalesce("class", "doc_id").alias("class_id"))
+    # unlike texts under one doc_id have several fingerprints: each is a node of its own, known by its hash
+    items = reps.select(F.col("rep").alias("id"), F.col("fingerprint").alias("items")).groupBy("id").agg(F.min("items").alias("items"))
+    links = links_in_buckets(buckets, lambda ids: items.join(ids, items["id"] == ids["doc_id"], "left_semi"), alike("x", "y"), hits, 128)
+    classes = components(links)
+    drop(links)
+    return reps.join(classes, reps["rep"] == classes["node"], "left").select("fingerprint", F.coalesce("component", "rep").alias("class_id"))
 
 
-def with_next(docs: DataFrame, rows_a_part: int = 2_000, most_parts: int = 10_000) -> DataFrame:
-    """Documents in descending doc_id, each followed in its partition by the next one: (part, tail, doc_id, text).
+def near_duplicates(prints: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, bits: int = BITS) -> DataFrame:
+    """The rows of ``prints`` (doc_id, fingerprint and any other columns) with class_id: links are pairs of fingerprints
+    whose likeness is ``threshold`` or more, found in the bands they share; class_id is the smallest doc_id that links reach.
 
-    doc_ids are cut at approximate quantiles; the largest id of each part, its first document, goes to the part before as
-    well, with ``tail`` set; the very first follows the last. One shuffle of the texts.
+    Unrelated texts stay below about 0.25; a single edit leaves 0.98 in the median, but less than 0.8 for some texts, where
+    the walks do not meet again: the links are those of the fingerprints, not of exact edit distances. Texts of any length
+    count whole. Equal fingerprints meet first, in a groupBy. Null fingerprints and those of empty texts are classes of
+    their own, as are rows with a null doc_id unless a row with an id has the same fingerprint. Rows that repeat all come
+    out; where one doc_id has unlike texts, the class of its least fingerprint is that of all of them. No rows give no rows.
     """
-    count = docs.count()
-    parts = max(1, min(most_parts, -(-count // rows_a_part)))
-    ids = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"))  # null ids come last; whole numbers pass exactly
-    cuts = np.array(sorted(ids.select(F.percentile_approx("id", [k / parts for k in range(1, parts)] or [0.5], 20 * parts)).first()[0] or []), np.int64)
-
-    @F.pandas_udf("long")
-    def rough(v: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, v.to_numpy(np.int64)))
-
-    # quantiles pass through doubles: the largest id of each part is asked for, at most ``parts`` numbers
-    bounds = np.array(sorted(r["m"] for r in ids.groupBy(rough("id").alias("c")).agg(F.max("id").alias("m")).collect()), np.int64)
-
-    @F.pandas_udf("long")
-    def place(v: pd.Series) -> pd.Series:
-        x = v.to_numpy(np.int64)
-        at = np.minimum(np.searchsorted(bounds, x), len(bounds) - 1)
-        return pd.Series(2 * at + (bounds[at] == x))
-
-    n = max(1, len(bounds))
-    at = docs.withColumn("at", place(F.coalesce("doc_id", F.lit(-(1 << 63))))).withColumn("own", F.shiftright("at", 1))
-    both = F.array(F.struct(F.col("own").alias("part"), F.lit(False).alias("tail")), F.when(F.col("at") % 2 == 1, F.struct(((F.col("own") + 1) % n).alias("part"), F.lit(True).alias("tail"))))
-    rows = at.select("doc_id", "text", F.explode(both).alias("p")).where("p is not null").select("p.part", "p.tail", "doc_id", "text")
-    return rows.repartition(n, "part").sortWithinPartitions("part", "tail", F.desc("doc_id"), "text")
+    of_print = print_classes(prints, threshold, bands, bits).withColumnRenamed("fingerprint", "its_print").withColumnRenamed("class_id", "its_class")
+    joined = prints.join(of_print, F.col("fingerprint") == F.col("its_print"), "left")
+    return joined.withColumn("class_id", F.coalesce("its_class", F.col("doc_id").cast("long"))).drop("its_print", "its_class")
 
 
 def edited(text: str, following: str) -> str:
@@ -205,11 +205,20 @@ def edited(text: str, following: str) -> str:
 def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row.
 
-    The edited text is made with the next document in descending doc_id; rows with equal ids follow by their texts, null
-    ids come last; a table of one row follows itself. Null texts are empty. No rows give no rows.
+    The edited text is made with the next document in descending doc_id; rows with equal ids follow by a hash of their
+    texts, null ids come last; the first document follows the last, and a table of one row follows itself. Null texts are
+    empty; other columns of ``docs`` are not read. No rows give no rows.
+
+    One range shuffle of the texts puts them in order, however many rows share an id. Each range leaves its last document
+    open and hands on its first text; both are written, and the few open documents, one a range, get theirs in a join.
     """
+    rows = id_text(docs, id_col, text_col)
+    rows = rows.withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    order = [F.desc_nulls_last("doc_id"), F.asc("tie"), F.asc("row")]
+    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    out = docs.sparkSession.createDataFrame([], schema).schema
+    out = docs.sparkSession.createDataFrame([], schema + ", part int, head string, text string").schema
+    plain = out.names[:7]
 
     def finish(held: list[tuple[int, str, str]]) -> pa.RecordBatch:
         """Rows (doc_id, text, next text); a next text that is the following row's own is embedded once."""
@@ -220,6 +229,7 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         prints = embed(texts + new + [h[2] for h, s in zip(held, shared, strict=True) if not s])
         own, other, rest = prints[: len(held)], prints[len(held) : 2 * len(held)], iter(prints[2 * len(held) :])
         after = [own[k + 1] if s else next(rest) for k, s in enumerate(shared)]
+        none = [None] * len(held)
         cols = {
             "doc_id": [h[0] for h in held],
             "n_chars": [len(t) for t in texts],
@@ -229,21 +239,44 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             "near_edited": [likeness(a, b) for a, b in zip(own, other, strict=True)],
             "near_next": [likeness(a, b) for a, b in zip(own, after, strict=True)],
         }
-        return pa.RecordBatch.from_pydict(cols, schema=to_arrow_schema(out))
+        return pa.RecordBatch.from_pydict(cols | {"part": none, "head": none, "text": none}, schema=to_arrow_schema(out))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         held: list[tuple[int, str, str]] = []
-        size, waits = 0, None  # waits: the row whose next one is not known yet
+        size, head, waits = 0, None, None  # waits: the row whose next one is not known yet
         for b in batches:
-            for part, tail, doc, text in zip(*(b.column(c).to_pylist() for c in ("part", "tail", "doc_id", "text")), strict=True):
-                if waits is not None and waits[0] == part:
-                    held.append((waits[1], waits[2], text))
-                    size += len(waits[2])
-                waits = None if tail else (part, doc, text)
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if waits is None:
+                    head = text
+                else:
+                    held.append((waits[0], waits[1], text))
+                    size += len(waits[1])
+                waits = (doc, text)
                 if size > 6_000_000:
                     yield finish(held)
                     held, size = [], 0
         if held:
             yield finish(held)
+        if waits is not None:
+            edge = dict.fromkeys(plain) | {"doc_id": waits[0], "part": TaskContext.get().partitionId(), "head": head, "text": waits[1]}
+            yield pa.RecordBatch.from_pylist([edge], schema=finish([]).schema)
+
+    made = materialize(sorted_.mapInArrow(run, out))
+    edges = made.where("part is not null").select("part", "head", "doc_id", "text")
+    parts = sorted(r["part"] for r in edges.select("part").collect())  # whole numbers, one a range
+    after = {p: parts[(k + 1) % len(parts)] for k, p in enumerate(parts)}
+    pairs = docs.sparkSession.createDataFrame(list(after.items()), "part int, later int")
+    met = edges.drop("head").join(pairs, "part").join(edges.select(F.col("part").alias("later"), "head"), "later")
+
+    def close(cols: dict) -> dict:
+        got = finish(list(zip(cols["doc_id"], cols["text"], cols["head"], strict=True)))
+        return {n: got.column(n).to_pylist() for n in plain}
+
+    return made.where("part is null").select(*plain).unionByName(map_texts(met.select("doc_id", "text", "head"), close, schema))
+
 
-    return with_next(id_text(docs, id_col, text_col)).mapInArrow(run, out)
+def likeness_and_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """edit_likeness() with the class of each row's fingerprint (near_duplicates())."""
+    return near_duplicates(edit_likeness(docs, id_col, text_col), threshold)

@@ -15,21 +15,61 @@ from .common import id_text, map_texts
 
 #: Phrases whose exact places count as base, with their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Further short notices (normalised words), with their labels.
+#: Further short notices (normalised words: names, headers and first lines), with their labels.
 NOTICES = {
     "permission is hereby granted free of charge to any person obtaining a copy": "mit",
+    "mit no attribution": "mit-0",
     "licensed under the apache license version 2 0": "apache",
+    "apache software license": "apache",
     "gnu general public license as published by the free software foundation": "gpl",
     "gnu lesser general public license": "lgpl",
+    "gnu library general public license": "lgpl",
     "gnu affero general public license": "agpl",
+    "gnu free documentation license": "gfdl",
     "redistribution and use in source and binary forms with or without modification": "bsd",
+    "bsd 2 clause license": "bsd",
+    "bsd 3 clause license": "bsd",
+    "bsd 4 clause license": "bsd",
     "mozilla public license": "mpl",
     "eclipse public license": "epl",
+    "eclipse distribution license": "edl",
+    "common public license": "cpl",
+    "common development and distribution license": "cddl",
+    "european union public licence": "eupl",
+    "microsoft public license": "ms-pl",
+    "microsoft reciprocal license": "ms-rl",
     "creative commons attribution": "cc",
+    "creative commons zero": "cc0",
+    "cc0 1 0 universal": "cc0",
     "licensed under cc by": "cc",
+    "open data commons": "odc",
+    "open database license": "odbl",
     "boost software license": "boost",
     "this is free and unencumbered software released into the public domain": "unlicense",
     "permission to use copy modify and or distribute this software for any purpose": "isc",
+    "isc license": "isc",
+    "zlib libpng license": "zlib",
+    "this software is provided as is without any express or implied warranty": "zlib",
+    "python software foundation license": "psf",
+    "sil open font license": "ofl",
+    "the artistic license": "artistic",
+    "academic free license": "afl",
+    "open software license": "osl",
+    "server side public license": "sspl",
+    "business source license": "busl",
+    "elastic license 2 0": "elastic",
+    "blue oak model license": "blueoak",
+    "universal permissive license": "upl",
+    "university of illinois ncsa open source license": "ncsa",
+    "postgresql license": "postgresql",
+    "the beerware license": "beerware",
+    "mulan permissive software license": "mulan",
+    "cecill free software license agreement": "cecill",
+    "ibm public license": "ipl",
+    "sun public license": "spl",
+    "q public license": "qpl",
+    "w3c software notice and license": "w3c",
+    "x11 license": "x11",
 }
 
 _LOWER = bytes.maketrans(bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B)))
@@ -42,6 +82,18 @@ def edits(phrase: str) -> int:
     return max(1, len(phrase) // 12)
 
 
+def pattern(phrase: str) -> str:
+    """The phrase with bounded errors between word bounds. In a notice of less than 24 characters an edit in a short word
+    makes another word of it (mit, omit), so words of up to four characters stand unchanged there."""
+    k, fixed = edits(phrase), []
+    words = phrase.split(" ")
+    if len(phrase) < 24:
+        while words and len(words[0]) <= 4:
+            fixed.append(words.pop(0))
+    lead = "".join(f"{w} " for w in fixed)
+    return rf"(?e)(?<= ){lead}(?:{' '.join(words)}){{e<={k}}}(?= )" if words else rf"(?<= ){lead.strip()}(?= )"
+
+
 def normal(text: str) -> str:
     """The words of a text, lower-cased in A-Z only, parted and framed by single spaces."""
     words = text.encode().translate(_LOWER).translate(_WORD).split()
@@ -61,8 +113,8 @@ class Notice:
         at = [n * i // (k + 1) for i in range(k + 2)]
         self.k = k
         self.seeds = [(self.phrase[a:b], a) for a, b in zip(at, at[1:], strict=False)]
-        # words at both ends must begin and end where the match does
-        self.fuzzy = regex.compile(rf"(?b)(?<= )(?:{regex.escape(self.phrase, literal_spaces=True)}){{e<={k}}}(?= )")
+        # words at both ends must begin and end where the match does; of a match the best form near its place is taken
+        self.fuzzy = regex.compile(pattern(self.phrase))
 
 
 def notices(extra: dict[str, str] | None = None) -> list[Notice]:
@@ -77,8 +129,22 @@ def places(text: str, seed: str) -> list[int]:
     return out
 
 
+def occurrences(x: Notice, text: str, a: int, b: int) -> list[tuple[Notice, int, int, int]]:
+    """(notice, start, end, edits) of a notice within text[a:b]: every exact place, also where matches touch, and in the
+    gaps between those, from left to right, the matches with edits."""
+    exact = [a + p + 1 for p in places(text[a:b], f" {x.phrase} ")]
+    found = [(x, p, p + len(x.phrase), 0) for p in exact]
+    # a gap begins and ends with the space that frames its words
+    for lo, hi in zip([a, *(p + len(x.phrase) for p in exact)], [*exact, b], strict=True):
+        for m in x.fuzzy.finditer(text, lo, hi):
+            if m.start() < m.end():
+                found.append((x, m.start(), m.end(), sum(m.fuzzy_counts)))
+    return found
+
+
 def search(text: str, known: list[Notice]) -> list[tuple[Notice, int, int, int]]:
-    """(notice, start, end, edits) in a normalised text, in order; overlapping windows of a notice are searched as one."""
+    """(notice, start, end, edits) of all notices in a normalised text, in order. Only windows around seeds are searched,
+    overlapping ones as one: a match holds a seed, so it lies in a window."""
     if not text:
         return []
     found = []
@@ -91,7 +157,6 @@ def search(text: str, known: list[Notice]) -> list[tuple[Notice, int, int, int]]
             windows += [(max(0, p - offset - x.k - 1), min(len(text), p - offset + len(x.phrase) + x.k + 1)) for p in seeds[seed]]
         if not windows:
             continue
-        exact = f" {x.phrase} "
         done: list[tuple[int, int]] = []
         for a, b in sorted(windows):
             if done and a <= done[-1][1]:
@@ -99,14 +164,7 @@ def search(text: str, known: list[Notice]) -> list[tuple[Notice, int, int, int]]
             else:
                 done.append((a, b))
         for a, b in done:
-            held = set()
-            # every exact place, also where matches touch, and then what is left with edits
-            for p in places(text[a:b], exact):
-                found.append((x, a + p + 1, a + p + 1 + len(x.phrase), 0))
-                held.add((a + p + 1, a + p + 1 + len(x.phrase)))
-            for m in x.fuzzy.finditer(text, a, b):
-                if not any(m.start() < e and s < m.end() for s, e in held):
-                    found.append((x, m.start(), m.end(), sum(m.fuzzy_counts)))
+            found += occurrences(x, text, a, b)
     return sorted(found, key=lambda f: (f[1], f[2], f[0].phrase))
 
 

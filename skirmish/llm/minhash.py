@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, id_text, links_in_buckets, map_texts, materialize
+from .common import components, drop, id_text, links_in_buckets, map_texts, materialize
 from .wordhash import GOLDEN, Words, digest, grams, mix
 
 WIDTH = 5
@@ -180,6 +180,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
     n = F.size(F.array_intersect("x", "y"))
     links = links_in_buckets(buckets, lambda ids: bag_items(rows_, ids, width), n / (F.size("x") + F.size("y") - n) >= similarity, lambda t: overlaps(t, similarity), BLOCK)
     classes = components(links)
+    drop(links)
     of_key = reps.join(classes, reps["rep"] == classes["node"], "left").select("key", F.coalesce("component", "rep").alias("class"))
     out = made.select("doc_id", "key").join(of_key, "key", "left").select("doc_id", F.coalesce("class", "doc_id").alias("class_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))

@@ -1,8 +1,10 @@
 """Quality classifier by importance resampling.
 
 Two generative models of hashed n-grams, one of labelled target documents and one of all raw documents, give each
-document the weight p_target / p_raw. Gumbel noise is added to the log weights, and the largest k stay: a sample
-without replacement in proportion to the weights.
+document the weight p_target / p_raw, the product over its n-grams. Gumbel noise is added to the log weights, and the
+largest k stay: a sample without replacement in proportion to the weights. The caller chooses k; where they do not, it is
+the number of good documents to expect, the sum over all documents of the probability that labelled ones of such a weight
+are good.
 """
 
 from __future__ import annotations
@@ -11,20 +13,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, map_texts, materialize, slices
+from .common import drop, id_text, map_texts, materialize, slices
 from .wordhash import GOLDEN, Words, mix
 
 BUCKETS = 1 << 16
-#: At most so many labelled documents (by a hash of their ids) fit the target model and calibrate the cut.
+#: At most so many labelled documents (by a hash of their ids) fit the target model and calibrate k.
 LABELLED = 50_000
 SMOOTH = 20.0
-#: Log weights are those of a text of so many n-grams, or long documents would drown the noise and short ones drown in it.
-STANDARD = 256
-#: Few n-grams prove little: the weight of a text shrinks as if it had so many more that say nothing.
-SHRINK = 24
 
 
 class Tokens(Words):
@@ -86,19 +84,26 @@ def ngram_counts(docs: DataFrame, buckets: int = BUCKETS) -> tuple[np.ndarray, n
 
 def log_ratio(target: np.ndarray, raw: np.ndarray, smooth: float = SMOOTH) -> np.ndarray:
     """log p_target / p_raw by bucket. ``smooth`` is added to each raw count and its share to each target count, so that
-    buckets seldom seen say little."""
+    buckets seldom seen say little; then the ratio moves towards 0 by its standard error, or what is mere chance in each
+    n-gram would add up in long texts."""
     share = target.sum() / max(raw.sum(), 1)
-    return np.log((target + smooth * share) / share) - np.log(raw + smooth)
+    seen = target + smooth * share
+    plain = np.log(seen / share) - np.log(raw + smooth)
+    return np.sign(plain) * np.maximum(np.abs(plain) - 1 / np.sqrt(seen), 0)
 
 
-def scores(ids: list, texts: list[str], ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(n_grams, log weight at STANDARD length, key) of texts; the Gumbel noise of the key is fixed by the id."""
-    doc, at = features(texts, len(ratio))
-    n = np.bincount(doc, minlength=len(texts))
-    weight = np.bincount(doc, ratio[at], len(texts)) * STANDARD / (n + SHRINK)
+def gumbel(ids: list) -> np.ndarray:
+    """Gumbel noise fixed by the id, so that a lost task makes the same again."""
     seed = np.array([-1 if x is None else x for x in ids], np.int64).view(np.uint64)
     u = ((mix(seed * GOLDEN + np.uint64(3)) >> np.uint64(12)).astype(float) + 0.5) * 2.0**-52
-    return n, weight, weight - np.log(-np.log(u))
+    return -np.log(-np.log(u))
+
+
+def scores(ids: list, texts: list[str], ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n_grams, log weight, key) of texts; the key is the log weight and the id's Gumbel noise."""
+    doc, at = features(texts, len(ratio))
+    weight = np.bincount(doc, ratio[at], len(texts))
+    return np.bincount(doc, minlength=len(texts)), weight, weight + gumbel(ids)
 
 
 def log_weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
@@ -113,7 +118,7 @@ def log_weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
 
 
 def roles(labels: DataFrame, most: int) -> DataFrame:
-    """(doc_id, role, good): labelled documents, half of them (good ones) as the target, half to calibrate the cut.
+    """(doc_id, role, good): labelled documents, half of them (good ones) as the target, half to calibrate k.
 
     About ``most`` rows at most, chosen by a hash of their ids, so the result may be broadcast.
     """
@@ -123,85 +128,130 @@ def roles(labels: DataFrame, most: int) -> DataFrame:
     return each.where(u < int(share * (1 << 20))).select("doc_id", F.when(u % 2 == 1, 2).when(F.col("quality") == 1, 1).otherwise(0).alias("role"), (F.col("quality") == 1).alias("good"))
 
 
-def best_cut(good: np.ndarray, bad: np.ndarray) -> float:
-    """The cut with the least sum of both error rates, in the middle of the widest such gap; all pass without both kinds."""
-    if not len(good) or not len(bad):
-        return -np.inf
-    good, bad = np.sort(good), np.sort(bad)
-    at = np.unique(np.concatenate((good, bad)))
-    error = np.searchsorted(good, at) / len(good) + 1 - np.searchsorted(bad, at) / len(bad)
-    least = np.flatnonzero(error <= error.min() + 1e-12)
-    gap = np.where(least > 0, at[least] - at[np.maximum(least - 1, 0)], 0.0)
-    k = least[int(np.argmax(gap))]
-    return float((at[k] + at[k - 1]) / 2) if k else float(at[k])
-
-
-def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, most: int = LABELLED) -> tuple[np.ndarray, float]:
-    """(log ratio by bucket, cut of the key). The raw model counts all documents, the target model at most ``most``
-    labelled good ones; labelled documents that the target lacks calibrate the cut."""
-    known = F.broadcast(materialize(roles(labels, most)))
-    raw, target = ngram_counts(docs.join(known.drop("good"), "doc_id", "left").select("text", F.coalesce("role", F.lit(0)).alias("role")), buckets)
+class Chance:
+    """The probability that a document of a log weight is good: the shares of good ones among labelled documents, pooled
+    until they rise with the weight (isotonic regression). Without labels of both kinds all are taken for good."""
+
+    def __init__(self, weight: np.ndarray, good: np.ndarray):
+        self.edge, self.share = np.zeros(0), np.ones(1)
+        if not good.any() or good.all():
+            return
+        x, at = np.unique(weight, return_inverse=True)
+        pools: list[list[float]] = []  # good ones, all, largest weight
+        for w, g, n in zip(x, np.bincount(at, good), np.bincount(at), strict=True):
+            pools.append([g, n, w])
+            while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
+                g, n, w = pools.pop()
+                pools[-1] = [pools[-1][0] + g, pools[-1][1] + n, w]
+        tops = np.array([p[2] for p in pools])
+        after = x[np.minimum(np.searchsorted(x, tops[:-1], "right"), len(x) - 1)]
+        self.edge = (tops[:-1] + after) / 2  # halfway to the next pool
+        self.share = np.array([p[0] / p[1] for p in pools])
+
+    def of(self, weight: np.ndarray) -> np.ndarray:
+        return self.share[np.searchsorted(self.edge, weight)]
+
+
+def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, most: int = LABELLED) -> tuple[np.ndarray, Chance]:
+    """(log ratio by bucket, chance of being good). The raw model counts all documents, the target model at most ``most``
+    labelled good ones; labelled documents that the target lacks calibrate the chance."""
+    known = materialize(roles(labels, most))
+    wide = F.broadcast(known)  # at most ``most`` rows
+    raw, target = ngram_counts(docs.join(wide.drop("good"), "doc_id", "left").select("text", F.coalesce("role", F.lit(0)).alias("role")), buckets)
     ratio = log_ratio(target, raw) if target.any() else np.zeros(buckets)
-    held = log_weights(docs.join(known.where("role = 2"), "doc_id", "left_semi"), ratio).join(known, "doc_id").select("key", "good").collect()  # at most ``most``
-    keys, good = np.array([r["key"] for r in held]), np.array([r["good"] for r in held], bool)
-    return ratio, best_cut(keys[good], keys[~good])
+    held = log_weights(docs.join(wide.where("role = 2"), "doc_id", "left_semi"), ratio).join(wide, "doc_id").groupBy("log_weight", "good").count().orderBy("log_weight", "good").limit(2 * most).collect()
+    drop(known)
+    n = np.array([r["count"] for r in held], np.int64)
+    return ratio, Chance(np.repeat([r["log_weight"] for r in held], n), np.repeat(np.array([r["good"] for r in held], bool), n))
 
 
-def classify(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, most: int = LABELLED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_grams, log_weight, key, kept) of every row: kept are the k largest keys, k how many exceed the cut.
+def expected_good(scored: DataFrame, chance: Chance) -> int:
+    """The sum of the chances of all rows, as a whole number. Each pool is a range of weights: Spark counts the rows of each."""
+    if not len(chance.edge):
+        return scored.count()
+    at = F.array_size(F.filter(F.array(*[F.lit(float(e)) for e in chance.edge]), lambda e: e < F.col("log_weight")))
+    n = {r["at"]: r["n"] for r in scored.groupBy(at.alias("at")).agg(F.count("*").alias("n")).collect()}  # a row for each pool
+    return round(sum(k * float(chance.share[i]) for i, k in n.items()))
 
-    ``labels`` has doc_id and quality (1 good); null labels say nothing, of two the lower counts. Null and empty texts
-    weigh 0, as much as what the model knows nothing of. Without labels of both kinds all are kept. Rows that repeat a
-    doc_id share its noise. An empty table gives no rows.
-    """
-    rows = id_text(docs, id_col, text_col)
-    ratio, cut = fit(rows, labels, buckets, most)
-    return log_weights(rows, ratio).withColumn("kept", F.col("key") >= F.lit(cut))
 
+def nth_largest(rows: DataFrame, name: str, n: int, bins: int = 4096, few: int = 10_000) -> tuple[object, int]:
+    """(value, rank): the n-th largest of a column's values and the rank it has among equal ones; n is at most the rows.
 
-def keep_good(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, most: int = LABELLED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that classify() keeps; nothing is shuffled."""
-    ratio, cut = fit(id_text(docs, id_col, text_col), labels, buckets, most)
-    shared = docs.sparkSession.sparkContext.broadcast(ratio)
+    Counts by range narrow the range that holds it until ``few`` rows are left; only those are ordered.
+    """
+    lo, hi, left = *rows.agg(F.min(name), F.max(name)).first(), n
+    while True:
+        inside = rows.where(F.col(name).between(lo, hi))
+        if lo == hi:
+            return lo, left
+        width = (float(hi) - float(lo)) / bins
+        if not width > 0:  # values so close that doubles do not tell them apart: there are few
+            r = {"lo": lo, "hi": hi, "n": 0}
+            break
+        place = F.least(F.lit(bins - 1), F.floor((F.col(name).cast("double") - F.lit(float(lo))) / F.lit(width)).cast("int"))
+        ranges = inside.groupBy(place.alias("b")).agg(F.count("*").alias("n"), F.min(name).alias("lo"), F.max(name).alias("hi"))
+        for r in sorted(ranges.collect(), key=lambda r: -r["b"]):  # at most ``bins`` rows
+            if left <= r["n"]:
+                break
+            left -= r["n"]
+        lo, hi = r["lo"], r["hi"]
+        if r["n"] <= few:
+            break
+    for v in rows.where(F.col(name).between(r["lo"], r["hi"])).groupBy(name).count().orderBy(F.desc(name)).toLocalIterator():
+        if left <= v["count"]:
+            return v[name], left
+        left -= v["count"]
+    raise ValueError("n exceeds the number of rows")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.rename_columns(["text" if n == text_col else f"{n}_" if n == "text" else n for n in batch.schema.names])
-            at = 0
-            for part in slices(texts, 4_000_000):
-                ids = [None if x is None else int(x) for x in part.column(id_col).to_pylist()]
-                key = scores(ids, [t or "" for t in part.column("text").to_pylist()], shared.value)[2]
-                yield batch.slice(at, part.num_rows).filter(pa.array(key >= cut))
-                at += part.num_rows
 
-    return docs.mapInArrow(run, docs.schema)
+def among_top(scored: DataFrame, k: int, bins: int = 4096) -> Column:
+    """Whether a row of ``scored`` is among the k largest keys; of equal keys the smaller doc_ids are. Found exactly, without
+    a global sort. Rows that repeat both share their fate, so with such rows at the edge there may be more than k."""
+    n = scored.count()
+    if k >= n or k <= 0:
+        return F.lit(k > 0)
+    key, rest = nth_largest(scored, "key", k, bins)
+    back = F.bitwise_not(F.coalesce("doc_id", F.lit((1 << 63) - 1)))  # falls as the id grows; null ids come last
+    least, _ = nth_largest(scored.where(F.col("key") == F.lit(key)).select(back.alias("back")), "back", rest, bins)
+    return (F.col("key") > F.lit(key)) | ((F.col("key") == F.lit(key)) & (back >= F.lit(least)))
 
 
 def resample(scored: DataFrame, k: int, bins: int = 4096) -> DataFrame:
-    """The k rows of the largest keys (ties: the smaller doc_id), found exactly without a global sort.
+    """The rows of the k largest keys (ties: the smaller doc_id); an empty table gives no rows, a large k all."""
+    return scored.where(among_top(scored, k, bins))
+
+
+def classify(docs: DataFrame, labels: DataFrame, k: int | None = None, buckets: int = BUCKETS, most: int = LABELLED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_grams, log_weight, key, kept) of every row: kept are the rows of resample(), the k largest keys.
 
-    Counts by key range narrow the range that holds the k-th key until it has few rows; only those are ordered.
+    ``k`` None: the number of good documents to expect. ``labels`` has doc_id and quality (1 good); null labels say
+    nothing, of two the lower counts. Null and empty texts weigh 0, as much as what the model knows nothing of. Without
+    labels of both kinds all are kept. Rows that repeat a doc_id share its noise. An empty table gives no rows. Other
+    columns of ``docs`` are not read.
     """
-    if k <= 0:
-        return scored.limit(0)
-    lo, hi = scored.agg(F.min("key"), F.max("key")).first()
-    above, rest = 0, k
-    while lo is not None and hi > lo:
-        step = (hi - lo) / bins
-        place = F.least(F.lit(bins - 1), F.floor((F.col("key") - F.lit(lo)) / F.lit(step)).cast("int"))
-        inside = scored.where(F.col("key").between(lo, hi)).groupBy(place.alias("b")).agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
-        for r in sorted(inside.collect(), key=lambda r: -r["b"]):  # at most ``bins`` rows
-            if rest <= r["n"]:
-                break
-            rest -= r["n"]
-            above += r["n"]
-        else:
-            return scored
-        if r["n"] <= 10_000 or (r["lo"], r["hi"]) == (lo, hi):
-            lo, hi = r["lo"], r["hi"]
-            break
-        lo, hi = r["lo"], r["hi"]
-    if lo is None:
-        return scored
-    edge = scored.where(F.col("key").between(lo, hi)).orderBy(F.desc("key"), "doc_id").limit(rest)
-    return scored.where(F.col("key") > hi).unionByName(edge)
+    rows = id_text(docs, id_col, text_col)
+    ratio, chance = fit(rows, labels, buckets, most)
+    scored = materialize(log_weights(rows, ratio))
+    return scored.withColumn("kept", among_top(scored, expected_good(scored, chance) if k is None else k))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, k: int | None = None, buckets: int = BUCKETS, most: int = LABELLED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that classify() keeps. Texts are not shuffled: they are weighed again
+    where they lie and compared with the k-th key."""
+    rows = id_text(docs, id_col, text_col)
+    ratio, chance = fit(rows, labels, buckets, most)
+    scored = materialize(log_weights(rows, ratio).select("doc_id", "log_weight", "key"))
+    top = among_top(scored, expected_good(scored, chance) if k is None else k)
+    shared = docs.sparkSession.sparkContext.broadcast(ratio)
+
+    @F.arrow_udf("double")
+    def key_of(ids: pa.Array, texts: pa.Array) -> pa.Array:
+        got, at = [pa.array([], pa.float64())], 0
+        for part in slices(pa.RecordBatch.from_arrays([texts], ["text"]), 4_000_000):
+            got.append(pa.array(scores(ids.slice(at, part.num_rows).to_pylist(), part.column(0).to_pylist(), shared.value)[2]))
+            at += part.num_rows
+        return pa.concat_arrays(got)
+
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    again = docs.select(own, F.col(id_col).cast("long").alias("doc_id"), key_of(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("key"))
+    return again.where(top).select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -17,8 +17,14 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: What op1's column ``spans`` lists, joined by commas.
+OP1_SPANS = "label:first_word:last_word:edits"
+
+
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.license_scan(table(spark, sf_dir, "documents")).drop("spans")
+    made = licenses.license_scan(table(spark, sf_dir, "documents"))
+    each = F.transform("spans", lambda s: F.concat_ws(":", *[s[k] for k in OP1_SPANS.split(":")]))
+    return made.withColumn("spans", F.concat_ws(",", each))
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +54,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edit_fingerprints.edit_likeness(table(spark, sf_dir, "documents"))
+    return edit_fingerprints.likeness_and_classes(table(spark, sf_dir, "documents"))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -155,14 +155,84 @@ def test_edit_likeness(spark):
     assert edit_fingerprints.edit_likeness(spark.createDataFrame([(5, "only")], "doc_id long, text string")).first()["n_chars"] == 4
 
 
+def walk(text):
+    """The embedding character by character, by plain loops: (level, samples)."""
+    bits, nibble = edit_fingerprints.coins()
+    n, level = len(text), 0
+    while 3 * n >= edit_fingerprints.SAMPLES and 3 * n >> level >= edit_fingerprints.SAMPLES:
+        level += 1
+    at, step, out = 0, 0, []
+    while at < n and step < 3 * n:
+        cp = ord(text[at])
+        c = (cp ^ (cp >> 8)) & 255
+        if step % (1 << level) == 0:
+            out.append(int(nibble[c]))
+        at += int(bits[step % edit_fingerprints.PERIOD][c])
+        step += 1
+    return level, out
+
+
+def test_embedding_is_the_plain_walk():
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdé😀 ") for _ in range(n)) for n in (0, 1, 2, 5, 84, 85, 86, 170, 171, 500, 5000)] + [t for t in ODD if len(t) < 7000]
+    for t, (level, samples) in zip(texts, edit_fingerprints.embed(texts), strict=True):
+        assert (level, samples.tolist()) == walk(t), t[:40]
+
+
 def test_fingerprint_classes(spark):
     rng = random.Random(6)
     base = ["".join(rng.choice("abcdefghij ") for _ in range(900)) for _ in range(10)]
-    texts = base + [b[:400] + "!" + b[402:] for b in base] + base[:2] + ["", ""]
+    texts = base + [b[:600] + "!" + b[602:] for b in base] + base[:2] + ["", ""]
     prints = edit_fingerprints.fingerprints(table(spark, texts, clash=False))
+    prints = prints.selectExpr("*", "'x' AS class", "1 AS its_class_")
     got = {r["doc_id"]: r["class_id"] for r in edit_fingerprints.near_duplicates(prints).collect()}
-    assert sum(got[i] == got[i + 10] == i for i in range(10)) >= 9 and got[20] == got[0] and got[22] == 22 and got[23] == 23
+    assert sum(got[i] == got[i + 10] == i for i in range(10)) >= 8 and got[20] == got[0] and got[22] == 22 and got[23] == 23
     assert len({got[i] for i in range(10)}) == 10
+    odd = spark.createDataFrame([(1, None), (None, "0:12"), (None, "0:1"), (2, "0:1"), (2, "0:1"), (3, "0:")], "doc_id long, fingerprint string")
+    assert sorted((r["doc_id"] or 0, r["class_id"] or 0) for r in edit_fingerprints.near_duplicates(odd).collect()) == [(0, 0), (0, 2), (1, 1), (2, 2), (2, 2), (3, 3)]
+    assert edit_fingerprints.near_duplicates(odd.limit(0)).count() == 0
+
+
+def test_band_classes_are_those_of_all_pairs(spark):
+    """Classes by bands against links of all pairs of fingerprints, edits at all places and lengths on both sides of a level."""
+    rng = random.Random(12)
+    texts = []
+    for n in (60, 150, 168, 172, 340, 345, 900, 3000):
+        for _ in range(6):
+            t = "".join(rng.choice("abcdefghij ") for _ in range(n))
+            cut = rng.randrange(n)
+            texts += [t, t[:cut] + "#" + t[cut:], t[: n - n // 20], t[n // 20 :], t[:cut] + t[cut + 3 :]]
+    prints = [edit_fingerprints.embed([t])[0] for t in texts]
+    like = edit_fingerprints.likeness
+    links = [(i, j) for i in range(len(prints)) for j in range(i) if like(prints[i], prints[j]) >= edit_fingerprints.THRESHOLD]
+    keys = [set(edit_fingerprints.band_keys(*p)) for p in prints]
+    met = sum(bool(keys[i] & keys[j]) for i, j in links)
+    assert len(links) > 80 and met >= 0.99 * len(links)
+    got = {r["doc_id"]: r["class_id"] for r in edit_fingerprints.near_duplicates(edit_fingerprints.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
+    want = classes(links, range(len(texts)))
+    assert sum(got[i] != want[i] for i in want) <= 2
+
+
+def test_likeness_by_place_of_an_edit():
+    """What the docstring says: edits late in a text always cost little, early ones may cost more."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcdefghijklmnop ") for _ in range(1200)) for _ in range(200)]
+    fresh = ["".join(rng.choice("abcdefghijklmnop ") for _ in range(360)) for _ in range(200)]
+    like = lambda a, b: [edit_fingerprints.likeness(x, y) for x, y in zip(edit_fingerprints.embed(a), edit_fingerprints.embed(b), strict=True)]
+    late, early = like(texts, [t[:840] + f for t, f in zip(texts, fresh, strict=True)]), like(texts, [f + t[360:] for t, f in zip(texts, fresh, strict=True)])
+    assert min(late) > 0.5 and 0.2 < np.mean(np.array(early) > 0.5) < 1
+    one = like(texts, [t[:600] + t[601:] for t in texts])
+    assert np.mean(np.array(one) >= edit_fingerprints.THRESHOLD) > 0.6
+
+
+def test_edit_likeness_of_repeated_rows(spark):
+    """Rows that share an id, rows without one, columns with the names of the operator's own."""
+    rows = [(None, "n1"), (5, "aaaa"), (5, "aaaa"), (5, "bbbb"), (9, "zzzzzz"), (None, None), (None, "n1")]
+    df = spark.createDataFrame([(i, t, 1, "x", 2) for i, t in rows], "doc_id long, text string, part int, head string, tie int")
+    got = edit_fingerprints.edit_likeness(df.repartition(3)).collect()
+    assert sorted((r["doc_id"] or 0, r["n_chars"]) for r in got) == [(0, 0), (0, 2), (0, 2), (5, 4), (5, 4), (5, 4), (9, 6)]
+    full = edit_fingerprints.likeness_and_classes(df)
+    assert {(r["doc_id"], r["class_id"]) for r in full.collect() if r["doc_id"]} == {(5, 5), (9, 9)} and full.columns[-1] == "class_id"
 
 
 def test_vectors(spark):

@@ -154,6 +154,57 @@ def test_classifier_on_held_out(spark):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, r in rows.items() if r["kept"]}
 
 
+def plain_keys(texts, ids, roles, buckets):
+    """Log weights and keys by dicts, text by text: counts of all and of target texts, their ratio, sums over n-grams."""
+    import math
+
+    def grams(t):
+        w = re.findall(r"[A-Za-z0-9\x80-\U0010ffff]+|[!-/:-@\[-`{-~]+", t)
+        lone = lambda x: int(quality.features([x], buckets)[1][0])
+        out = [lone(x) for x in w]
+        equal, skip = (int(quality.mix(np.array([n], np.uint64))[0] % np.uint64(buckets)) for n in (1, 2))
+        for x, y in zip(w, w[1:], strict=False):
+            h = quality.Tokens([f"{x} {y}"]).hashes()
+            out.append(equal if x == y else int(quality.mix(quality.mix(h[:1] * quality.GOLDEN + h[1:]))[0] % np.uint64(buckets)))
+        return out + [skip for x, y in zip(w, w[2:], strict=False) if x == y]
+
+    raw, target = {}, {}
+    for t, r in zip(texts, roles, strict=True):
+        for g in grams(t):
+            raw[g] = raw.get(g, 0) + 1
+            target[g] = target.get(g, 0) + (r == 1)
+    share = sum(target.values()) / sum(raw.values())
+    ratio = {}
+    for g, n in raw.items():
+        seen = target[g] + quality.SMOOTH * share
+        x = math.log(seen / share / (n + quality.SMOOTH))
+        ratio[g] = math.copysign(max(abs(x) - 1 / math.sqrt(seen), 0), x)
+    weight = [sum(ratio[g] for g in grams(t)) for t in texts]
+    return weight, [w + float(quality.gumbel([i])[0]) for w, i in zip(weight, ids, strict=True)]
+
+
+@pytest.mark.parametrize("k", [0, 7, 60, 119, 500])
+def test_kept_are_the_top_k_of_plain_counts(spark, k):
+    rng = random.Random(k)
+    texts = [" ".join(rng.choice(["ab", "cd!", "é", "x1", "...", "Zz", "w w"]) for _ in range(rng.randint(0, 60))) for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(0, 120, 2)], "doc_id long, quality int")
+    role = {r["doc_id"]: r["role"] for r in quality.roles(labels, 10**6).collect()}
+    weight, key = plain_keys(texts, range(120), [role.get(i, 0) for i in range(120)], quality.BUCKETS)
+    got = {r["doc_id"]: r for r in quality.classify(docs, labels, k).collect()}
+    assert all(abs(got[i]["log_weight"] - weight[i]) < 1e-6 and abs(got[i]["key"] - key[i]) < 1e-6 for i in range(120))
+    assert {i for i, r in got.items() if r["kept"]} == set(sorted(range(120), key=lambda i: -key[i])[:k])
+
+
+def test_k_is_the_number_of_good_ones_to_expect(spark):
+    weight, good = np.array([0.0, 1, 2, 3, 4, 5, 6, 7]), np.array([0, 0, 1, 0, 1, 1, 0, 1], bool)
+    chance = quality.Chance(weight, good)
+    assert chance.of(np.array([-9, 0.4, 2, 3, 4.4, 6, 7, 99])).tolist() == [0, 0, 0.5, 0.5, 2 / 3, 2 / 3, 1, 1]
+    df = spark.createDataFrame([(i, float(w)) for i, w in enumerate([-3, 0, 2, 2, 3, 5, 5, 5, 8, 9])], "doc_id long, log_weight double")
+    assert quality.expected_good(df, chance) == round(3 * 0.5 + 3 * 2 / 3 + 2)
+    assert quality.expected_good(df, quality.Chance(weight, np.ones(8, bool))) == 10
+
+
 def test_classifier_without_labels(spark):
     docs = table(spark, ODD)
     none = spark.createDataFrame([], "doc_id long, quality int")
@@ -195,7 +246,8 @@ def test_pipeline_stages(spark):
         after = at[name] = {r["doc_id"]: r["text"] for r in made.collect()}
         assert made.where("n_chars <> length(text)").isEmpty()
         if name == "quality_classifier":
-            assert all((d in after) == (labels[d] == 1) for d in labels)
+            # the largest k keys, noise and all, of 341 good and 58 bad labelled documents
+            assert np.mean([(d in after) == (labels[d] == 1) for d in labels]) >= 0.98
         elif name == "minhash_dedup":
             gone = set(before) - set(after)
             bags = {d: bag(t) for d, t in before.items()}

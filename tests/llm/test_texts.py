@@ -1,11 +1,13 @@
 """License scan, packing, token counts and piece encoding."""
 
+import os
 import random
 import re
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from skirmish.llm import licenses, packing, token_counts, unigram
@@ -14,6 +16,7 @@ from .cases import ODD, empty, table
 
 tokenizers = pytest.importorskip("public_tokenizers")
 BPE, PIECES = tokenizers.path("byte_bpe_50k.json"), tokenizers.path("piece_bpe_32k.model")
+FOLDER = "/root/testdata/sf0.01"
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 
@@ -51,18 +54,47 @@ def test_license_edits():
     assert not licenses.search(licenses.normal("the license of the apache chief"), known)
 
 
+def unseeded(text, known):
+    """Every notice tried on the whole text, without seeds and windows."""
+    found = [h for x in known for h in licenses.occurrences(x, text, 0, len(text))]
+    return sorted(found, key=lambda f: (f[1], f[2], f[0].phrase))
+
+
 def test_license_finds_all_within_the_edits():
-    """Against the fuzzy pattern tried on whole texts, without seeds."""
     rng = random.Random(9)
-    known = [x for x in licenses.notices() if x.base]
-    for _ in range(300):
-        x = rng.choice(known)
-        s = list(x.phrase)
-        for _ in range(rng.randint(0, x.k)):
-            s[rng.randrange(len(s))] = rng.choice("abc")
-        text = licenses.normal("foo bar " + "".join(s) + " baz")
-        found = {h[0].phrase for h in licenses.search(text, known)}
-        assert {y.phrase for y in known if y.fuzzy.search(text)} == found
+    known = licenses.notices()
+    several = 0
+    for n in range(400):
+        parts = []
+        for _ in range(rng.randint(1, 5)):
+            x = rng.choice(known)
+            s = list(x.phrase)
+            for _ in range(rng.choice([0, 0, 1, x.k, x.k + 1])):
+                i = rng.randrange(len(s))
+                s[i : i + 1] = rng.choice([["a"], ["b", s[i]], []])
+            parts += ["".join(s), rng.choice(["foo bar", "license", "", "mit", "public x"])]
+        text = licenses.normal(" ".join(parts))
+        got = licenses.search(text, known)
+        assert got == unseeded(text, known), text
+        several += len(got) > 2
+    assert several > 100
+
+
+def test_license_places_beside_exact_ones():
+    known = licenses.notices()
+    for text, want in [("mit licence mit license", ["mit licence", "mit license"]), ("mozilla public licence mozilla public license", ["mozilla public licence", "mozilla public license"]), ("omit license fees", []), ("mit license mit license mit licens", ["mit license", "mit license", "mit licens"])]:
+        t = licenses.normal(text)
+        assert [t[a:b] for x, a, b, _ in licenses.search(t, known) if x.label in ("mit", "mpl")] == want, text
+
+
+def test_license_spans_in_the_query(spark):
+    from skirmish.llm import queries
+
+    made = licenses.license_scan(spark.createDataFrame([(1, "The MIT Licence, or: mit license."), (1, "The MIT Licence, or: mit license."), (2, None)], "doc_id long, text string"))
+    rows = [r for r in made.collect() if r["doc_id"] == 1]
+    assert len(rows) == 2 and [tuple(s) for s in rows[0]["spans"]] == [("mit", 1, 2, 1), ("mit", 4, 5, 0)] and rows[0]["n_base"] == 1
+    assert queries.OP1_SPANS == "label:first_word:last_word:edits"
+    assert licenses.license_scan(empty(spark)).count() == 0
 
 
 def test_byte_bpe_ids():
@@ -73,6 +105,16 @@ def test_byte_bpe_ids():
         assert fast(t).tolist() == slow.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_byte_bpe_ids_of_a_whole_table():
+    from tokenizers import Tokenizer
+
+    slow, fast = Tokenizer.from_file(BPE), packing.byte_bpe(BPE)
+    texts = [t or "" for t in pq.read_table(f"{FOLDER}/documents.parquet", columns=["text"]).column(0).to_pylist()]
+    for t, e in zip(texts, slow.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert fast(t).tolist() == e.ids
+
+
 def check_packed(rows, ids_of, capacity):
     docs, bins = defaultdict(list), defaultdict(list)
     for r in rows:
