@@ -104,12 +104,12 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
 
 def exchange(into: list[int], out_of: list[int], room: int) -> tuple[int, tuple, tuple]:
     """The move, one-for-one or two-for-one exchange that adds most to the fuller bin within its room: (gain, lengths that
-    go in, lengths that come back). Both bins are lists of lengths, so equal pieces count once."""
+    go in, lengths that come back). Both bins are lists of lengths with each at most twice, which is as often as an exchange
+    can take it, so a bin of 1024 tokens has 88 entries at most, and all pairs of them are tried."""
     best, step = 0, ((), ())
     gives = {n: (n,) for n in out_of}
-    few = sorted(out_of)[:12]  # a bin may hold hundreds of tiny pieces: pairs of the smallest do
-    for k, x in enumerate(few):
-        for y in few[k + 1 :]:
+    for k, x in enumerate(out_of):
+        for y in out_of[k + 1 :]:
             gives.setdefault(x + y, (x, y))
     backs = {0: ()} | {n: (n,) for n in into}
     for got, give in gives.items():
@@ -177,8 +177,8 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int, seed:
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """Adds sequence_id and offset to pieces of ``length`` up to ``capacity``: gapless from 0 within a sequence.
 
-    Full pieces are sequences of their own and are not shuffled; the others meet in groups of about ``group`` pieces.
-    The order of repeated pieces is fixed by (doc_id, piece, ids_crc32). No rows give no rows.
+    Full pieces are sequences of their own and are not shuffled; the others meet in groups of about ``group`` pieces, dealt
+    by a hash of the piece and its row, so equal pieces spread too. Other columns come through. No rows give no rows.
     """
     pieces = materialize(pieces)
     rest = pieces.where(F.col("length") < capacity)
@@ -197,12 +197,15 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Dat
         return table.drop_columns(["g"]).append_column("sequence_id", pa.array(seq)).append_column("offset", pa.array(off))
 
     schema = ", ".join(f"{n} {t}" for n, t in pieces.dtypes) + ", sequence_id long, offset long"
-    dealt = rest.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    dealt = rest.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
     packed = dealt.groupBy("g").applyInArrow(run, schema)
     full = pieces.where(F.col("length") >= capacity).withColumns({"sequence_id": F.lit(1 << 62) + F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
     return packed.unionByName(full)
 
 
 def best_fit_packing(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Packs all documents into sequences: one row per piece. Null texts are empty (one end token), equal rows stay apart."""
+    """Packs all documents into sequences: one row per piece (doc_id, piece, start, length, ids_crc32, sequence_id, offset).
+
+    Null texts are empty (one end token), equal rows and null ids stay apart, texts of any length are cut and kept whole,
+    other columns of ``docs`` are not read. No rows give no rows."""
     return pack(pieces(docs, tokenizer, capacity, id_col=id_col, text_col=text_col), capacity)

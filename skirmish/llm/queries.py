@@ -59,7 +59,8 @@ def op8_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = substrings.substring_dedup(table(spark, sf_dir, "documents"))
-    return made.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+    spans = F.concat_ws(",", F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])))
+    return made.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"), spans.alias("spans"))
 
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,9 +106,12 @@ OP9 = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 win AS (SELECT doc_id, i, array_to_string(ws[i : i + 49], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)),
 lo AS (SELECT k, min(doc_id) AS lo FROM win GROUP BY k),
-gone AS (SELECT doc_id, list(p) AS ps FROM (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM win JOIN lo USING (k) WHERE lo < doc_id) GROUP BY 1)
-SELECT doc_id, len(ws) AS n_words, coalesce(len(ps), 0) AS n_removed, sha256(array_to_string(CASE WHEN ps IS NULL THEN ws ELSE list_filter(ws, lambda x, j: NOT list_contains(ps, j)) END, ' ')) AS kept_sha256
-FROM w LEFT JOIN gone USING (doc_id)"""
+each AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM win JOIN lo USING (k) WHERE lo < doc_id),
+gone AS (SELECT doc_id, list(p) AS ps FROM each GROUP BY 1),
+runs AS (SELECT doc_id, min(p) - 1 AS s, max(p) AS e FROM (SELECT doc_id, p, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS g FROM each) GROUP BY doc_id, g),
+spans AS (SELECT doc_id, string_agg(s || ':' || e, ',' ORDER BY s) AS spans FROM runs GROUP BY 1)
+SELECT doc_id, len(ws) AS n_words, coalesce(len(ps), 0) AS n_removed, sha256(array_to_string(CASE WHEN ps IS NULL THEN ws ELSE list_filter(ws, lambda x, j: NOT list_contains(ps, j)) END, ' ')) AS kept_sha256, coalesce(spans, '') AS spans
+FROM w LEFT JOIN gone USING (doc_id) LEFT JOIN spans USING (doc_id)"""
 
 #: All pairs of vectors.
 OP10 = """

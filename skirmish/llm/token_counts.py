@@ -1,8 +1,9 @@
 """Token counts by a two-tier lookup on the map side.
 
 Tier one is a broadcast table of the token counts of frequent pre-tokens, bounded by ``TABLE`` entries; tier two a cache
-in each Python worker, bounded by ``CACHE`` entries, filled by the tokenizer itself. No pre-token is ever shuffled: the
-table comes from summaries of fixed size, one a task, merged in two steps. The table changes speed only, never counts.
+in each Python worker, bounded by ``CACHE`` entries, filled by the tokenizer itself. The table changes speed only, never
+counts, so it may come from a bounded sample of documents (``SAMPLE_DOCS``); every document is counted, and no pre-token of
+any is shuffled.
 """
 
 from __future__ import annotations
@@ -18,6 +19,9 @@ from pyspark.sql import functions as F
 from .common import id_text, map_texts
 
 TABLE = 32_768
+#: About so many documents, by a hash of their ids and texts, say which pre-tokens are frequent; more would add nothing
+#: that the worker caches do not learn anyway.
+SAMPLE_DOCS, SAMPLE_PARTS = 20_000, 8
 CACHE = 400_000
 LONGEST = 64
 _state: dict = {}
@@ -71,48 +75,40 @@ class Lengths(dict):
         return n
 
 
-def frequent_pretokens(docs: DataFrame, size: int = TABLE, per_task: int = 8_192) -> dict[str, int]:
-    """Frequent pre-tokens of all texts with rough counts: each task keeps a bounded summary, groups of tasks merge theirs."""
+def frequent_pretokens(docs: DataFrame, size: int = TABLE, sample_docs: int = SAMPLE_DOCS) -> list[str]:
+    """The most frequent pre-tokens of about ``sample_docs`` documents, at most ``size``. SAMPLE_PARTS tasks read the sampled
+    texts and each gives its 2 ``size`` most frequent ones with their counts; the driver adds those up."""
+
     def summary(batches):
         import pyarrow as pa
 
         seen: Counter = Counter()
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                seen.update(pre_tokens(text))
-                if len(seen) > 32 * per_task:
-                    seen = Counter(dict(seen.most_common(8 * per_task)))
-        top = [(w, n) for w, n in seen.most_common(per_task) if n > 1 and len(w) <= LONGEST]
-        yield pa.RecordBatch.from_pydict({"words": pa.array([[w for w, _ in top]], pa.list_(pa.string())), "counts": pa.array([[n for _, n in top]], pa.list_(pa.int64()))})
-
-    def merged(pdf):
-        import pandas as pd
-
-        seen: Counter = Counter()
-        for words, counts in zip(pdf["words"], pdf["counts"], strict=True):
-            seen.update(dict(zip(words, (int(c) for c in counts), strict=True)))
-            if len(seen) > 8 * size:
-                seen = Counter(dict(seen.most_common(4 * size)))
-        top = seen.most_common(size)
-        return pd.DataFrame({"words": [[w for w, _ in top]], "counts": [[n for _, n in top]]})
-
-    schema = "words array<string>, counts array<long>"
-    parts = docs.select("text").mapInArrow(summary, schema)
-    groups = parts.withColumn("g", F.pmod(F.spark_partition_id(), F.lit(16))).groupBy("g").applyInPandas(lambda pdf: merged(pdf), schema)
+                seen.update(w for w in pre_tokens(text) if len(w) <= LONGEST)
+                if len(seen) > 32 * size:
+                    seen = Counter(dict(seen.most_common(8 * size)))
+        top = seen.most_common(2 * size)
+        yield pa.RecordBatch.from_pydict({"word": [w for w, _ in top], "n": [n for _, n in top]})
+
+    share = min(1.0, sample_docs / max(1, docs.count()))
+    u = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
+    some = docs.where(u < int(share * (1 << 30))).select("text").repartition(SAMPLE_PARTS)
     total: Counter = Counter()
-    for row in groups.toLocalIterator():  # at most 16 rows of bounded size
-        total.update(dict(zip(row["words"], row["counts"], strict=True)))
-    return dict(total.most_common(size))
+    for row in some.mapInArrow(summary, "word string, n long").toLocalIterator():  # at most 2 ``size`` rows a task
+        total[row["word"]] += row["n"]
+    return [w for w, n in total.most_common(size) if n > 1]
 
 
 def count_tokens(docs: DataFrame, model: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every row, as sentencepiece counts the whole text with ``model``.
 
-    Null and empty texts have 0 tokens; repeated rows are counted each; an empty table gives no rows.
+    Null and empty texts have 0 tokens; texts of any length count whole; repeated rows are counted each; other columns of
+    ``docs`` are not read; an empty table gives no rows.
     """
     rows = id_text(docs, id_col, text_col)
     lengths = Lengths(model, {})
-    words = list(frequent_pretokens(rows))
+    words = frequent_pretokens(rows)
     sizes = np.fromiter((lengths[w] for w in words), np.uint16, len(words))
     shared = docs.sparkSession.sparkContext.broadcast((words, sizes.tobytes()))  # at most TABLE words of LONGEST characters
 

@@ -127,11 +127,32 @@ def test_substrings(spark, window, seed):
 
 def test_remove_repeats_keeps_columns(spark):
     long_ = " ".join(f"w{i}" for i in range(60))
-    df = table(spark, [long_, "x  y " + long_, "  as it\nwas "])
+    df = table(spark, [long_, "x  y " + long_, "  as it\nwas "]).selectExpr("*", "1 AS __id", "2 AS __found", "3 AS tie", "4 AS first", "5 AS row")
     made = substrings.remove_repeats(df)
     assert made.columns == df.columns
     got = {r["doc_id"]: r["text"] for r in made.collect()}
     assert got == {0: long_, 1: "x y", 2: "  as it\nwas ", 3: None}
+    assert substrings.remove_repeats(df.limit(0)).collect() == []
+
+
+def test_rows_that_share_an_id_are_judged_by_their_own_words(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(70)) for x in "ab")
+    rows = [(1, a), (5, a), (5, b), (5, "c " + a), (5, b), (None, a), (None, b)]
+    got = substrings.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["doc_id"] or 0, r["kept_text"]) for r in got.collect()) == sorted([(1, a), (5, ""), (5, b), (5, b), (5, "c"), (0, a), (0, b)])
+
+
+def test_a_passage_of_thousands_is_settled_whole(spark):
+    """Places inside a shared passage give one interval each; only its ends are compared window by window."""
+    passage = " ".join(f"p{i}" for i in range(300))
+    texts = [f"{' '.join(f'l{d}x{i}' for i in range(60))} {passage} {' '.join(f'r{d}x{i}' for i in range(60))}" for d in range(60)]
+    rows = substrings.tied(substrings.id_text(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    wanted = substrings.anchors(rows, 50, 20).select("doc_id", "tie", "anchors")
+    found = substrings.extents(rows.join(wanted, ["doc_id", "tie"]), 50, 20)
+    spans = substrings.extended(found, 50).where("end - start > 50").groupBy("doc_id").count().collect()
+    assert len(spans) == 59 and min(r["count"] for r in spans) > 5
+    got = substrings.substring_dedup(rows.select("doc_id", "text")).collect()
+    assert {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in got} == {d: [(60, 360)] if d else [] for d in range(60)}
 
 
 def test_edit_likeness(spark):
@@ -254,6 +275,26 @@ def test_vectors(spark):
     assert embeddings.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [10**4, 10**6, 10**8])
+def test_recall_at_the_limit_holds_as_tables_grow(n):
+    """Random pairs at a cosine of 0.9505 with the filters that a table of n vectors gets."""
+    rng = np.random.default_rng(n)
+    codes = embeddings.Codes(64, embeddings.code_size(n), embeddings.expected_filters(n))
+    x, z = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in rng.standard_normal((2, 500, 64)))
+    z -= (z * x).sum(1, keepdims=True) * x
+    y = 0.9505 * x + np.sqrt(1 - 0.9505**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    a, b = ({*zip(*(v.tolist() for v in codes.passed(u)), strict=True)} for u in (x, y))
+    assert len({r for r, _ in a & b}) >= 0.99 * 500
+
+
+def test_vectors_in_double_precision(spark):
+    """Vectors that floats would not tell apart, on both sides of the limit."""
+    c = 0.95
+    rows = [(1, [1.0, 0.0]), (2, [c + 1e-12, (1 - (c + 1e-12) ** 2) ** 0.5]), (3, [c - 1e-12, -((1 - (c - 1e-12) ** 2) ** 0.5)])]
+    got = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert {r["vec_id"]: r["n_links"] for r in got.collect()} == {1: 1, 2: 1, 3: 0}
+
+
 def test_list_decoding_is_complete():
     rng = np.random.default_rng(1)
     codes = embeddings.Codes(16, 12, 10.0, least=3)
