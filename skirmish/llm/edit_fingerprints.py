@@ -27,9 +27,8 @@ from .wordhash import GOLDEN, mix
 
 SAMPLES = 256
 PERIOD = 8192
-#: Likeness from which fingerprints link, and the bands: at this likeness six samples of a band agree with probability 0.30
-#: or so, and one of 20 bands does with 0.999.
-THRESHOLD, BANDS, BITS = 0.8, 20, 6
+#: Likeness from which fingerprints link, and the share of pairs at this likeness that no band may find.
+THRESHOLD, MISSED = 0.8, 0.005
 _state: dict = {}
 
 
@@ -126,41 +125,80 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_texts(id_text(docs, id_col, text_col), run, "doc_id long, n_chars long, fingerprint string", 12_000_000)
 
 
-def band_picks(bands: int, bits: int) -> np.ndarray:
-    """For each band the places of samples in random order. A fingerprint takes the first ``bits`` that it has, so bands
-    draw from the whole of it, and fingerprints of about the same size take the same places."""
-    if (bands, bits) not in _state:
+def banding(prints: int, threshold: float = THRESHOLD) -> tuple[int, int]:
+    """(bands, samples a band) for so many fingerprints. Samples of unlike texts agree about one time in eight, so a sample
+    more for each factor of eight keeps the number of unlike pairs that a text meets the same at every size of the table;
+    bands are then as many as pairs at the threshold need."""
+    bits = max(6, round(np.log2(max(prints, 1)) / 3) + 2)
+    agree = threshold * 15 / 16 + 1 / 16
+    return int(np.ceil(np.log(MISSED) / np.log(1 - agree**bits))), bits
+
+
+def band_picks(size: int, bands: int, bits: int) -> np.ndarray:
+    """Places (band, sample) for a fingerprint of ``size`` samples. Each band has all places in a random order, and takes the
+    first ``bits`` that the fingerprint has: bands draw from the whole of it, and fingerprints of about the same size take
+    the same places."""
+    key = (size, bands, bits)
+    if key not in _state:
         draw = mix(np.arange(bands * SAMPLES, dtype=np.uint64) * GOLDEN + np.uint64(5)).reshape(bands, SAMPLES)
-        _state[bands, bits] = np.argsort(draw, axis=1)
-    return _state[bands, bits]
-
-
-def band_keys(level: int, samples: np.ndarray, bands: int = BANDS, bits: int = BITS, threshold: float = THRESHOLD) -> list[int]:
-    """Keys of bit-sampled bands at a text's own level. A text near the upper end of its level has keys of the next level
-    too, so that it meets texts of that level whose size it may be alike to."""
-    out = []
-    # sizes of texts that link differ by the threshold at most; walks are a little longer or shorter than expected
-    near = len(samples) >= threshold * 0.85 * 2 / 3 * SAMPLES
-    for up in (0, 1) if near else (0,):
-        s = samples[:: 1 << up]
-        order = band_picks(bands, bits)
-        for b in range(bands):
-            pick = order[b][order[b] < len(s)][:bits]
-            got = bytes([level + up, b, len(pick)]) + s[pick].astype(np.uint8).tobytes()
-            out.append(int.from_bytes(hashlib.blake2b(got, digest_size=8).digest(), "little", signed=True))
-    return out
-
-
-def print_classes(prints: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, bits: int = BITS) -> DataFrame:
+        order = np.argsort(draw, axis=1)
+        _state[key] = np.stack([o[o < size][:bits] for o in order])
+    return _state[key]
+
+
+def band_keys(prints: list[tuple[int, np.ndarray]], bands: int, bits: int, threshold: float = THRESHOLD) -> list[np.ndarray]:
+    """Keys of the bit-sampled bands of fingerprints at their own level. Those near the upper end of their level have keys of
+    the next level too, so that they meet texts of that level whose size they may be alike to."""
+    same: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
+    for i, (level, s) in enumerate(prints):
+        # sizes of texts that link differ by the threshold at most; walks are a little longer or shorter than expected
+        near = len(s) >= threshold * 0.85 * 2 / 3 * SAMPLES
+        for up in (0, 1) if near else (0,):
+            part = s[:: 1 << up]
+            same.setdefault((level + up, len(part)), []).append((i, part))
+    out: list[list[np.ndarray]] = [[] for _ in prints]
+    for (level, size), members in same.items():
+        got = np.stack([m[1] for m in members])[:, band_picks(size, bands, bits)].astype(np.uint64)
+        h = np.broadcast_to(mix(np.arange(bands, dtype=np.uint64) * GOLDEN + np.uint64(level * 64 + got.shape[2] + 1)), got.shape[:2]).copy()
+        for c in range(got.shape[2]):
+            h = mix(h * GOLDEN + got[:, :, c])
+        for (i, _), keys in zip(members, h.view(np.int64), strict=True):
+            out[i].append(keys)
+    return [np.concatenate(k) for k in out]
+
+
+def all_alike(prints: list[tuple[int, np.ndarray]], threshold: float) -> np.ndarray:
+    """Which of some fingerprints are alike, all against all, level by level."""
+    levels = np.array([p[0] for p in prints])
+    hit = np.zeros((len(prints), len(prints)), bool)
+    for top in np.unique(levels):
+        own, upto = np.flatnonzero(levels == top), np.flatnonzero(levels <= top)
+        parts = [prints[i][1][:: 1 << int(top - levels[i])] for i in upto]
+        size = np.array([len(p) for p in parts])
+        wide = np.full((len(upto), int(size.max(initial=1))), 255, np.uint8)
+        for k, p in enumerate(parts):
+            wide[k, : len(p)] = p
+        at = np.searchsorted(upto, own)
+        for i, k in zip(own, at, strict=True):
+            agree = ((wide == wide[k]) & (wide != 255)).sum(axis=1)
+            alike = (agree / np.maximum(np.maximum(size, size[k]), 1) - 1 / 16) * 16 / 15 >= threshold
+            hit[i, upto] = alike
+            hit[upto, i] |= alike
+    return hit
+
+
+def print_classes(prints: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(fingerprint, class_id) of every distinct fingerprint but those of empty texts: bands propose, likeness of
     ``threshold`` or more links; class_id is the smallest doc_id of the class."""
     rows = prints.select(F.col("doc_id").cast("long").alias("doc_id"), "fingerprint").where("length(fingerprint) > 2")
     # distinct fingerprints are the nodes: the first doc_id stands for each; null ids come last
     reps = materialize(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("rep")).where("rep is not null"))
 
+    bands, bits = banding(reps.count(), threshold)
+
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [band_keys(*read(f), bands, bits, threshold) for f in b.column("fingerprint").to_pylist()]
+            made = band_keys([read(f) for f in b.column("fingerprint").to_pylist()], bands, bits, threshold)
             yield pa.RecordBatch.from_pydict({"id": b.column("rep"), "buckets": pa.array(made, pa.list_(pa.int64()))})
 
     buckets = reps.mapInArrow(keys, "id long, buckets array<long>").select("id", F.explode("buckets").alias("bucket"))
@@ -170,8 +208,7 @@ def print_classes(prints: DataFrame, threshold: float = THRESHOLD, bands: int =
         return pd.Series([likeness(read(p), read(q)) >= threshold for p, q in zip(x, y, strict=True)])
 
     def hits(table: pa.Table) -> np.ndarray:
-        prints = [read(f) for f in table.column("items").to_pylist()]
-        return np.array([[likeness(p, q) >= threshold for q in prints] for p in prints])
+        return all_alike([read(f) for f in table.column("items").to_pylist()], threshold)
 
     # unlike texts under one doc_id have several fingerprints: each is a node of its own, known by its hash
     items = reps.select(F.col("rep").alias("id"), F.col("fingerprint").alias("items")).groupBy("id").agg(F.min("items").alias("items"))
@@ -181,7 +218,7 @@ def print_classes(prints: DataFrame, threshold: float = THRESHOLD, bands: int =
     return reps.join(classes, reps["rep"] == classes["node"], "left").select("fingerprint", F.coalesce("component", "rep").alias("class_id"))
 
 
-def near_duplicates(prints: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, bits: int = BITS) -> DataFrame:
+def near_duplicates(prints: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``prints`` (doc_id, fingerprint and any other columns) with class_id: links are pairs of fingerprints
     whose likeness is ``threshold`` or more, found in the bands they share; class_id is the smallest doc_id that links reach.
 
@@ -191,7 +228,7 @@ def near_duplicates(prints: DataFrame, threshold: float = THRESHOLD, bands: int
     their own, as are rows with a null doc_id unless a row with an id has the same fingerprint. Rows that repeat all come
     out; where one doc_id has unlike texts, the class of its least fingerprint is that of all of them. No rows give no rows.
     """
-    of_print = print_classes(prints, threshold, bands, bits).withColumnRenamed("fingerprint", "its_print").withColumnRenamed("class_id", "its_class")
+    of_print = print_classes(prints, threshold).withColumnRenamed("fingerprint", "its_print").withColumnRenamed("class_id", "its_class")
     joined = prints.join(of_print, F.col("fingerprint") == F.col("its_print"), "left")
     return joined.withColumn("class_id", F.coalesce("its_class", F.col("doc_id").cast("long"))).drop("its_print", "its_class")
 

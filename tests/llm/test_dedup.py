@@ -226,7 +226,10 @@ def test_band_classes_are_those_of_all_pairs(spark):
     prints = [edit_fingerprints.embed([t])[0] for t in texts]
     like = edit_fingerprints.likeness
     links = [(i, j) for i in range(len(prints)) for j in range(i) if like(prints[i], prints[j]) >= edit_fingerprints.THRESHOLD]
-    keys = [set(edit_fingerprints.band_keys(*p)) for p in prints]
+    bands, bits = edit_fingerprints.banding(10**6)
+    keys = [set(k.tolist()) for k in edit_fingerprints.band_keys(prints, bands, bits)]
+    hit = edit_fingerprints.all_alike(prints, edit_fingerprints.THRESHOLD)
+    assert (np.argwhere(np.tril(hit, -1)) == np.array(sorted(links))).all()
     met = sum(bool(keys[i] & keys[j]) for i, j in links)
     assert len(links) > 80 and met >= 0.99 * len(links)
     got = {r["doc_id"]: r["class_id"] for r in edit_fingerprints.near_duplicates(edit_fingerprints.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
