@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import streaming
-from ..operators import compose, metrics, models, prep, tournament
+from ..operators import compose, metrics, models, prep, reports, tournament
 from ..scratch import kept
 from .adapter import match_sides, player_rows, sql
 from .history_queries import rounded
@@ -54,6 +54,29 @@ def monte_carlo(spark, sf_dir):
     return tournament.probabilities(runs, n)
 
 
+def conservation(spark, sf_dir):
+    """Sums over all teams of what the simulated events count: one title an event, two finalists, four, eight."""
+    n = 50
+    who = entrants(spark, sf_dir)
+    runs = kept(tournament.major(spark.range(n).withColumnRenamed("id", "sim"), who, kept(tournament.matrix_of(who)), seed=7))
+    return reports.conservation(tournament.probabilities(runs, n), {"title": n, "final": 2 * n, "semi": 4 * n, "playoffs": 8 * n, "past_2": 16 * n, "past_1": 24 * n, "p_title": 1})
+
+
+def participants(spark, sf_dir):
+    """The 32 entrants against the rules (no rows: valid), and the same with one team moved to another stage."""
+    who, counts = entrants(spark, sf_dir), {1: 16, 2: 8, 3: 8}
+    moved = who.withColumn("stage", F.when((F.col("stage") == 3) & (F.col("seed0") == 8), 2).otherwise(F.col("stage")))
+    return reports.participants_problems(who, counts).withColumn("entrants", F.lit("as they are")).unionByName(reports.participants_problems(moved, counts).withColumn("entrants", F.lit("one moved")))
+
+
+PARTICIPANTS = sql(
+    """
+SELECT 'one moved' AS entrants, stage, unnest(CASE WHEN seeds = range(1, n + 1) THEN ['wrong number of teams'] ELSE ['wrong number of teams', 'seeds are not 1 to n'] END) AS problem
+FROM (SELECT stage, count(*) AS n, list(seed ORDER BY seed) AS seeds FROM (SELECT CASE WHEN k < 8 THEN 3 WHEN k <= 16 THEN 2 ELSE 1 END AS stage, CASE WHEN k <= 16 THEN (k - 1) % 8 + 1 ELSE k - 16 END AS seed FROM top) GROUP BY 1) WHERE n <> CASE stage WHEN 1 THEN 16 ELSE 8 END""",
+    "top AS (SELECT team, row_number() OVER (ORDER BY sum(win) DESC, count(*), team) AS k FROM sides GROUP BY team ORDER BY k LIMIT 32)",
+)
+
+
 def round1_pairs(spark, sf_dir):
     who = entrants(spark, sf_dir).where("stage = 1").withColumn("sim", F.lit(0))
     return tournament.pairings(tournament.start(who), 1).select(F.col("a.team").alias("a"), F.col("b.team").alias("b"))
@@ -149,6 +172,8 @@ QUERIES = {
     "pair_matrix": (pair_matrix, MATRIX),
     "tournament_path": (tournament_path, None),
     "monte_carlo": (monte_carlo, None),
+    "monte_carlo_conservation": (conservation, None),
+    "participants_validation": (participants, PARTICIPANTS),
     "round1_pairs": (round1_pairs, sql("SELECT x.team AS a, y.team AS b FROM top x JOIN top y ON y.k = x.k + 8 AND x.k BETWEEN 17 AND 24", "top AS (SELECT team, row_number() OVER (ORDER BY sum(win) DESC, count(*), team) AS k FROM sides GROUP BY team)")),
     "buchholz": (buchholz, None),
     "lr_gradient_descent": (lr_gradient_descent, None),

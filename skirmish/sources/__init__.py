@@ -28,16 +28,24 @@ def content_hashes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def publish(df: DataFrame, path: str) -> None:
-    """Writes to a staging folder first and renames: readers see all of it or nothing."""
+    """Writes to a staging folder first; then the old table is renamed aside, the new one takes its name, and the old one is
+    deleted. If the new one cannot take the name, the old one gets it back."""
     spark = df.sparkSession
     staging = f"{path}.staging-{uuid.uuid4().hex}"
     df.write.parquet(staging)
     jvm = spark.sparkContext._jvm
     place, made = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(staging)
     fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(place, True)
+    old = jvm.org.apache.hadoop.fs.Path(f"{path}.old-{uuid.uuid4().hex}")
+    had = fs.exists(place)
+    if had and not fs.rename(place, old):
+        raise OSError(f"cannot rename {path} aside")
     if not fs.rename(made, place):
+        if had:
+            fs.rename(old, place)
         raise OSError(f"cannot rename {staging} to {path}")
+    if had:
+        fs.delete(old, True)
 
 
 def snapshot(ledger: DataFrame, as_of, time: str = "dt") -> DataFrame:

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import kept
+from ..scratch import kept, shared_dir
 
 #: About so many rows a micro-batch when a table is fed as a stream.
 MICRO_BATCH = 50_000
@@ -77,8 +75,7 @@ def prior_moments(stream: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    top = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "skirmish-shared")
-    return f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def run_in_time_order(rows: DataFrame, step: Callable[[DataFrame], DataFrame], time: str = "t", most: int | None = None) -> DataFrame:
