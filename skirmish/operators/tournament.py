@@ -37,6 +37,17 @@ PRIORITY = [
 BRACKET = "1v8 4v5 2v7 3v6"
 
 
+#: An event's entrants and matches: what is broadcast for each of them is bounded by these.
+ENTRANTS, MATCHES = 32, 106
+
+
+def at_most(rows: DataFrame, most: int, what: str) -> DataFrame:
+    """``rows``, once it is known that there are no more than ``most``; more are an error."""
+    if rows.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} {what}")
+    return rows
+
+
 @dataclass(frozen=True)
 class Rules:
     """Wins to advance, losses to go, the usual best-of of each stage (deciders are best of three), and the final's."""
@@ -184,6 +195,8 @@ def major(sims: DataFrame, entrants: DataFrame, matrix: DataFrame, rules: Rules
 
     ``sims`` has a column sim; ``entrants`` (team, stage, seed0): 16 teams for stage 1, 8 each for stages 2 and 3.
     """
+    entrants = at_most(entrants, ENTRANTS, "entrants")
+    forced = forced if forced is None else at_most(forced, MATCHES, "results given beforehand")
     now = sims.select("sim").join(F.broadcast(entrants.where("stage = 1").select("team", "seed0")))
     out = None
     for stage in (1, 2, 3):
@@ -199,11 +212,12 @@ def major(sims: DataFrame, entrants: DataFrame, matrix: DataFrame, rules: Rules
 def matrix_of(strength: DataFrame) -> DataFrame:
     """(a, b, best_of, p) for all ordered pairs of entrants (team, rating): a map's expected score, composed to a series.
 
-    The entrants of an event are at most 32, which bounds the pairs.
+    More entrants than an event has are an error, which bounds the pairs.
     """
     from ..functions import expected
     from .series import win_probability
 
+    strength = at_most(strength, ENTRANTS, "entrants")
     a, b = strength.select(F.col("team").alias("a"), F.col("rating").alias("ra")), strength.select(F.col("team").alias("b"), F.col("rating").alias("rb"))
     rows = a.join(F.broadcast(b), F.col("a") != F.col("b")).withColumn("best_of", F.explode(F.array(F.lit(1), F.lit(3), F.lit(5))))
     p = expected(F.col("ra"), F.col("rb"))

@@ -92,6 +92,20 @@ def buchholz(spark, sf_dir):
     return tournament.seeded(state).select("team", "wins", "losses", "difficulty", "seed")
 
 
+def priority_pairing(spark, sf_dir):
+    """Pairs of rounds four and five of stage 1, taken from the table of priorities, when every favourite wins."""
+    who = entrants(spark, sf_dir).where("stage = 1")
+    even, out = kept(tournament.matrix_of(who)), None
+    state = tournament.start(who.withColumn("sim", F.lit(0)))
+    for k in (1, 2, 3, 4, 5):
+        if k > 3:
+            rows = tournament.pairings(state, k).select(F.lit(k).alias("round"), "wins", "losses", F.col("a.team").alias("a"), F.col("b.team").alias("b"))
+            out = rows if out is None else out.unionByName(rows)
+        if k < 5:
+            state = kept(tournament.swiss_round(state, even, 1, k))
+    return out
+
+
 COLUMNS = ["win_rate_diff", "format_win_rate_diff", "n_before_diff"]
 
 
@@ -136,17 +150,12 @@ def permutation_importance(spark, sf_dir):
 
 
 def streaming_windows(spark, sf_dir):
-    """Hourly counts by type of the event stream, complete windows and the last ones alike."""
-    path = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).parquet(f"{path}*").withColumn("ts", F.col("ts").cast("timestamp"))
-    made = streaming.run_to_end(streaming.event_windows(stream))
-    # a window is written when the watermark passes its end; those that the stream's end leaves open follow in batch
-    last = made.agg(F.max("start")).first()[0]
-    events = spark.read.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
-    rest = events.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
-    rest = rest.where(F.col("start") > F.lit(last)) if last is not None else rest
-    return made.unionByName(rest).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+    """Hourly counts by type of the event stream, fed in time order. One event a day after the last one moves the watermark
+    past all others, so the stream itself closes every window but that event's own."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
+    end = events.agg(F.max("ts").alias("ts")).where("ts is not null").select(F.lit(-1).cast("long").alias("event_id"), F.lit(None).cast("string").alias("event_type"), F.lit(None).cast("double").alias("value"), (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"))
+    made = streaming.run_in_time_order(events.unionByName(end), streaming.event_windows, "ts")
+    return made.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 def streaming_prior_counts(spark, sf_dir):
@@ -176,6 +185,7 @@ QUERIES = {
     "participants_validation": (participants, PARTICIPANTS),
     "round1_pairs": (round1_pairs, sql("SELECT x.team AS a, y.team AS b FROM top x JOIN top y ON y.k = x.k + 8 AND x.k BETWEEN 17 AND 24", "top AS (SELECT team, row_number() OVER (ORDER BY sum(win) DESC, count(*), team) AS k FROM sides GROUP BY team)")),
     "buchholz": (buchholz, None),
+    "priority_pairing": (priority_pairing, None),
     "lr_gradient_descent": (lr_gradient_descent, None),
     "forest_fit": (_trees("forest"), None),
     "gbt_fit": (_trees("boosted"), None),
