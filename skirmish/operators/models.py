@@ -74,12 +74,14 @@ def tree_probability(model, rows: DataFrame, column: str = "p") -> DataFrame:
     return model.transform(rows).withColumn(column, vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def permutation_importance(rows: DataFrame, groups: dict[str, list[str]], probability: Column, y: str, cells: int = 64, seed: int = 42) -> DataFrame:
+def permutation_importance(rows: DataFrame, groups: dict[str, list[str]], probability: Column, y: str, cells: int | None = None, seed: int = 42) -> DataFrame:
     """(name, drop): how much the log-loss grows when a group's columns are exchanged between rows, together.
 
     Rows are dealt to cells by one hash and take the values of the next row of their cell in the order of another: every
-    value is used once, all columns of a group move together, and no global order is needed.
+    value is used once, all columns of a group move together, and no global order is needed. Without a number of cells there
+    are 64, and on larger tables so many that a cell has about 50,000 rows.
     """
+    cells = cells or max(64, rows.count() // 50_000)
     w = Window.partitionBy("__cell").orderBy("__key")
     base = rows.withColumns({"__cell": F.pmod(F.xxhash64(F.lit(seed), "match_id"), F.lit(cells)), "__key": F.xxhash64("match_id", F.lit(seed + 1))})
     loss = lambda p: F.avg(-F.when(F.col(y) == 1, F.log(clipped(p))).otherwise(F.log(1 - clipped(p))))

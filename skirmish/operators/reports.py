@@ -123,11 +123,11 @@ def known_join(rows: DataFrame, lookup: DataFrame, keys: list[str], column: str,
 
 
 def participants_problems(entrants: DataFrame, counts: Mapping[int, int]) -> DataFrame:
-    """(stage, problem): stages with a wrong number of teams, seeds that are not 1 to n once each, and teams entered twice
+    """(stage, problem): stages with a wrong number of teams or none, seeds that are not 1 to n once each, and teams entered twice
     (stage null). No rows: the entrants are valid."""
     by = entrants.groupBy("stage").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("seed0")).alias("seeds"))  # some tens of teams
-    want = F.element_at(F.create_map(*[F.lit(x) for kv in counts.items() for x in kv]), F.col("stage"))
-    wrong = by.select("stage", F.when(want.isNull() | (F.col("n") != want), "wrong number of teams").alias("problem"))
+    want = entrants.sparkSession.createDataFrame(list(counts.items()), "stage int, want int")
+    wrong = by.join(want, "stage", "full").select("stage", F.when(~F.col("n").eqNullSafe(F.col("want")), "wrong number of teams").alias("problem"))
     seeds = by.select("stage", F.when(F.col("seeds") != F.sequence(F.lit(1), F.col("n").cast("int")), "seeds are not 1 to n").alias("problem"))
     twice = entrants.groupBy("team").agg(F.count("*").alias("n")).where("n > 1").select(F.lit(None).cast("int").alias("stage"), F.lit("team entered twice").alias("problem")).distinct()
     return wrong.unionByName(seeds).where("problem is not null").unionByName(twice)

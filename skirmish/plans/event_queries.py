@@ -71,9 +71,13 @@ def participants(spark, sf_dir):
 
 PARTICIPANTS = sql(
     """
-SELECT 'one moved' AS entrants, stage, unnest(CASE WHEN seeds = range(1, n + 1) THEN ['wrong number of teams'] ELSE ['wrong number of teams', 'seeds are not 1 to n'] END) AS problem
-FROM (SELECT stage, count(*) AS n, list(seed ORDER BY seed) AS seeds FROM (SELECT CASE WHEN k < 8 THEN 3 WHEN k <= 16 THEN 2 ELSE 1 END AS stage, CASE WHEN k <= 16 THEN (k - 1) % 8 + 1 ELSE k - 16 END AS seed FROM top) GROUP BY 1) WHERE n <> CASE stage WHEN 1 THEN 16 ELSE 8 END""",
+SELECT entrants, stage, 'wrong number of teams' AS problem FROM (SELECT unnest(['as they are', 'one moved']) AS entrants) CROSS JOIN (SELECT unnest([1, 2, 3]) AS stage) LEFT JOIN stages USING (entrants, stage)
+WHERE coalesce(n, 0) <> CASE stage WHEN 1 THEN 16 ELSE 8 END
+UNION ALL SELECT entrants, stage, 'seeds are not 1 to n' FROM stages WHERE seeds <> range(1, n + 1)""",
     "top AS (SELECT team, row_number() OVER (ORDER BY sum(win) DESC, count(*), team) AS k FROM sides GROUP BY team ORDER BY k LIMIT 32)",
+    "entered AS (SELECT CASE WHEN k <= 8 THEN 3 WHEN k <= 16 THEN 2 ELSE 1 END AS stage, CASE WHEN k <= 16 THEN (k - 1) % 8 + 1 ELSE k - 16 END AS seed FROM top)",
+    "both_ways AS (SELECT entrants, CASE WHEN entrants = 'one moved' AND stage = 3 AND seed = 8 THEN 2 ELSE stage END AS stage, seed FROM entered, (SELECT unnest(['as they are', 'one moved']) AS entrants))",
+    "stages AS (SELECT entrants, stage, count(*) AS n, list(seed ORDER BY seed) AS seeds FROM both_ways GROUP BY ALL)",
 )
 
 
