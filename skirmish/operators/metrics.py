@@ -106,6 +106,16 @@ def uniform(*parts: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") * F.lit(2.0**-53)
 
 
+def poisson_copies(u: Column) -> Column:
+    """How many copies a uniform number draws: Poisson(1) by its cumulative probabilities."""
+    copies, cum, term = F.lit(0), 0.0, 0.36787944117144233
+    for k in range(1, 9):
+        cum += term
+        copies = copies + (u >= cum).cast("int")
+        term /= k
+    return copies
+
+
 def bootstrap(rows: DataFrame, cluster: str, replicates: int, seed: int = 42, y: str = "y", p: str = "p", other: str | None = None) -> DataFrame:
     """Cluster bootstrap: (metric, low, high) percentile intervals of accuracy, log-loss and Brier score, and with the
     probabilities of another arm of the paired deltas p - other (delta_accuracy, ...) on the same draws.
@@ -123,13 +133,7 @@ def bootstrap(rows: DataFrame, cluster: str, replicates: int, seed: int = 42, y:
         sums_of[f"brier{k}"] = F.sum(F.pow(F.col(arm) - F.col(y), 2))
     each = rows.groupBy(cluster).agg(F.count("*").alias("n"), *[v.alias(m) for m, v in sums_of.items()])
     drawn = each.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    u = uniform(F.lit(seed), F.col("rep"), F.col(cluster))
-    # Poisson(1) by its cumulative probabilities
-    copies, cum, term = F.lit(0), 0.0, 0.36787944117144233
-    for k in range(1, 9):
-        cum += term
-        copies = copies + (u >= cum).cast("int")
-        term /= k
+    copies = poisson_copies(uniform(F.lit(seed), F.col("rep"), F.col(cluster)))
     sums = drawn.withColumn("c", copies).where("c > 0").groupBy("rep").agg(F.sum(F.col("c") * F.col("n")).alias("n"), *[F.sum(F.col("c") * F.col(m)).alias(m) for m in sums_of])
     values = {m: F.col(f"{m}0") / F.col("n") for m in names}
     if other:

@@ -9,7 +9,7 @@ from ..functions import expected, pair_key
 from .series import leverage, reach_probability, win_probability
 
 #: Error codes in the order in which they are tested.
-ERRORS = ["unknown_team", "ambiguous_team", "ineligible_team", "same_team", "invalid_best_of", "before_context", "stale_context"]
+ERRORS = ["unknown_team", "ambiguous_team", "ineligible_team", "same_team", "invalid_best_of", "unknown_map", "before_context", "stale_context"]
 
 
 def resolve(requests: DataFrame, teams: DataFrame, column: str) -> DataFrame:
@@ -45,6 +45,24 @@ def predict_series(requests: DataFrame, teams: DataFrame, ratings: DataFrame, cu
     return rows.select("request_id", "team1", "team2", "best_of", F.when(error.isNull(), win_probability(F.array_repeat(p, n))).alias("p"), error.alias("error"))
 
 
+def predict_map(requests: DataFrame, teams: DataFrame, ratings: DataFrame, cutoff=None, stale_after_days: int | None = None) -> DataFrame:
+    """(request_id, team1, team2, map_name, p, error) for requests with names ``team1``, ``team2``, ``map_name``, ``asked``.
+
+    ``ratings`` (team, map_name, rating) is the state at the context's cut-off; a team that has not played a known map starts
+    at 1500 there. A map that nobody has played, or none, is unknown.
+    """
+    rows = resolve(resolve(requests, teams, "team1"), teams, "team2")
+    for k in ("team1", "team2"):
+        state = ratings.select(F.col("team").alias(f"__{k}"), F.col("map_name").alias("__map"), F.col("rating").alias(f"{k}_rating"))
+        rows = rows.join(state, (F.col(f"{k}_team") == F.col(f"__{k}")) & (F.col("map_name") == F.col("__map")), "left").drop(f"__{k}", "__map")
+    maps = ratings.select(F.col("map_name").alias("__map")).distinct()
+    rows = rows.join(maps, F.col("map_name") == F.col("__map"), "left")
+    time = context_error(F.col("asked"), cutoff, stale_after_days) if cutoff is not None else F.lit(None).cast("string")
+    error = F.coalesce("team1_error", "team2_error", F.when(F.col("team1_team") == F.col("team2_team"), "same_team"), F.when(F.col("__map").isNull(), "unknown_map"), time)
+    p = expected(F.coalesce("team1_rating", F.lit(1500.0)), F.coalesce("team2_rating", F.lit(1500.0)))
+    return rows.select("request_id", "team1", "team2", "map_name", F.when(error.isNull(), p).alias("p"), error.alias("error"))
+
+
 def predict_known_maps(requests: DataFrame) -> DataFrame:
     """Adds p, and for every map its chance to be played and its leverage, to requests with an array ``maps`` of map
     probabilities; wrong numbers of maps and values outside [0, 1] have null."""
