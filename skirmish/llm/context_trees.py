@@ -224,7 +224,7 @@ def score_texts(docs: DataFrame, held_out: Column | None = None, depth: int = 5,
     parts = max(LEAST_PARTS, -(-size // part_bytes))
     # equal rows stay together at most as often as they stand; the hash of id and text spreads hot sources and copies
     dealt = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int"))
-    seen = materialize(counted(dealt.repartition(parts, "part").sortWithinPartitions("part"), depth))
+    seen = materialize(counted(dealt.repartitionById(parts, "part").sortWithinPartitions("part"), depth))
     grams = materialize(seen.where("gram is not null").groupBy("gram").agg(F.sum("c").alias("c")))
     scores = gram_scores(grams, depth)
     tokens = materialize(seen.where("word is not null").groupBy("word").agg(F.sum("c").alias("c")))
@@ -234,7 +234,7 @@ def score_texts(docs: DataFrame, held_out: Column | None = None, depth: int = 5,
     models = packed(mine, 0, "grams", "scores").unionByName(packed(words, 1, "words", "counts"), allowMissingColumns=True)
     both = models.unionByName(dealt.withColumn("kind", F.lit(2)), allowMissingColumns=True)
     names = ["part", "kind", "grams", "scores", "words", "counts", "doc_id", "held_out", "text"]
-    both = both.select(*names).repartition(parts, "part").sortWithinPartitions("part", "kind")
+    both = both.select(*names).repartitionById(parts, "part").sortWithinPartitions("part", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pandas as pd
