@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import streaming
+from ..functions import DAY
 from ..operators import compose, metrics, models, prep, reports, tournament
 from ..scratch import kept
 from .adapter import match_sides, player_rows, sql
@@ -154,19 +155,18 @@ def permutation_importance(spark, sf_dir):
 
 
 def streaming_windows(spark, sf_dir):
-    """Hourly counts by type of the event stream, fed in time order. One event a day after the last one moves the watermark
-    past all others, so the stream itself closes every window but that event's own."""
+    """Hourly counts by type of the event stream; every fiftieth event arrives a week late and still counts."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
-    end = events.agg(F.max("ts").alias("ts")).where("ts is not null").select(F.lit(-1).cast("long").alias("event_id"), F.lit(None).cast("string").alias("event_type"), F.lit(None).cast("double").alias("value"), (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"))
-    made = streaming.run_in_time_order(events.unionByName(end), streaming.event_windows, "ts")
+    late = F.when(F.col("event_id") % 50 == 7, F.col("ts") + F.expr("INTERVAL 7 DAYS")).otherwise(F.col("ts"))
+    made = streaming.fed(events.withColumn("arrival", late), streaming.WindowTotals, "arrival")
     return made.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 def streaming_prior_counts(spark, sf_dir):
-    """The stateful stream over the moments of all sides, fed in time order: the same counts as the batch frames."""
-    rows = kept(match_sides(spark, sf_dir).where("elig").select("match_id", "side", "team", "t", "win"))
-    made = streaming.run_in_time_order(streaming.moments(rows), streaming.prior_moments)
-    return rows.join(made, ["team", "t"]).select("match_id", "side", "n_before", "wins_before")
+    """All sides as a stream in which one match of fifty arrives three months late: the same counts as the batch frames."""
+    rows = match_sides(spark, sf_dir).where("elig").select("match_id", "side", "team", "t", "win")
+    late = F.when(F.col("match_id") % 50 == 7, F.col("t") + 90 * DAY).otherwise(F.col("t"))
+    return streaming.fed(rows.withColumn("arrival", late), streaming.PriorCounts, "arrival")
 
 
 def rich_map_features(spark, sf_dir):

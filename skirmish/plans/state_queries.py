@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import expected
 from ..operators import intervals, ratings, resume, service
 from ..operators.streams import ledger
-from ..scratch import kept, shared_dir
+from ..scratch import delete, kept, shared_dir
 from ..sources import read_tables, read_tiers
 from .adapter import match_sides, matches, sql
 from .history_queries import elo_fold, rounded
@@ -25,7 +25,9 @@ def scan_union_tier(spark, sf_dir):
     top = f"{shared_dir(spark)}/tiers-{uuid.uuid4().hex}"
     matches(spark, sf_dir).select(*SCANNED, "tier").write.partitionBy("tier").csv(top, header=True)
     back = read_tiers(spark, {t: f"{top}/tier={t}" for t in ("tier1", "tier2", "tier3")}, SCANNED)
-    return back.select("tier", *[F.col(c).cast("long" if c in SCANNED[:3] else "int").alias(c) for c in SCANNED])
+    made = kept(back.select("tier", *[F.col(c).cast("long" if c in SCANNED[:3] else "int").alias(c) for c in SCANNED]))
+    delete(spark, top)
+    return made
 
 
 def snapshot_resume(spark, sf_dir):

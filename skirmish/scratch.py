@@ -30,11 +30,25 @@ def kept(df: DataFrame) -> DataFrame:
     return out
 
 
+def _at(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place, fs = _at(spark, path)
+    return fs.exists(place)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of a shared file system, if it is there."""
+    place, fs = _at(spark, path)
+    fs.delete(place, True)
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes the files of tables of kept() that no later step reads. Any other DataFrame is left alone."""
     for df in tables:
         at = getattr(df, "_kept_at", None)
         if at:
-            jvm = df.sparkSession.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(at)
-            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            delete(df.sparkSession, at)

@@ -1,114 +1,188 @@
-"""The same semantics on Structured Streaming."""
+"""The same semantics on Structured Streaming, whatever the order in which rows arrive.
+
+A micro-batch is many files and one distributed job: it reads the states it needs, then writes what it adds, each into a folder
+of its own number, so a batch that is run again writes the same once more. Nothing is dropped for being late. Late rows are put
+aside and counted, and what they change is computed again from the last snapshot before them.
+"""
 
 from __future__ import annotations
 
-import math
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import kept, shared_dir
+from ..operators import resume
+from ..scratch import delete, exists, kept, shared_dir
 
-#: About so many rows a micro-batch when a table is fed as a stream.
-MICRO_BATCH = 50_000
+#: About so many rows a micro-batch when a table is fed as a stream, and files a micro-batch.
+MICRO_BATCH, FILES = 1_000_000, 8
 
 
 def event_windows(events: DataFrame, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Counts and sums by type in tumbling windows of event time; an event that comes twice counts once."""
+    """Counts and sums by type in tumbling windows of event time, by Spark's own state: an event that comes twice counts once, one
+    that comes later than ``late`` is not counted. WindowTotals counts those too."""
     once = events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
     return once.groupBy(F.window("ts", length).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
-STATE = "t long, n long, wins long, pending_n long, pending_wins long"
-OUT = "match_id long, side int, team long, t long, n_before long, wins_before long"
-
-
-def prior_state(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Strictly-prior counts of a team. What happens at one moment waits until a later moment is seen: rows of the same
-    moment do not see each other, also when they come in different micro-batches."""
-    t, n, wins, held_n, held_wins = state.get if state.exists else (None, 0, 0, 0, 0)
-    rows = pd.concat(list(batches)).sort_values(["t", "match_id"], kind="stable")
-    out = []
-    for r in rows.itertuples(index=False):
-        if t is not None and r.t < t:
-            continue  # behind the moment already seen: a replay has to bring it in
-        if t is None or r.t > t:
-            n, wins, held_n, held_wins, t = n + held_n, wins + held_wins, 0, 0, r.t
-        out.append((r.match_id, r.side, key[0], r.t, n, wins))
-        held_n, held_wins = held_n + 1, held_wins + int(r.win)
-    state.update((int(t), int(n), int(wins), int(held_n), int(held_wins)))
-    yield pd.DataFrame(out, columns=["match_id", "side", "team", "t", "n_before", "wins_before"])
-
-
-def prior_counts(sides: DataFrame) -> DataFrame:
-    """Prior matches and wins of each side of a stream, kept as a few numbers for each team. A task holds one team's rows of
-    one micro-batch, so the source has to bound micro-batches; for whole tables there is prior_moments()."""
-    return sides.select("match_id", "side", "team", "t", "win").groupBy("team").applyInPandasWithState(prior_state, OUT, STATE, "append", "NoTimeout")
-
-
-MOMENT_OUT = "team long, t long, n_before long, wins_before long"
-
-
-def moment_state(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Counts before each moment of a team. Micro-batches come in time order: a moment that is not after the last one
-    would be lost or wrong, so it ends the stream with an error."""
-    t, n, wins = state.get if state.exists else (None, 0, 0)
-    rows = pd.concat(list(batches)).sort_values("t")
-    if (t is not None and rows["t"].iloc[0] <= t) or rows["t"].duplicated().any():
-        raise ValueError(f"moments of team {key[0]} out of time order")
-    out = pd.DataFrame({"team": key[0], "t": rows["t"], "n_before": n + rows["n"].cumsum() - rows["n"], "wins_before": wins + rows["wins"].cumsum() - rows["wins"]})
-    state.update((int(rows["t"].iloc[-1]), int(n + rows["n"].sum()), int(wins + rows["wins"].sum())))
-    yield out
-
-
-def moments(sides: DataFrame) -> DataFrame:
-    """(team, t, n, wins): one row for all that a team does at one moment."""
-    return sides.groupBy("team", "t").agg(F.count("*").alias("n"), F.sum("win").cast("long").alias("wins"))
-
-
-def prior_moments(stream: DataFrame) -> DataFrame:
-    """Matches and wins of a team before each of its moments, from a stream of moments() in time order."""
-    return stream.select("team", "t", "n", "wins").groupBy("team").applyInPandasWithState(moment_state, MOMENT_OUT, "t long, n long, wins long", "append", "NoTimeout")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-
-
-def run_in_time_order(rows: DataFrame, step: Callable[[DataFrame], DataFrame], time: str = "t", most: int | None = None) -> DataFrame:
-    """Feeds a table to ``step`` as a stream, one range of time a file and a micro-batch, the next one after the one before is done.
-
-    A range has about ``most`` rows (MICRO_BATCH), rows of one time are never parted. The order does not rest on the
-    times of files, which some stores give in whole seconds only.
+class Sink:
+    """What micro-batches have in common: observations with keys and a time, of which each counts once."""
+
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], time: str):
+        self.spark, self.path, self.keys, self.time = spark, path, list(keys), time
+
+    def table(self, name: str, before: int | None = None) -> DataFrame | None:
+        """All rows of a table, or those of the batches before one; None if there are none."""
+        at = f"{self.path}/{name}"
+        if not exists(self.spark, at):
+            return None
+        rows = self.spark.read.parquet(at)
+        return rows if before is None else rows.where(F.col("batch") < before)
+
+    def put(self, df: DataFrame, name: str, batch: int, *by: str) -> DataFrame:
+        """Writes what a batch adds to a table, in place of what an earlier try of the same batch wrote."""
+        at = f"{self.path}/{name}/batch={batch}"
+        df.write.mode("overwrite").partitionBy(*by).parquet(at)
+        return self.spark.read.schema(df.schema).parquet(at)
+
+    def new(self, rows: DataFrame, batch: int) -> DataFrame:
+        """The observations of a batch that no batch before it has had, as a written table. What was seen is read only where its
+        files' times overlap the batch's: a copy has its original's time."""
+        rows = rows.dropDuplicates(self.keys)
+        seen = self.table("seen", batch)
+        if seen is not None:
+            span = rows.agg(F.min(self.time).alias("low"), F.max(self.time).alias("high")).first()
+            seen = seen.where(F.col(self.time).between(span["low"], span["high"])).select(*self.keys)
+            rows = rows.join(seen, self.keys, "left_anti")
+        return self.put(rows, "seen", batch)
+
+    def __call__(self, rows: DataFrame, batch: int) -> None:
+        raise TypeError("a sink says what a batch adds")
+
+    def run(self, stream: DataFrame) -> Sink:
+        """Takes all that the stream's source has; progress lies beside the tables, so a later run goes on from there."""
+        query = stream.writeStream.foreachBatch(self).option("checkpointLocation", f"{self.path}/progress").trigger(availableNow=True).start()
+        query.awaitTermination()
+        return self
+
+
+class PriorCounts(Sink):
+    """Matches and wins of a team strictly before each observation (match_id, side, team, t, win).
+
+    Tables: ``seen``, all observations; ``frontier``, the greatest time after each batch; ``state``, the totals of each team at
+    that frontier, as parts to be added up; ``late``, observations at or before the frontier of their arrival; ``out``, counts, of which
+    the latest batch's holds.
     """
+
+    COLUMNS = ["match_id", "side", "team", "t", "win"]
+
+    def __init__(self, spark: SparkSession, path: str):
+        super().__init__(spark, path, ["match_id", "side"], "t")
+
+    def frontiers(self, before: int) -> list[tuple[int, int]]:
+        """(t, batch) of the batches that moved the frontier: a number each."""
+        got = self.table("frontier", before)
+        return sorted((r["t"], r["batch"]) for r in got.collect()) if got is not None else []
+
+    def snapshot(self, upto: int | None, before: int) -> DataFrame:
+        """The totals of all teams at the frontier of batch ``upto``, late rows of the batches before ``before`` among them."""
+        state = self.table("state", before)
+        if upto is None or state is None:
+            return self.spark.createDataFrame([], "team long, n long, wins long, last_t long")
+        rows = state.where(F.col("upto") == upto)
+        return rows.groupBy("team").agg(F.sum("n").alias("n"), F.sum("wins").alias("wins"), F.max("last_t").alias("last_t"))
+
+    def __call__(self, rows: DataFrame, batch: int) -> None:
+        new = self.new(rows.select(*self.COLUMNS), batch)
+        fronts = self.frontiers(batch)
+        front = fronts[-1][0] if fronts else None
+        late = F.lit(False) if front is None else F.col("t") <= front
+        what = new.agg(F.count_if(~late).alias("on"), F.count_if(late).alias("late"), F.min(F.when(late, F.col("t"))).alias("first"), F.max("t").alias("last")).first()
+        parts, states = [], []
+        if what["on"]:
+            held = self.snapshot(fronts[-1][1] if fronts else None, batch)
+            fresh = new.where(~late)
+            parts.append(resume.counts_from(held, fresh, "team"))
+            states.append(resume.merged(held, resume.totals(fresh, "team"), "team").withColumn("upto", F.lit(batch)))
+            self.put(self.spark.createDataFrame([(int(what["last"]),)], "t long"), "frontier", batch)
+        if what["late"]:
+            behind = self.put(new.where(late), "late", batch)
+            # the last snapshot before all of them; what came after it, of their teams alone, is counted again from there
+            older = [f for f in fronts if f[0] < what["first"]]
+            since = older[-1] if older else None
+            redo = self.table("seen", batch + 1).select(*self.COLUMNS).join(behind.select("team").distinct(), "team", "left_semi")
+            redo = redo.where(F.col("t") > since[0]) if since else redo
+            redo = redo.where(F.col("t") <= front)
+            again = resume.counts_from(self.snapshot(since[1] if since else None, batch), redo, "team")
+            parts.append(again)
+            # the snapshots after them get them too
+            gets = F.array(*[F.struct(F.lit(t).cast("long").alias("t"), F.lit(b).alias("upto")) for t, b in fronts if t >= what["first"]])
+            each = behind.withColumn("s", F.explode(F.filter(gets, lambda f: f["t"] >= F.col("t")))).withColumn("upto", F.col("s.upto"))
+            states.append(resume.totals(each, "upto", "team").select("team", "n", "wins", "last_t", "upto"))
+            if what["on"]:
+                # on-time rows of this batch stand behind the late ones: their state did not have them
+                more = resume.totals(behind, "team")
+                parts[0] = resume.counts_from(resume.merged(self.snapshot(fronts[-1][1], batch), more, "team"), new.where(~late), "team")
+                states[0] = states[0].unionByName(more.withColumn("upto", F.lit(batch)))
+        if parts:
+            out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+            self.put(out.select("match_id", "side", "team", "t", "n_before", "wins_before"), "out", batch)
+            state = states[0] if len(states) == 1 else states[0].unionByName(states[1])
+            self.put(state, "state", batch, "upto")
+
+    def result(self) -> DataFrame:
+        """(match_id, side, n_before, wins_before) of all observations so far."""
+        out = self.table("out")
+        if out is None:
+            return self.spark.createDataFrame([], "match_id long, side int, n_before long, wins_before long")
+        newest = out.groupBy("match_id", "side").agg(F.max_by(F.struct("n_before", "wins_before"), "batch").alias("c"))
+        return newest.select("match_id", "side", "c.n_before", "c.wins_before")
+
+    def late(self) -> DataFrame:
+        """Late observations and the batch they came with."""
+        got = self.table("late")
+        return got if got is not None else self.spark.createDataFrame([], "match_id long, side int, team long, t long, win int, batch int")
+
+
+class WindowTotals(Sink):
+    """Counts and sums by type in tumbling windows of event time. Parts of a window add up, so late events need no replay."""
+
+    def __init__(self, spark: SparkSession, path: str, length: str = "1 hour"):
+        super().__init__(spark, path, ["event_id"], "ts")
+        self.length = length
+
+    def __call__(self, rows: DataFrame, batch: int) -> None:
+        new = self.new(rows.select("event_id", "event_type", "value", "ts"), batch)
+        totals = new.groupBy(F.window("ts", self.length).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+        self.put(totals.select(F.col("w.start").alias("start"), "event_type", "n", "total"), "out", batch)
+
+    def result(self) -> DataFrame:
+        """(start, event_type, n, total)."""
+        return self.table("out").groupBy("start", "event_type").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+
+
+def fed(rows: DataFrame, sink: type[Sink], arrival: str) -> DataFrame:
+    """What a sink makes of a table that arrives as a stream in the order of a column, in at least four micro-batches of
+    FILES files. The stream's folder is gone when this returns."""
     spark = rows.sparkSession
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     rows = kept(rows)
-    ranges = max(1, math.ceil(rows.count() / (most or MICRO_BATCH)))
-    # files are named by the number of their range; there may be more of them than asked for
-    files = sorted(kept(rows.repartitionByRange(ranges, time)).inputFiles(), key=lambda f: f.rsplit("/", 1)[1])
-    each = math.ceil(len(files) / ranges)
-    path = shared_folder(spark)
-    query = None
-    try:
-        for k in range(0, len(files), each):
-            spark.read.schema(rows.schema).parquet(*files[k : k + each]).coalesce(1).write.mode("append").parquet(f"{path}/in")
-            if query is None:
-                made = step(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in"))
-                query = made.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/progress").outputMode("append").start()
-            query.processAllAvailable()
-    finally:
-        if query is not None:
-            query.stop()
-    return spark.read.schema(made.schema).parquet(f"{path}/out")
+    batches = max(4, -(-rows.count() // MICRO_BATCH))
+    rows.repartitionByRange(batches * FILES, arrival).write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES).parquet(f"{path}/in")
+    out = kept(sink(spark, f"{path}/tables").run(stream).result())
+    delete(spark, path)
+    delete(spark, rows._kept_at)
+    return out
 
 
 def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over what its source has and gives what it wrote; sink and progress lie in the shared folder."""
     spark: SparkSession = stream.sparkSession
-    path = shared_folder(spark)
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     query = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/progress").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
+    delete(spark, f"{path}/progress")
     return spark.read.schema(stream.schema).parquet(f"{path}/out")

@@ -24,10 +24,10 @@ def test_publish_replaces(spark, tmp_path):
 def test_stream_of_late_and_repeated_rows(spark, tmp_path):
     rows = [(1, 1, 7, 10, 1), (2, 1, 7, 20, 0), (3, 2, 7, 20, 1), (4, 1, 7, 30, 1)]
     df = spark.createDataFrame(rows, "match_id long, side int, team long, t long, win int")
-    for k, part in enumerate((df.where("match_id <= 2"), df.where("match_id > 2"))):
+    for part in (df.where("match_id <= 2"), df.where("match_id > 2")):
         part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = {r["match_id"]: (r["n_before"], r["wins_before"]) for r in streaming.run_to_end(streaming.prior_counts(stream)).collect()}
+    got = {r["match_id"]: (r["n_before"], r["wins_before"]) for r in streaming.PriorCounts(spark, str(tmp_path / "tables")).run(stream).result().collect()}
     assert got[2] == got[3] == (1, 1) and got[4] == (3, 2)
 
 

@@ -32,40 +32,61 @@ def test_every_match_asks(spark):
     assert got == {(r["match_id"], r["side"]): before(events, r["team"], r["t"]) for r in sides}
 
 
-def fed(spark):
-    """Rows of each file that streams were fed with."""
-    top = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
-    return {f: [r["t"] for r in spark.read.parquet(f).collect()] for f in glob.glob(f"{top}/stream-*/in/*.parquet")}
-
-
 @tables
-def test_stream_comes_in_bounded_batches(spark, monkeypatch):
-    monkeypatch.setattr(streaming, "MICRO_BATCH", 500)
-    old = fed(spark)
+def test_streams_leave_no_folders(spark, monkeypatch):
+    monkeypatch.setattr(streaming, "MICRO_BATCH", 300)
+    top = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    old = set(glob.glob(f"{top}/*"))
     got = {(r["match_id"], r["side"]): (r["n_before"], r["wins_before"]) for r in QUERIES["streaming_prior_counts"][0](spark, FOLDER).collect()}
     sides = match_sides(spark, FOLDER).where("elig").select("match_id", "side", "team", "t", "win").collect()
     assert got == {(r["match_id"], r["side"]): before(sides, r["team"], r["t"]) for r in sides}
-    files = sorted(ts for f, ts in fed(spark).items() if f not in old)
-    assert len(files) > 2 and max(map(len, files)) < 1_000
-    assert all(max(a) < min(b) for a, b in zip(files, files[1:]))
+    new = set(glob.glob(f"{top}/*")) - old
+    assert len(new) == 1 and all("/table-" in f for f in new)  # the table of the result
 
 
-def test_hot_team_is_one_row_a_moment(spark):
-    rows = [(i, 1, 7 if i % 3 else i, i // 40, i % 2) for i in range(1, 1_200)]
-    df = spark.createDataFrame(rows, "match_id long, side int, team long, t long, win int")
-    moments = streaming.moments(df)
-    assert moments.where("team = 7").count() == 30
-    made = {(r["team"], r["t"]): (r["n_before"], r["wins_before"]) for r in streaming.run_in_time_order(moments, streaming.prior_moments, most=100).collect()}
-    events = [{"team": r[2], "t": r[3], "win": r[4]} for r in rows]
-    assert made == {(e["team"], e["t"]): before(events, e["team"], e["t"]) for e in events}
+SIDES = "match_id long, side int, team long, t long, win int"
+
 
+def arriving(spark, tmp_path, batches):
+    """A stream of files, one a batch, in this order."""
+    for k, rows in enumerate(batches):
+        at = str(tmp_path / "in" / f"{k}.parquet")
+        os.makedirs(os.path.dirname(at), exist_ok=True)
+        spark.createDataFrame(rows, SIDES).toPandas().to_parquet(at, index=False)
+        os.utime(at, (1_600_000_000 + 100 * k,) * 2)
+    return spark.readStream.schema(SIDES).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
 
-def test_stream_out_of_time_order_fails(spark, tmp_path):
-    for t in (20, 10):
-        spark.createDataFrame([(7, t, 1, 1)], "team long, t long, n long, wins long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("team long, t long, n long, wins long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    with pytest.raises(Exception, match="out of time order"):
-        streaming.run_to_end(streaming.prior_moments(stream))
+
+def test_shuffled_arrival_gives_the_batch_result(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(i, 1, 7 if i % 3 else int(rng.integers(1, 5)), i // 6, int(rng.integers(2))) for i in range(1, 241)]
+    mixed = [rows[i] for i in rng.permutation(len(rows))]
+    batches = [rows[:60], mixed[:70] + rows[:5], rows[60:120], mixed[70:], [], rows]  # repeats and empty batches among them
+    sink = streaming.PriorCounts(spark, str(tmp_path / "tables"))
+    sink.run(arriving(spark, tmp_path, [b for b in batches if b]))
+    events = [{"team": r[2], "t": r[3], "win": r[4]} for r in rows]
+    got = {r["match_id"]: (r["n_before"], r["wins_before"]) for r in sink.result().collect()}
+    assert got == {r[0]: before(events, r[2], r[3]) for r in rows}
+    seen = front = None
+    late, seen = 0, set()
+    for b in batches:
+        fresh = {r[0]: r for r in b if r[0] not in seen}
+        late += sum(front is not None and r[3] <= front for r in fresh.values())
+        seen |= set(fresh)
+        front = max([r[3] for r in fresh.values()] + ([] if front is None else [front]), default=front)
+    assert sink.late().count() == late > 20
+
+
+def test_a_batch_that_runs_again_adds_nothing(spark, tmp_path):
+    sink = streaming.PriorCounts(spark, str(tmp_path / "tables"))
+    rows = [[(1, 1, 7, 10, 1), (2, 1, 7, 20, 0)], [(3, 1, 7, 15, 1), (4, 1, 7, 30, 1)]]
+    for k in (0, 1, 1):
+        sink(spark.createDataFrame(rows[k], SIDES), k)
+    assert {r["match_id"]: (r["n_before"], r["wins_before"]) for r in sink.result().collect()} == {1: (0, 0), 2: (2, 2), 3: (1, 1), 4: (3, 2)}
+    assert [r["match_id"] for r in sink.late().collect()] == [3]
+    sink(spark.createDataFrame([(5, 1, 7, 30, 0), (6, 1, 7, 31, 0)], SIDES), 2)  # at the frontier: late, and not before its own moment
+    got = {r["match_id"]: (r["n_before"], r["wins_before"]) for r in sink.result().collect()}
+    assert got[5] == got[4] == (3, 2) and got[6] == (5, 3)
 
 
 def test_only_identities_of_one_name_are_compared(spark):
