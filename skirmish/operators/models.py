@@ -102,37 +102,3 @@ def linear_attribution(rows: DataFrame, model: Linear, groups: dict[str, list[st
 
 def direction(value: Column, eps: float = 1e-6) -> Column:
     return F.when(value > eps, "for_team1").when(value < -eps, "for_team2").otherwise("neutral")
-
-
-def path_attribution(rows: DataFrame, model, columns: list[str]) -> DataFrame:
-    """Tree-path decomposition of a Spark ML forest: (match_id, bias, one column a feature), which sum to the probability.
-
-    Each node's step from its own share of the positive class to the child's is credited to the feature it splits on. The
-    trees become column expressions, so nothing leaves the JVM.
-    """
-    forest = model.stages[-1]
-
-    def share(node) -> float:
-        stats = list(node.impurityStats().stats())
-        return stats[1] / max(sum(stats), 1e-300)
-
-    total = {c: F.lit(0.0) for c in columns}
-    bias = 0.0
-    for tree in forest.trees:
-        root = tree._java_obj.rootNode()
-
-        def walk(node, cond: Column | None) -> None:
-            if node.getClass().getSimpleName() == "LeafNode":
-                return
-            split = node.split()
-            c = columns[split.featureIndex()]
-            left = F.col(c) <= split.threshold()
-            for child, go in ((node.leftChild(), left), (node.rightChild(), ~left)):
-                here = go if cond is None else cond & go
-                total[c] = total[c] + F.when(here, share(child) - share(node)).otherwise(0.0)
-                walk(child, here)
-
-        bias += share(root)
-        walk(root, None)
-    n = len(forest.trees)
-    return rows.select("match_id", F.lit(bias / n).alias("bias"), *[(total[c] / n).alias(c) for c in columns])

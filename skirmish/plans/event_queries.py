@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import streaming
 from ..functions import DAY
-from ..operators import compose, metrics, models, prep, reports, tournament
+from ..operators import compose, explain, metrics, models, prep, reports, tournament
 from ..scratch import kept
 from .adapter import match_sides, player_rows, sql
 from .history_queries import rounded
@@ -141,7 +141,7 @@ def path_attribution(spark, sf_dir):
     """Parts of a forest's probabilities and their sum against the prediction."""
     rows = _prepared(spark, sf_dir)
     fit = models.trees(rows.where("split = 'train'"), COLUMNS, "win1", "forest", 5, 3)
-    parts = models.path_attribution(rows, fit, COLUMNS)
+    parts = explain.path_shares(rows, fit.stages[-1], COLUMNS)
     p = models.tree_probability(fit, rows).select("match_id", "p")
     total = F.col("bias") + sum((F.col(c) for c in COLUMNS), F.lit(0.0))
     return parts.join(p, "match_id").select("match_id", F.round("p", 6).alias("p"), F.round(total - F.col("p"), 6).alias("gap"), *[F.round(c, 6).alias(c) for c in COLUMNS])
