@@ -1,14 +1,15 @@
 """Document fingerprints by a randomised edit embedding.
 
-All texts take the same random walk: at step j the character under the cursor is emitted, and a random bit that depends
+All texts take the same random walks: at step j the character under the cursor is emitted, and a random bit that depends
 on j and the character alone decides whether the cursor moves on. Texts a few edits apart fall into step again after an
 edit, so edit distance becomes Hamming distance between the emitted strings. A fingerprint keeps the emitted characters
-at every 2^level-th step, four bits each; the level grows with the length, so a fingerprint has 85 to 256 samples or so
+at every 2^level-th step, four bits each; the level grows with the length, so a walk has 85 to 256 samples or so
 (all steps of a short text), and the samples of a coarse level are among those of a fine one. Bands of a few samples each,
-drawn from the whole fingerprint, propose pairs; the likeness of the two fingerprints verifies them.
+drawn from the whole walk, propose pairs; the likeness of the two fingerprints verifies them.
 
-Likeness depends on where an edit lies: what comes before it always agrees, what comes after it agrees once the walks have
-met again, which they may not do. An early edit can so cost more likeness than a late one of the same size.
+After an edit a walk may stay out of step for long: what comes before the edit always agrees, what comes after it agrees once
+the walks have met again. So every text is walked twice, from its beginning and, reversed, from its end, and the likeness of two
+fingerprints is that of the walk that agrees more: both rarely lose their way, and each keeps its own side of an edit.
 """
 
 from __future__ import annotations
@@ -46,7 +47,15 @@ def level_of(n: np.ndarray) -> np.ndarray:
     return np.maximum(0, np.floor(np.log2(np.maximum(3 * n, 1) / SAMPLES)).astype(np.int64) + 1) * (3 * n >= SAMPLES)
 
 
-def embed(texts: list[str]) -> list[tuple[int, np.ndarray]]:
+#: A fingerprint: the level, the samples of the walk from the beginning, those of the walk from the end.
+Print = tuple[int, np.ndarray, np.ndarray]
+
+
+def embed(texts: list[str]) -> list[Print]:
+    return [(level, a, b) for (level, a), (_, b) in zip(walk(texts), walk([t[::-1] for t in texts]), strict=True)]
+
+
+def walk(texts: list[str]) -> list[tuple[int, np.ndarray]]:
     """(level, samples) of each text. All texts walk at once, the longest first; those that are done drop out."""
     bits, nibble = coins()
     codes = []
@@ -95,20 +104,21 @@ def embed(texts: list[str]) -> list[tuple[int, np.ndarray]]:
     return got
 
 
-def written(level: int, samples: np.ndarray) -> str:
-    """level:samples, one hexadecimal digit a sample."""
-    return f"{level}:" + "".join("0123456789abcdef"[v] for v in samples.tolist())
+def written(print_: Print) -> str:
+    """level:samples:samples, one hexadecimal digit a sample."""
+    level, *walks = print_
+    return ":".join([str(level), *("".join("0123456789abcdef"[v] for v in w.tolist()) for w in walks)])
 
 
-def read(fingerprint: str) -> tuple[int, np.ndarray]:
-    level, _, digits = fingerprint.partition(":")
-    raw = np.frombuffer(digits.encode(), np.uint8)
-    return int(level), np.where(raw < 97, raw - 48, raw - 87)
+def read(fingerprint: str) -> Print:
+    level, *walks = fingerprint.split(":")
+    raw = [np.frombuffer(w.encode(), np.uint8) for w in walks]
+    a, b = (np.where(r < 97, r - 48, r - 87) for r in raw)
+    return int(level), a, b
 
 
-def likeness(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> float:
-    """Share of samples that agree at the coarser level, less what chance gives (one in 16); empty texts are alike."""
-    top = max(a[0], b[0])
+def walks_alike(top: int, a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> float:
+    """Share of a walk's samples that agree at level ``top``, less what chance gives (one in 16)."""
     x, y = a[1][:: 1 << (top - a[0])], b[1][:: 1 << (top - b[0])]
     m, n = min(len(x), len(y)), max(len(x), len(y))
     if n == 0:
@@ -116,11 +126,17 @@ def likeness(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> float:
     return max(0.0, (float((x[:m] == y[:m]).sum()) / n - 1 / 16) * 16 / 15)
 
 
+def likeness(a: Print, b: Print) -> float:
+    """That of the walk that agrees more, at the coarser level of the two; empty texts are alike."""
+    top = max(a[0], b[0])
+    return max(walks_alike(top, (a[0], a[k]), (b[0], b[k])) for k in (1, 2))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_chars, fingerprint) of every row; equal texts have equal fingerprints; null and empty texts "0:"."""
+    """(doc_id, n_chars, fingerprint) of every row; equal texts have equal fingerprints; null and empty texts "0::"."""
 
     def run(cols: dict) -> dict:
-        return {"doc_id": cols["doc_id"], "n_chars": [len(t) for t in cols["text"]], "fingerprint": [written(*f) for f in embed(cols["text"])]}
+        return {"doc_id": cols["doc_id"], "n_chars": [len(t) for t in cols["text"]], "fingerprint": [written(f) for f in embed(cols["text"])]}
 
     return map_texts(id_text(docs, id_col, text_col), run, "doc_id long, n_chars long, fingerprint string", 12_000_000)
 
@@ -146,8 +162,14 @@ def band_picks(size: int, bands: int, bits: int) -> np.ndarray:
     return _state[key]
 
 
-def band_keys(prints: list[tuple[int, np.ndarray]], bands: int, bits: int, threshold: float = THRESHOLD) -> list[np.ndarray]:
-    """Keys of the bit-sampled bands of fingerprints at their own level. Those near the upper end of their level have keys of
+def band_keys(prints: list[Print], bands: int, bits: int, threshold: float = THRESHOLD) -> list[np.ndarray]:
+    """Keys of the bit-sampled bands of both walks of fingerprints."""
+    each = [walk_keys([(p[0], p[k]) for p in prints], k, bands, bits, threshold) for k in (1, 2)]
+    return [np.concatenate(k) for k in zip(*each, strict=True)]
+
+
+def walk_keys(prints: list[tuple[int, np.ndarray]], which: int, bands: int, bits: int, threshold: float) -> list[np.ndarray]:
+    """Keys of the bands of one walk at its own level. Those near the upper end of their level have keys of
     the next level too, so that they meet texts of that level whose size they may be alike to."""
     same: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
     for i, (level, s) in enumerate(prints):
@@ -159,7 +181,7 @@ def band_keys(prints: list[tuple[int, np.ndarray]], bands: int, bits: int, thres
     out: list[list[np.ndarray]] = [[] for _ in prints]
     for (level, size), members in same.items():
         got = np.stack([m[1] for m in members])[:, band_picks(size, bands, bits)].astype(np.uint64)
-        h = np.broadcast_to(mix(np.arange(bands, dtype=np.uint64) * GOLDEN + np.uint64(level * 64 + got.shape[2] + 1)), got.shape[:2]).copy()
+        h = np.broadcast_to(mix(np.arange(bands, dtype=np.uint64) * GOLDEN + np.uint64((level * 64 + got.shape[2]) * 4 + which)), got.shape[:2]).copy()
         for c in range(got.shape[2]):
             h = mix(h * GOLDEN + got[:, :, c])
         for (i, _), keys in zip(members, h.view(np.int64), strict=True):
@@ -167,8 +189,13 @@ def band_keys(prints: list[tuple[int, np.ndarray]], bands: int, bits: int, thres
     return [np.concatenate(k) for k in out]
 
 
-def all_alike(prints: list[tuple[int, np.ndarray]], threshold: float) -> np.ndarray:
-    """Which of some fingerprints are alike, all against all, level by level."""
+def all_alike(prints: list[Print], threshold: float) -> np.ndarray:
+    """Which of some fingerprints are alike by either walk, all against all."""
+    return np.logical_or(*[walks_all_alike([(p[0], p[k]) for p in prints], threshold) for k in (1, 2)])
+
+
+def walks_all_alike(prints: list[tuple[int, np.ndarray]], threshold: float) -> np.ndarray:
+    """Which of some walks are alike, all against all, level by level."""
     levels = np.array([p[0] for p in prints])
     hit = np.zeros((len(prints), len(prints)), bool)
     for top in np.unique(levels):
@@ -190,7 +217,7 @@ def all_alike(prints: list[tuple[int, np.ndarray]], threshold: float) -> np.ndar
 def print_classes(prints: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(fingerprint, class_id) of every distinct fingerprint but those of empty texts: bands propose, likeness of
     ``threshold`` or more links; class_id is the smallest doc_id of the class."""
-    rows = prints.select(F.col("doc_id").cast("long").alias("doc_id"), "fingerprint").where("length(fingerprint) > 2")
+    rows = prints.select(F.col("doc_id").cast("long").alias("doc_id"), "fingerprint").where("length(fingerprint) > 3")
     # distinct fingerprints are the nodes: the first doc_id stands for each; null ids come last
     reps = materialize(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("rep")).where("rep is not null"))
 
@@ -222,8 +249,8 @@ def near_duplicates(prints: DataFrame, threshold: float = THRESHOLD) -> DataFram
     """The rows of ``prints`` (doc_id, fingerprint and any other columns) with class_id: links are pairs of fingerprints
     whose likeness is ``threshold`` or more, found in the bands they share; class_id is the smallest doc_id that links reach.
 
-    Unrelated texts stay below about 0.25; a single edit leaves 0.98 in the median, but less than 0.8 for some texts, where
-    the walks do not meet again: the links are those of the fingerprints, not of exact edit distances. Texts of any length
+    Unrelated texts stay below about 0.25; of texts with 1, 3 and 10 random edits (300 to 8,000 characters) 0.99, 0.99 and 0.91 keep
+    0.8 or more. The links are those of the fingerprints, not of exact edit distances. Texts of any length
     count whole. Equal fingerprints meet first, in a groupBy. Null fingerprints and those of empty texts are classes of
     their own, as are rows with a null doc_id unless a row with an id has the same fingerprint. Rows that repeat all come
     out; where one doc_id has unlike texts, the class of its least fingerprint is that of all of them. No rows give no rows.
@@ -271,8 +298,8 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             "doc_id": [h[0] for h in held],
             "n_chars": [len(t) for t in texts],
             "edited_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in new],
-            "fingerprint": [written(*f) for f in own],
-            "edited_fingerprint": [written(*f) for f in other],
+            "fingerprint": [written(f) for f in own],
+            "edited_fingerprint": [written(f) for f in other],
             "near_edited": [likeness(a, b) for a, b in zip(own, other, strict=True)],
             "near_next": [likeness(a, b) for a, b in zip(own, after, strict=True)],
         }
