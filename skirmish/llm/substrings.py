@@ -6,6 +6,10 @@ dropped before anything is compared. Documents join on the anchors they share, a
 both ways, as far as the windows reach that chose it: first as a whole, so that a passage that thousands share is settled
 by one comparison for each place in it; where the surroundings differ, as at the ends of a passage, window by window. What
 results are intervals; those that touch join to maximal repeats of at least the window's length.
+
+Words are compared by hashes: 64 bits a word, 64 bits a run of them. Two windows are only ever compared under one anchor, so they
+are taken for equal wrongly with a chance of 2^-64 for each pair of unlike windows that share 20 words: for 10^12 such
+pairs 5e-8 in all. Whole copies are told by 128 bits.
 """
 
 from __future__ import annotations

@@ -2,6 +2,10 @@
 
 The automaton holds the pieces of a model. One pass over a run of text follows its output links: for every piece that
 ends at a place, the best score there is relaxed. Characters that no piece covers fall back to bytes.
+
+The scores of a unigram model are log-probabilities and are added up. Those of a BPE model are numbers of merges, no
+likelihood: there the best segmentation is the one of fewest pieces, and of those the one whose merges come first. That is near what
+the library's merges give, not the same.
 """
 
 from __future__ import annotations
@@ -18,12 +22,15 @@ from .common import id_text, map_texts
 SPACE = "▁"
 CACHE = 500_000
 LONGEST = 64
+#: What a piece of a BPE model costs, more than all its run's merge numbers together (runs of up to 500,000 pieces add up
+#: exactly in doubles), and the largest merge number that counts.
+STEP, LAST_MERGE = float(1 << 34), float(1 << 15)
 _RUNS = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 _state: dict = {}
 
 
 class Model:
-    """Pieces, scores and byte pieces of a sentencepiece model file; scores are taken as those of a unigram model."""
+    """Pieces, scores and byte pieces of a sentencepiece model file of type unigram or BPE."""
 
     def __init__(self, path: str):
         import ahocorasick
@@ -34,12 +41,17 @@ class Model:
             spec.ParseFromString(f.read())
         self.pieces = [p.piece for p in spec.pieces]
         kinds = [p.type for p in spec.pieces]
+        if 4 in kinds:
+            raise ValueError("user-defined pieces would have to be matched before all others; this operator does not")
         scores = [p.score for p in spec.pieces]
+        bpe = spec.trainer_spec.model_type == 2
+        if bpe:
+            scores = [-STEP + max(v, -LAST_MERGE) for v in scores]
         self.bytes_at = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if kinds[i] == 6}
         self.byte_of = {i: b for b, i in self.bytes_at.items()}
         self.unk = kinds.index(2)
         normal = [i for i, k in enumerate(kinds) if k == 1]
-        self.unknown = min(scores[i] for i in normal) - 10.0
+        self.unknown = -5 * STEP if bpe else min(scores[i] for i in normal) - 10.0
         self.auto = ahocorasick.Automaton()
         for i in normal:
             self.auto.add_word(self.pieces[i], (len(self.pieces[i]), scores[i], i))
@@ -110,7 +122,9 @@ def model(path: str) -> Model:
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids) of every row. Null and empty texts have no ids; repeated rows are all returned."""
+    """(doc_id, ids) of every row. Null and empty texts have no ids; a text of spaces has those of its marks; texts of any length
+    are read whole, run by run; among segmentations of equal score the longer last piece wins. Repeated rows and null ids
+    are all returned; other columns of ``docs`` are not read; no rows give no rows."""
 
     def run(cols: dict) -> dict:
         m = model(path)
@@ -120,7 +134,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 
 def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(doc_id, text) of rows of ids; null ids give an empty text. ``▁`` in a text comes back as a space, as the marks do."""
+    """(doc_id, text) of rows of ids; null and empty ids give an empty text. ``▁`` in a text comes back as a space, as the marks
+    do; bytes that are no UTF-8 come back as replacement characters. Lists of any length, repeated rows and null doc_ids are
+    all returned; other columns are not read; no rows give no rows."""
 
     def run(cols: dict) -> dict:
         m = model(path)
@@ -134,7 +150,8 @@ def crc32(ids: list[int]) -> int:
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_crc32, n_bytes_pieces, decoded): encodes and decodes every whole text in one pass."""
+    """(doc_id, n_tokens, ids_crc32, n_byte_pieces, decoded): encodes and decodes every whole text in one pass. Nulls, empty and
+    long texts, ties, repeated rows, other columns and empty tables: as encode() and decode()."""
 
     def run(cols: dict) -> dict:
         m = model(path)

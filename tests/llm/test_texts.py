@@ -11,6 +11,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from skirmish.llm import licenses, packing, token_counts, unigram
+from skirmish.llm.queries import queries
 
 from .cases import ODD, empty, table
 
@@ -205,3 +206,80 @@ def test_piece_round_trip(spark):
     known = {r["doc_id"]: r["ids"] for r in ids.collect()}
     assert all(made[d]["n_tokens"] == len(x) and made[d]["ids_crc32"] == unigram.crc32(x) for d, x in known.items())
     assert unigram.encode(empty(spark), PIECES).count() == 0
+
+
+def fewest_pieces(text, pieces, byte_ids, longest):
+    """Plain DP over a whole text: fewest pieces, then the greatest sum of scores, then the longer last piece. An unknown
+    character counts as five pieces, as the model's does, and comes out as its bytes."""
+    if not text:
+        return []
+    text = unigram.SPACE + text.replace(" ", unigram.SPACE)
+    best = [(0, 0)] + [None] * len(text)
+    last = [None] * (len(text) + 1)
+    for end in range(1, len(text) + 1):
+        for size in range(1, min(longest, end) + 1):
+            i = pieces.get(text[end - size : end])
+            if i is None:
+                continue
+            n, s = best[end - size]
+            got = (n + 1, s - i[1])
+            if best[end] is None or got <= best[end]:
+                best[end], last[end] = got, (size, i[0])
+        if best[end] is None:
+            best[end], last[end] = (best[end - 1][0] + 5, best[end - 1][1]), (1, None)
+    out, end = [], len(text)
+    while end:
+        size, i = last[end]
+        out += [i] if i is not None else [byte_ids[b] for b in reversed(text[end - 1].encode())]
+        end -= size
+    return out[::-1]
+
+
+def registered_pieces():
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    spec = proto.ModelProto()
+    with open(PIECES, "rb") as f:
+        spec.ParseFromString(f.read())
+    normal = {p.piece: (i, max(p.score, -unigram.LAST_MERGE)) for i, p in enumerate(spec.pieces) if p.type == 1}
+    return normal, {int(p.piece[3:5], 16): i for i, p in enumerate(spec.pieces) if p.type == 6}
+
+
+def test_registered_model_against_all_segmentations():
+    pieces, byte_ids = registered_pieces()
+    longest, m = max(map(len, pieces)), unigram.Model(PIECES)
+    rng = random.Random(9)
+    texts = [t[:400] for t in ODD] + ["".join(rng.choice("ab cdthe \né😀▁  the ing") for _ in range(rng.randint(1, 80))) for _ in range(400)]
+    for t in texts:
+        assert m.encode(t) == fewest_pieces(t, pieces, byte_ids, longest), t
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the test tables")
+def test_op4_against_all_segmentations_of_documents(spark):
+    pieces, byte_ids = registered_pieces()
+    longest = max(map(len, pieces))
+    got = {r["doc_id"]: r for r in queries()["op4_sentencepiece"](spark, "/root/testdata/sf0.01").collect()}
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    assert len(got) == len(docs)
+    for r in docs[::5]:
+        ids = fewest_pieces(r["text"] or "", pieces, byte_ids, longest)
+        assert (got[r["doc_id"]]["n_tokens"], got[r["doc_id"]]["ids_crc32"]) == (len(ids), unigram.crc32(ids))
+
+
+def test_a_text_of_megabytes(spark):
+    text = "the cat sat on the mat, été. " * 60_000 + "x" * 300_000
+    made = unigram.round_trip(spark.createDataFrame([(1, text)], "doc_id long, text string"), PIECES).first()
+    assert made["decoded"] == text and made["n_tokens"] < len(text) / 2
+
+
+def test_user_defined_pieces_are_refused(tmp_path):
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    spec = proto.ModelProto()
+    with open(PIECES, "rb") as f:
+        spec.ParseFromString(f.read())
+    spec.pieces[300].type = 4
+    path = tmp_path / "user.model"
+    path.write_bytes(spec.SerializeToString())
+    with pytest.raises(ValueError, match="user-defined"):
+        unigram.Model(str(path))
