@@ -23,12 +23,11 @@ CELL = "__cell"
 
 def cuts(rows: DataFrame, time: str = "t") -> list[float]:
     """The moments at which cells begin, none for a table of one cell. Results do not depend on where they lie."""
-    share = [k / MOST_CELLS for k in range(1, MOST_CELLS)]
-    one = rows.agg(F.count("*").alias("n"), F.percentile_approx(time, share, 4 * MOST_CELLS).alias("q")).first()
-    cells = min(MOST_CELLS, -(-one["n"] // CELL_ROWS))
-    if cells < 2 or one["q"] is None:
+    cells = min(MOST_CELLS, -(-rows.count() // CELL_ROWS))
+    if cells < 2:
         return []
-    return sorted({float(one["q"][k * MOST_CELLS // cells - 1]) for k in range(1, cells)})
+    at = rows.agg(F.percentile_approx(time, [k / cells for k in range(1, cells)], 4 * MOST_CELLS)).first()[0]
+    return sorted({float(v) for v in at or []})
 
 
 def in_cells(rows: DataFrame, at: Sequence[float], time: str = "t") -> DataFrame:
