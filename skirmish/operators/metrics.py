@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .prep import clipped
+from .quantiles import quantiles
 
 
 def binary(rows: DataFrame, *by: str, y: str = "y", p: str = "p") -> DataFrame:
@@ -97,8 +98,9 @@ def set_comparison(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 def symmetry(rows: DataFrame, p: str = "p", mirrored: str = "p_mirror") -> DataFrame:
     """|p - (1 - p of the mirrored match)|: mean, median, 95th percentile and largest."""
-    e = F.abs(F.col(p) + F.col(mirrored) - 1)
-    return rows.agg(F.avg(e).alias("mean"), F.median(e).alias("median"), F.percentile(e, 0.95).alias("p95"), F.max(e).alias("max"))
+    errors = rows.select(F.abs(F.col(p) + F.col(mirrored) - 1).alias("e"))
+    got = quantiles(errors, {"e": [0.5, 0.95]})
+    return errors.agg(F.avg("e").alias("mean"), F.lit(got["e", 0.5]).cast("double").alias("median"), F.lit(got["e", 0.95]).cast("double").alias("p95"), F.max("e").alias("max"))
 
 
 def uniform(*parts: Column) -> Column:

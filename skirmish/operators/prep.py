@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import medians
+
 
 @dataclass(frozen=True)
 class FeatureSpec:
@@ -46,13 +48,13 @@ def symmetry_error(augmented: DataFrame, spec: FeatureSpec) -> DataFrame:
 
 def fit_scaler(train: DataFrame, columns: list[str]) -> DataFrame:
     """One row: exact median, mean and sample deviation (1 if 0) of each column, the latter two after imputing."""
-    med = train.agg(*[F.median(c).alias(f"{c}__med") for c in columns])
-    full = train.join(F.broadcast(med))
+    med = medians(train, columns)
     parts = []
     for c in columns:
-        x = F.coalesce(c, f"{c}__med")
-        parts += [F.first(f"{c}__med").alias(f"{c}__med"), F.avg(x).alias(f"{c}__mean"), F.coalesce(F.nullif(F.stddev_samp(x), F.lit(0.0)), F.lit(1.0)).alias(f"{c}__std")]
-    return full.agg(*parts)
+        middle = F.lit(med[c]).cast("double")
+        x = F.coalesce(c, middle)
+        parts += [F.first(middle).alias(f"{c}__med"), F.avg(x).alias(f"{c}__mean"), F.coalesce(F.nullif(F.stddev_samp(x), F.lit(0.0)), F.lit(1.0)).alias(f"{c}__std")]
+    return train.agg(*parts)
 
 
 def scale(rows: DataFrame, fitted: DataFrame, columns: list[str]) -> DataFrame:

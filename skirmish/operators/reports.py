@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import medians
+
 #: The eight named evidence subgroups of a table with these four columns.
 EVIDENCE = {
     "A_recent_map_evidence": "both_recent = 1",
@@ -44,8 +46,8 @@ def flat_summary(sides: DataFrame) -> DataFrame:
 
 def impute(rows: DataFrame, train: DataFrame, columns: list[str]) -> DataFrame:
     """Medians of the training rows for nulls, nothing scaled: what forests take."""
-    med = train.agg(*[F.median(c).alias(f"{c}__med") for c in columns])
-    return rows.join(F.broadcast(med)).withColumns({c: F.coalesce(c, f"{c}__med") for c in columns}).drop(*[f"{c}__med" for c in columns])  # one row
+    med = medians(train, columns)
+    return rows.withColumns({c: F.coalesce(c, F.lit(med[c]).cast("double")) for c in columns})
 
 
 def keep_missing(rows: DataFrame, columns: list[str]) -> DataFrame:
