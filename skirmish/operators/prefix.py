@@ -131,3 +131,31 @@ def carried(rows: DataFrame, keys: Sequence[str], entry: str, order: Sequence[Co
     v = Window.partitionBy(*keys).orderBy(CELL).rowsBetween(Window.unboundedPreceding, -1)
     state = ends.select(*keys, CELL, F.last("end", ignorenulls=True).over(v).alias("__before"))
     return joined(own, state, keys).withColumn("last", F.coalesce("last", "__before")).drop(CELL, "__before")
+
+
+def previous(rows: DataFrame, keys: Sequence[str], columns: Mapping[str, str], order: Sequence[str], time: str = "t", at: Sequence[float] = ()) -> DataFrame:
+    """``rows`` with, for each (name, column), the column's value in the key's row before, in the order of time, then ``order``."""
+    cells = in_cells(rows, at, time)
+    w = Window.partitionBy(*keys, CELL).orderBy(time, *order)
+    own = cells.withColumns({n: F.lag(c).over(w) for n, c in columns.items()} | {"__first": F.row_number().over(w) == 1})
+    if not at:
+        return own.drop(CELL, "__first")
+    place = F.struct(time, *order)
+    ends = cells.groupBy(*keys, CELL).agg(*[F.max_by(c, place).alias(f"__end_{n}") for n, c in columns.items()])
+    v = Window.partitionBy(*keys).orderBy(CELL)
+    state = ends.select(*keys, CELL, *[F.lag(f"__end_{n}").over(v).alias(f"__end_{n}") for n in columns])
+    both = joined(own, state, keys)
+    return both.withColumns({n: F.when(F.col("__first"), F.col(f"__end_{n}")).otherwise(F.col(n)) for n in columns}).drop(CELL, "__first", *[f"__end_{n}" for n in columns])
+
+
+def running(rows: DataFrame, keys: Sequence[str], sums: Mapping[str, Column], order: Sequence[str], time: str = "t", at: Sequence[float] = ()) -> DataFrame:
+    """``rows`` with, for each name in ``sums``, the sum of a column up to and with the row, in the order of time, then ``order``."""
+    inputs = {f"__in_{k}": v for k, v in sums.items()}
+    cells = in_cells(rows.withColumns(inputs), at, time)
+    w = Window.partitionBy(*keys, CELL).orderBy(time, *order).rowsBetween(Window.unboundedPreceding, 0)
+    own = cells.withColumns({k: F.sum(f"__in_{k}").over(w) for k in sums}).drop(*inputs)
+    if not at:
+        return own.drop(CELL)
+    v = Window.partitionBy(*keys).orderBy(CELL).rowsBetween(Window.unboundedPreceding, -1)
+    state = cells.groupBy(*keys, CELL).agg(*[F.sum(c).alias(c) for c in inputs]).select(*keys, CELL, *[F.sum(c).over(v).alias(c) for c in inputs])
+    return joined(own, state, keys).withColumns({k: added(F.col(k), F.col(f"__in_{k}")) for k in sums}).drop(CELL, *inputs)

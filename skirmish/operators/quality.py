@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import DAY, identity_key, sign_winner
+from . import prefix
 
 
 def reject_reasons(raw: DataFrame, rules: dict[str, Column]) -> DataFrame:
@@ -78,18 +79,12 @@ def win_flag_check(rows: DataFrame) -> DataFrame:
     return rows.groupBy(implied.alias("implied"), recorded.alias("recorded")).agg(F.count("*").alias("n"))
 
 
-def players_in_common(rosters: DataFrame) -> DataFrame:
-    """(a, b, shared) for all identities that share players, related or not: a player's identities meet in pairs."""
-    pairs = rosters.select("player", "team").distinct()
-    left, right = pairs.select("player", F.col("team").alias("a")), pairs.select("player", F.col("team").alias("b"))
-    return left.join(right, "player").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-
-
-def overlaps(rosters: DataFrame, name: str, ident: str) -> DataFrame:
-    """(name, a, b, shared) for identities under one name that share players; those of different names never meet."""
-    pairs = rosters.where(F.col("player").isNotNull()).select(name, "player", ident).distinct()
+def overlaps(rosters: DataFrame, name: str, ident: str, *within: str) -> DataFrame:
+    """(name, a, b, shared) for identities under one name (and equal ``within``) that share players; others never meet."""
+    keys = [name, *within]
+    pairs = rosters.where(F.col("player").isNotNull()).select(*keys, "player", ident).distinct()
     left, right = pairs.withColumnRenamed(ident, "a"), pairs.withColumnRenamed(ident, "b")
-    return left.join(right, [name, "player"]).where("a < b").groupBy(name, "a", "b").agg(F.count("*").alias("shared"))
+    return left.join(right, [*keys, "player"]).where("a < b").groupBy(*keys, "a", "b").agg(F.count("*").alias("shared"))
 
 
 def spelling_groups(names: DataFrame, name: str, count: str) -> DataFrame:
@@ -99,6 +94,7 @@ def spelling_groups(names: DataFrame, name: str, count: str) -> DataFrame:
     return names.withColumn("key", identity_key(F.col(name))).withColumn("canonical", F.first(name).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
 
 
+#: Names that stand for no team, and how near in days two rosters are close.
 GENERIC = r"(?i)^(mix\d*|tbd|team \d+[a-z]*|unknown|amateur team|qualifier)$"
 CLOSE_DAYS = 60
 
@@ -137,19 +133,19 @@ def resolve_names(rosters: DataFrame, name: str, ident: str, event: str, time: s
     return made.select(name, "key", "n", F.when(merged, F.col("canonical")).otherwise(F.col(name)).alias("canonical"), F.when(merged, "normalized").when(open_, "unresolved").otherwise("exact").alias("resolution"))
 
 
-def eras(rows: DataFrame, key: str, value: str, time: str = "t") -> DataFrame:
+def eras(rows: DataFrame, key: str, value: str, time: str = "t", game: str = "match_id") -> DataFrame:
     """Runs of equal values in time order (gaps and islands): key, era, value, n, begin, end."""
-    w = Window.partitionBy(key).orderBy(time, "match_id")
-    new = (F.col(value) != F.lag(value).over(w)) | F.lag(value).over(w).isNull()
-    marked = rows.withColumn("new", new.cast("int")).withColumn("era", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    at = prefix.cuts(rows, time)
+    marked = prefix.previous(rows, [key], {"__was": value}, [game], time, at)
+    marked = prefix.running(marked, [key], {"era": F.when(F.col(value) == F.col("__was"), 0).otherwise(1)}, [game], time, at)
     return marked.groupBy(key, "era").agg(F.first(value).alias(value), F.count("*").alias("n"), F.min(time).alias("begin"), F.max(time).alias("end"))
 
 
 def running_record(rows: DataFrame, key: list[str]) -> DataFrame:
     """Round number of each side and its wins and losses before it."""
-    w = Window.partitionBy(*key).orderBy("t", "match_id")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumns({"round": F.row_number().over(w), "wins": F.coalesce(F.sum("win").over(before), F.lit(0)), "losses": F.coalesce(F.sum(1 - F.col("win")).over(before), F.lit(0))})
+    one = F.lit(1).cast("long")
+    made = prefix.running(rows, key, {"round": one, "__w": F.col("win"), "__l": 1 - F.col("win")}, ["match_id"], at=prefix.cuts(rows))
+    return made.withColumns({"wins": F.col("__w") - F.col("win"), "losses": F.col("__l") - (1 - F.col("win"))}).drop("__w", "__l")
 
 
 def search(teams: DataFrame, text: str, limit: int, column: str = "name") -> DataFrame:

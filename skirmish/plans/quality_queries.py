@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import best_of, identity_key, to_num
-from ..operators import quality
+from ..operators import identity, quality
 from ..operators.streams import ledger
 from ..sources import read_tables
 from .adapter import match_sides, matches, player_rows, raw_matches, sql
@@ -106,13 +106,14 @@ def win_flags(spark, sf_dir):
 
 
 def pairwise_overlap(spark, sf_dir):
-    return quality.players_in_common(player_rows(spark, sf_dir).where("map_name = 'PROMO'"))
+    """Appearances of one team on one map that share players."""
+    return quality.overlaps(player_rows(spark, sf_dir), "team", "match_id", "map_name")
 
 
 OVERLAP = sql(
     """
-SELECT x.team AS a, y.team AS b, count(*) AS shared FROM (SELECT DISTINCT team, player FROM players WHERE map_name = 'PROMO') x
-JOIN (SELECT DISTINCT team, player FROM players WHERE map_name = 'PROMO') y ON x.player = y.player AND x.team < y.team GROUP BY 1, 2"""
+SELECT x.team, x.map_name, x.match_id AS a, y.match_id AS b, count(*) AS shared FROM (SELECT DISTINCT team, map_name, match_id, player FROM players) x
+JOIN (SELECT DISTINCT team, map_name, match_id, player FROM players) y ON x.team = y.team AND x.map_name = y.map_name AND x.player = y.player AND x.match_id < y.match_id GROUP BY ALL"""
 )
 
 
@@ -130,15 +131,72 @@ JOIN (SELECT DISTINCT team, match_id, player FROM players) y ON x.team = y.team
 
 def spelling(spark, sf_dir):
     (events,) = read_tables(spark, sf_dir, "conversations")
-    names = events.select(F.substring("text", 1, 6).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+    names = events.select(F.col("text").alias("name")).groupBy("name").agg(F.count("*").alias("n"))
     return quality.spelling_groups(names.where(identity_key(F.col("name")) != ""), "name", "n").groupBy("key").agg(F.first("canonical").alias("canonical"), F.sum("n").alias("n"))
 
 
 SPELLING = r"""
-WITH names AS (SELECT text[1:6] AS name, count(*) AS n FROM conversations GROUP BY 1), k AS (SELECT *, regexp_replace(lower(name), '[^\p{L}\p{N}_]', '', 'g') AS key FROM names)
+WITH names AS (SELECT text AS name, count(*) AS n FROM conversations GROUP BY 1), k AS (SELECT *, regexp_replace(lower(name), '[^\p{L}\p{N}_]', '', 'g') AS key FROM names)
 SELECT key, arg_min(name, (-n, name)) AS canonical, CAST(sum(n) AS BIGINT) AS n FROM k WHERE key <> '' GROUP BY key"""
 
 
+def crews(spark, sf_dir):
+    """Players' rows under names with spellings: team 17 is "Crew 17", "crew-17" or "CREW 17", by its opponent's number; every
+    twentieth team is a "mix"."""
+    rows = player_rows(spark, sf_dir)
+    n = (F.col("team") % 40).cast("string")
+    kind = F.col("match_id") % 3
+    name = F.when(F.col("team") % 20 == 3, F.concat(F.lit("mix"), n)).when(kind == 0, F.concat(F.lit("Crew "), n)).when(kind == 1, F.concat(F.lit("crew-"), n)).otherwise(F.concat(F.lit("CREW "), n))
+    return rows.withColumns({"name": name, "event": F.concat(F.col("map_name"), F.date_format("dt", "yyyyMM"))})
+
+
+CREWS = """
+crews AS (SELECT *, map_name || strftime(dt, '%Y%m') AS event, CASE WHEN team % 20 = 3 THEN 'mix' WHEN match_id % 3 = 0 THEN 'Crew ' WHEN match_id % 3 = 1 THEN 'crew-' ELSE 'CREW ' END || CAST(team % 40 AS VARCHAR) AS name FROM players)"""
+
+
+def name_resolution(spark, sf_dir):
+    """What becomes of each name: merged with its spellings, left alone or unresolved."""
+    return quality.resolve_names(crews(spark, sf_dir), "name", "team", "event")
+
+
+RESOLVED = sql(
+    r"""
+SELECT name, key, n, CASE WHEN spellings > 1 AND key IN (SELECT key FROM shared) THEN canonical ELSE name END AS canonical,
+  CASE WHEN spellings > 1 AND key IN (SELECT key FROM shared) THEN 'normalized'
+    WHEN spellings > 1 OR name IN (SELECT name FROM strange) OR regexp_matches(name, '^(mix\d*|tbd|team \d+[a-z]*|unknown|amateur team|qualifier)$', 'i') THEN 'unresolved' ELSE 'exact' END AS resolution
+FROM (SELECT *, count(*) OVER (PARTITION BY key) AS spellings, first(name) OVER (PARTITION BY key ORDER BY n DESC, name) AS canonical FROM names)""",
+    CREWS,
+    r"keyed AS (SELECT *, regexp_replace(lower(name), '[^\p{L}\p{N}_]', '', 'g') AS key FROM crews)",
+    "names AS (SELECT key, name, count(DISTINCT team) AS n FROM keyed GROUP BY ALL)",
+    "shared AS (SELECT key FROM keyed WHERE player IS NOT NULL GROUP BY key, player HAVING count(DISTINCT name) > 1)",
+    "idents AS (SELECT name, team, min(event) AS e, min(t) AS t FROM keyed WHERE player IS NOT NULL GROUP BY ALL)",
+    "strange AS (SELECT a.name FROM idents a JOIN idents b ON a.name = b.name AND a.team < b.team AND (a.e = b.e OR abs(floor((a.t - b.t) / 86400000000)) <= 60) "
+    "WHERE NOT EXISTS (SELECT 1 FROM keyed p JOIN keyed q ON p.player = q.player WHERE p.name = a.name AND p.team = a.team AND q.name = b.name AND q.team = b.team))",
+)
+
+
+def identity_review(spark, sf_dir):
+    """Whether each name is one team, by its eras of equal rosters."""
+    return identity.review(crews(spark, sf_dir), "name")
+
+
+REVIEW = sql(
+    r"""
+SELECT name, n_matches, coalesce(n_eras, 0) AS n_eras, coalesce(seq, true) AS sequential, coalesce(close_events, 0) AS close_events, generic,
+  CASE WHEN generic AND n_matches >= 50 AND coalesce(close_events, 0) = 0 THEN 'KEEP_AS_SINGLE_TEAM' WHEN generic AND n_matches < 15 THEN 'EXCLUDE_FROM_IDENTITY_DEPENDENT_FEATURES'
+    WHEN coalesce(close_events, 0) = 0 THEN 'KEEP_AS_SINGLE_TEAM' WHEN n_matches >= 50 AND coalesce(seq, true) THEN 'KEEP_AS_SINGLE_TEAM'
+    WHEN n_matches >= 50 OR coalesce(seq, true) THEN 'MANUAL_REVIEW' ELSE 'NEEDS_EPISODE_SPLIT' END AS verdict
+FROM (SELECT name, count(*) AS n_matches, regexp_matches(name, '^(mix\d*|tbd|team \d+[a-z]*|unknown|amateur team|qualifier)$', 'i') AS generic FROM seen GROUP BY name)
+LEFT JOIN (SELECT name, count(*) AS n_eras, bool_and(NOT coalesce(l >= after, false)) AS seq FROM (SELECT name, l, lead(f) OVER (PARTITION BY name ORDER BY f, l) AS after FROM eras) GROUP BY name) USING (name)
+LEFT JOIN (SELECT a.name, count(*) AS close_events FROM eras a JOIN eras b ON a.name = b.name AND a.era < b.era AND NOT list_has_any(a.roster, b.roster)
+    AND floor((CASE WHEN b.f >= a.l THEN b.f - a.l ELSE a.f - b.l END) / 86400000000.0) <= 60 GROUP BY a.name) USING (name)""",
+    CREWS,
+    "seen AS (SELECT name, match_id, min(t) AS t, list(DISTINCT player ORDER BY player) AS roster FROM crews GROUP BY ALL)",
+    "runs AS (SELECT *, sum(new) OVER (PARTITION BY name ORDER BY t, match_id) AS era FROM (SELECT *, CASE WHEN roster = lag(roster) OVER (PARTITION BY name ORDER BY t, match_id) THEN 0 ELSE 1 END AS new FROM seen))",
+    "eras AS (SELECT name, era, any_value(roster) AS roster, min(t) AS f, max(t) AS l FROM runs GROUP BY ALL)",
+)
+
+
 def era_islands(spark, sf_dir):
     rows = ledger(match_sides(spark, sf_dir))
     return quality.eras(rows, "team", "map_name").drop("begin", "end")
@@ -192,6 +250,8 @@ QUERIES = {
     "pairwise_overlap": (pairwise_overlap, OVERLAP),
     "pairwise_overlap_all": (pairwise_overlap_all, OVERLAP_ALL),
     "spelling_groups": (spelling, SPELLING),
+    "name_resolution": (name_resolution, RESOLVED),
+    "identity_review": (identity_review, REVIEW),
     "era_islands": (era_islands, ERAS),
     "round_replay": (round_replay, ROUNDS),
     "team_search": (team_search, "SELECT s_name AS name, s_suppkey FROM supplier WHERE lower(s_name) LIKE '%#00000000%' ORDER BY 1 LIMIT 20"),
