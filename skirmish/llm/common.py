@@ -167,17 +167,29 @@ def links_in_buckets(buckets: DataFrame, items_of: Callable[[DataFrame], DataFra
 
     ``items_of`` gets the ids that have a partner (doc_id) and gives (id, items); ``pair`` says from columns x and y, two
     rows' items, whether they link; ``hits`` does the same for all rows of a group at once. No member is paired with all
-    others as rows: first each is checked against its bucket's leader, the smallest id. That settles all buckets whose
+    others as rows: first each is checked against the smallest of its buckets' leaders (a bucket's smallest id), then against
+    those of the others that it does not share a component with by then. That settles all buckets whose
     members then share a component. In the others, the members (less the leader, whose links are known) are compared in
     blocks inside tasks, so no link is missed, and each comes out with the smallest id that it reaches there.
     """
     heads = buckets.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last")
     members = materialize(buckets.join(apart(heads.drop("last"), "bucket"), "bucket").distinct())
     items = materialize(items_of(members.select(F.col("id").alias("doc_id")).distinct()))
-    asked = members.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
-    both = asked.join(items.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(items.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
-    links = materialize(both.where(pair).select("a", "b"))
+    asks = materialize(members.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct())
+
+    def linked_pairs(asked: DataFrame) -> DataFrame:
+        both = asked.join(items.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(items.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
+        return materialize(both.where(pair).select("a", "b"))
+
+    least = materialize(asks.groupBy("a").agg(F.min("b").alias("b")))
+    links = linked_pairs(least)
+    label = materialize(components(links))
+    of = lambda k: label.select(F.col("node").alias(k), F.col("component").alias(f"of_{k}"))
+    others = asks.join(least, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    links_too = linked_pairs(others.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"))
+    early, links = (links, label), materialize(links.unionByName(links_too))
     label = materialize(components(links))
+    drop(asks, least, links_too, *early)
     mine = label.select(F.col("node").alias("id"), F.col("component").alias("x"))
     theirs = label.select(F.col("node").alias("leader"), F.col("component").alias("y"))
     rest = members.where("id <> leader").join(mine, "id", "left").join(theirs, "leader", "left")

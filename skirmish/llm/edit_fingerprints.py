@@ -173,8 +173,10 @@ def walk_keys(prints: list[tuple[int, np.ndarray]], which: int, bands: int, bits
     the next level too, so that they meet texts of that level whose size they may be alike to."""
     same: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
     for i, (level, s) in enumerate(prints):
-        # sizes of texts that link differ by the threshold at most; walks are a little longer or shorter than expected
-        near = len(s) >= threshold * 0.85 * 2 / 3 * SAMPLES
+        # a walk of the next level has 2/3 of SAMPLES / 2 samples at least, and walks that link differ in size by the threshold at
+        # most; half the steps move on, so a walk is by three deviations of its length shorter than that almost never
+        steps = max(1, len(s)) << level
+        near = len(s) >= (threshold * 15 + 1) / 16 * 2 / 3 * SAMPLES * (1 - 3 / steps**0.5)
         for up in (0, 1) if near else (0,):
             part = s[:: 1 << up]
             same.setdefault((level + up, len(part)), []).append((i, part))
