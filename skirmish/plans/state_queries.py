@@ -8,12 +8,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import expected
-from ..operators import intervals, ratings, resume, service
+from ..operators import history, intervals, ratings, resume, service, states
 from ..operators.streams import ledger
 from ..scratch import delete, kept, shared_dir
 from ..sources import read_tables, read_tiers
-from .adapter import match_sides, matches, sql
-from .history_queries import elo_fold, rounded
+from .adapter import match_sides, matches, player_rows, sql
+from .history_queries import FORM, LASTS, WINDOWS, elo_fold, rounded
 from .model_queries import REPLICATES, scored
 
 CUT = datetime.datetime(1996, 1, 1)
@@ -59,6 +59,94 @@ def rating_baseline(spark, sf_dir):
     return rated.select("match_id", F.round(expected(F.col("elo_before"), F.col("opp_elo_before")), 6).alias("p"))
 
 
+def cut_in_two(spark, sf_dir):
+    """(cut-off in microseconds, history entries before it, those from it on)."""
+    rows = kept(ledger(match_sides(spark, sf_dir)))
+    return int(CUT.replace(tzinfo=datetime.timezone.utc).timestamp()) * 1_000_000, rows.where(F.col("dt") < F.lit(CUT)), rows.where(F.col("dt") >= F.lit(CUT))
+
+
+def written(spark, state):
+    """A state that has been saved and loaded."""
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    states.save(state, path)
+    return states.load(spark, path, *state)
+
+
+def series_resume(spark, sf_dir):
+    """The series features of all rows: those before the cut-off from nothing, those after it from a written state."""
+    cut, early, late = cut_in_two(spark, sf_dir)
+    made = history.series_features(early).unionByName(states.series_from(written(spark, states.series_state(early, cut)), late), allowMissingColumns=True)
+    cols = ["win_rate", "format_win_rate", "n_30d", "days_since_last", "win_last_5", "win_last_10", "margin_last_5", "margin_last_10"]
+    return rounded(made.select("match_id", "side", "n_before", *cols), *[c for c in cols if c != "n_30d"])
+
+
+SERIES_RESUMED = sql(
+    """
+SELECT s.match_id, s.side, n_before, round(win_rate, 6) AS win_rate, round(format_win_rate, 6) AS format_win_rate, n_30d, round(days_since_last, 6) AS days_since_last, round(coalesce(w5, 0.5), 6) AS win_last_5,
+  round(coalesce(w10, 0.5), 6) AS win_last_10, round(coalesce(m5, 0), 6) AS margin_last_5, round(coalesce(m10, 0), 6) AS margin_last_10 FROM s LEFT JOIN lasts USING (match_id, side)""",
+    WINDOWS,
+    LASTS,
+)
+
+
+def map_resume(spark, sf_dir):
+    """What each team had done on the map before each row, from a written state after the cut-off."""
+    _, early, late = cut_in_two(spark, sf_dir)
+    parts = [states.MAPS.before(s, rows) for s, rows in ((written(spark, states.map_state(early))["maps"], late), (states.MAPS.of(early.limit(0)), early))]
+    return rounded(parts[0].unionByName(parts[1]).select("match_id", "side", "n", "wins", "margins", "last_t"), "margins")
+
+
+MAP_RESUMED = sql(
+    """
+SELECT match_id, side, nullif(count(*) OVER w, 0) AS n, CAST(sum(win) OVER w AS BIGINT) AS wins, round(sum(norm_margin) OVER w, 6) AS margins, max(t) OVER w AS last_t
+FROM ledger WINDOW w AS (PARTITION BY team, map_name ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+)
+
+
+def form_resume(spark, sf_dir):
+    """The form features, ratings and residuals included, gone on from written states after the cut-off."""
+    sides = kept(match_sides(spark, sf_dir))
+    early, late = sides.where(F.col("dt") < F.lit(CUT)), sides.where(F.col("dt") >= F.lit(CUT))
+    first = kept(ratings.residuals(ratings.rate(early)).where("elig"))
+    state = written(spark, states.form_state(first) | states.rating_state(first, "team"))
+    rest = kept(ratings.residuals(ratings.rate(late, snapshot=state["ratings"])).where("elig"))
+    none = {n: df.limit(0) for n, df in states.form_state(first).items()}
+    made = states.form_from(none, first).unionByName(states.form_from(state, rest))
+    cols = ["residual_last_5", "residual_last_10", "opp_mid_last_5", "opp_mid_last_10", "tw_residual", "tw_mass"]
+    return rounded(made.select("match_id", "side", *cols), *cols, places=5)
+
+
+def player_resume(spark, sf_dir):
+    """Players' decayed means at the end: the state before the cut-off, merged with that of the rest."""
+    rows = kept(player_rows(spark, sf_dir).where("elig"))
+    parts = [states.PLAYERS.of(rows.where(cond)) for cond in (F.col("dt") < F.lit(CUT), F.col("dt") >= F.lit(CUT))]
+    made = states.PLAYERS.merge(kept(parts[0]), parts[1])
+    return rounded(made.select("player", *[(F.col(v) / F.col("mass")).alias(v) for v in states.PLAYERS.values]), *states.PLAYERS.values)
+
+
+PLAYERS_RESUMED = sql(
+    """
+SELECT player, round(sum(w * adr) / sum(w), 6) AS adr, round(sum(w * kast) / sum(w), 6) AS kast, round(sum(w * kd) / sum(w), 6) AS kd, round(sum(w * apr) / sum(w), 6) AS apr
+FROM (SELECT *, power(2, (t - 946684800000000) / (60 * 86400000000.0)) AS w FROM players WHERE elig) GROUP BY player"""
+)
+
+
+def last_games_resume(spark, sf_dir):
+    """The last twenty games of each team, merged from both sides of the cut-off, and how many players they had."""
+    rows = kept(player_rows(spark, sf_dir).where("elig"))
+    parts = [states.GAMES.of(states.games_of(rows.where(cond))) for cond in (F.col("dt") < F.lit(CUT), F.col("dt") >= F.lit(CUT))]
+    made = states.GAMES.merge(kept(parts[0]), parts[1])
+    everyone = F.array_distinct(F.flatten(F.col("tail.players")))
+    return made.select("team", F.size("tail").cast("long").alias("games"), F.size(everyone).cast("long").alias("players"), F.array_min("tail.t").alias("first_t"))
+
+
+LAST_GAMES = sql(
+    """
+SELECT team, count(DISTINCT match_id) AS games, count(DISTINCT player) AS players, min(t) AS first_t FROM (
+  SELECT p.*, dense_rank() OVER (PARTITION BY team ORDER BY t DESC, match_id DESC) AS k FROM players p WHERE elig) WHERE k <= 20 GROUP BY team"""
+)
+
+
 def recursive(query: str) -> str:
     return query.replace("WITH ", "WITH RECURSIVE ", 1)
 
@@ -100,4 +188,9 @@ QUERIES = {
     "rating_baseline": (rating_baseline, BASELINE),
     "predict_map": (predict_map, MAP),
     "bootstrap_auc": (bootstrap_auc, None),
+    "series_resume": (series_resume, SERIES_RESUMED),
+    "map_resume": (map_resume, MAP_RESUMED),
+    "form_resume": (form_resume, FORM),
+    "player_resume": (player_resume, PLAYERS_RESUMED),
+    "last_games_resume": (last_games_resume, LAST_GAMES),
 }
