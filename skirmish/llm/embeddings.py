@@ -151,7 +151,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, expected: float | N
     ``expected``: see expected_filters(). n_links counts the other vectors linked directly (cosine of ``cosine`` or more), component_id is the smallest vec_id
     that links reach. Equal vectors meet first, in a groupBy, and count with their number; vectors of different lengths
     never link. Null, empty and zero vectors and those with null or non-finite components link with nothing. Rows that
-    repeat a vec_id and its vector count as copies of each other, as do rows with a null vec_id (kept null there). An empty table gives no rows.
+    repeat a vec_id and its vector count as copies of each other, as do rows with a null vec_id (kept null there). A cosine of
+    exactly ``cosine`` links. Vectors of any length are read whole; other columns of ``vectors`` are not read. An empty table gives no rows.
     """
     x = F.col("vector")
     kind = "array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>"

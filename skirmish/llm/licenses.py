@@ -174,7 +174,9 @@ def license_scan(docs: DataFrame, extra: dict[str, str] | None = None, id_col: s
     Columns: doc_id, n_words, n_base (exact places of the base phrases), first_word and last_word (their smallest and
     largest first word, null without any), base_labels and labels (distinct, sorted, joined by commas; empty without
     any), score (1 for an exact place, less by the share of edited characters, 0 without any) and spans (label, start
-    and end word, edits). Null and empty texts have no words; repeated rows are all returned.
+    and end word, edits). Null and empty texts have no words; texts of any length are searched whole; of notices at the same place all
+    are reported, by place, then phrase; repeated rows and null ids are all returned; other columns of ``docs`` are not read;
+    an empty table gives no rows.
     """
 
     def run(cols: dict) -> dict:

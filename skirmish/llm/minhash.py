@@ -169,8 +169,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
     Words are runs of letters and digits in lower case. Texts with the same words meet first, in a groupBy; the smallest
     doc_id stands for them. class_id is the smallest doc_id of the class; kept holds where it is the document's own.
     Documents without words (null and empty texts among them) are classes of their own; short texts are one shingle;
-    rows that repeat a doc_id count as one document; rows with a null doc_id take no part (class_id null, kept); an empty
-    table gives no rows.
+    texts of any length are read whole; rows that repeat a doc_id count as one document, and all come out; rows with a null
+    doc_id take no part (class_id null, kept); other columns of ``docs`` are not read; an empty table gives no rows.
     """
     rows_ = id_text(docs, id_col, text_col)
     made = materialize(bag_signatures(rows_, width, bands, rows).withColumn("key", F.when(F.col("doc_id").isNotNull(), F.col("key"))))

@@ -236,8 +236,10 @@ def classify(docs: DataFrame, labels: DataFrame, k: int | None = None, buckets:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, k: int | None = None, buckets: int = BUCKETS, most: int = LABELLED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that classify() keeps. Texts are not shuffled: they are weighed again
-    where they lie and compared with the k-th key."""
+    """The rows of ``docs``, with all their columns, whatever their names, that classify() keeps. Texts are not shuffled: they
+    are weighed again where they lie and compared with the k-th key. Null and empty texts, long ones (weighed whole), ties (the smaller
+    doc_id), null ids, missing labels: as classify(). Rows that repeat share their key and stay or go together, unless
+    the k-th place lies between equal ids. No rows give no rows."""
     rows = id_text(docs, id_col, text_col)
     ratio, chance = fit(rows, labels, buckets, most)
     scored = materialize(log_weights(rows, ratio).select("doc_id", "log_weight", "key"))

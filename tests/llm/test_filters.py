@@ -314,5 +314,36 @@ def test_pipeline_stages(spark):
 
 def test_registry():
     names = list(queries())
-    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)] + ["pipeline"]
+    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 14)] + ["pipeline"]
     assert set(oracle_sql()) <= set(names) and [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "minhash_dedup", "substring_dedup", "pii", "packing"]
+
+
+def staged(spark, docs, folder):
+    """Ids that come out of each stage; all but the last keep the columns."""
+    out = {}
+    for name, stage in corpus_pipeline.STAGES:
+        made = stage(spark, docs, folder)
+        out[name] = made.cache()
+        if name != "packing":
+            assert made.columns == docs.columns
+            docs = out[name]
+    return out
+
+
+def test_pipeline_of_nothing_and_of_repeated_rows(spark, tmp_path):
+    """An empty table, repeated rows, null and odd texts, columns named like those that operators make."""
+    rng = random.Random(5)
+    words = [f"{a}{b}" for a in "bcdfghklm" for b in ("an", "er", "ou", "is")]
+    texts = [" ".join(rng.choice(words) for _ in range(60)) + f" mail a{i}@b.co" for i in range(40)] + [""] * 3 + [None]
+    rows = [(i, t, "en", "s", len(t or ""), "k", 0.5, [1]) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, *rows[:5], (None, texts[0], "en", "s", 1, "k", 0.5, [1])], "doc_id long, text string, lang string, source string, n_chars long, key string, score double, spans array<int>")
+    folder = str(tmp_path)
+    spark.createDataFrame([(i, int(i < 30)) for i in range(40) if i % 2], "doc_id long, quality int").write.parquet(f"{folder}/labels.parquet")
+    none = staged(spark, docs.limit(0), folder)
+    assert all(df.count() == 0 for df in none.values())
+    made = staged(spark, docs, folder)
+    after = {n: sorted((r["doc_id"] for r in df.select("doc_id").collect()), key=lambda x: (x is None, x)) for n, df in made.items()}
+    assert {*range(1, 30, 2)} <= set(after["quality_classifier"])
+    assert set(after["packing"]) == set(after["pii"]) == set(after["substring_dedup"])
+    assert made["pii"].where("text like '%@%'").isEmpty() and made["pii"].where("n_chars <> length(text)").isEmpty()
+    assert corpus_pipeline.STAGES[-1][1](spark, made["pii"], folder).count() == made["packing"].count()
