@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame; between stages it is written as Parquet and read again.
 All but the last give the columns of documents.
+
+All stages bear null and empty texts, texts of any length, rows that repeat, null ids, other columns whatever their names, and
+tables without rows, which give no rows. What each does with them is said below.
 """
 
 from __future__ import annotations
@@ -20,28 +23,31 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go. Null and empty texts weigh nothing and are judged as what the model knows nothing of;
+    repeated rows and rows without an id are judged like any other."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the smallest id stays."""
+    """Of each class of near copies the document with the smallest id stays; rows that repeat an id stay or go together. Texts without words are
+    classes of their own, and rows without an id stay."""
     gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti")
 
 
 def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 words or more that a document with a smaller id has are cut out."""
+    """Passages of 50 words or more that a document with a smaller id has are cut out. No row goes, and a text that loses nothing, a null
+    one among them, stays as it is; rows with one id do not cut each other, those without an id none."""
     return sized(substrings.remove_repeats(docs))
 
 
 def no_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data gives way to the name of its kind."""
+    """Personal data gives way to the name of its kind. No row goes; null texts stay null."""
     return sized(pii.redact(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces in sequences of 1024."""
+    """Token pieces in sequences of 1024: each row, repeated ones too, has its own; a null text is an empty one, one end token."""
     return packing.best_fit_packing(docs, tokenizer("byte_bpe_50k.json"))
 
 
