@@ -92,3 +92,12 @@ def validate_overrides(overrides: DataFrame, entrants: DataFrame) -> DataFrame:
     twice = F.count("*").over(Window.partitionBy("stage", "round", "pair")) > 1
     error = F.when(F.col("__team1").isNull() | F.col("__team2").isNull(), "unknown_team").when((F.col("winner") != F.col("team1")) & (F.col("winner") != F.col("team2")), "winner_not_playing").when(twice, "duplicate_override")
     return rows.withColumn("error", error).drop("__team1", "__team2")
+
+
+def override_usage(validated: DataFrame, played: DataFrame) -> DataFrame:
+    """validate_overrides() with ``used`` (a valid forced result whose match, in either order, was played in its stage and round) and
+    ``turned`` (it was, and someone else won it in ``played``: stage, round, team1, team2, winner)."""
+    own = played.select("stage", "round", pair_key(F.col("team1"), F.col("team2")).alias("pair"), F.col("winner").alias("__won"))
+    rows = validated.join(own, ["stage", "round", "pair"], "left")
+    used = F.col("error").isNull() & F.col("__won").isNotNull()
+    return rows.withColumns({"used": used, "turned": used & (F.col("__won") != F.col("winner"))}).drop("__won")

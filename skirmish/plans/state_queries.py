@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import expected
-from ..operators import history, intervals, ratings, resume, service, states
+from ..operators import history, intervals, pool, ratings, resume, service, states
 from ..operators.streams import ledger
 from ..scratch import delete, kept, shared_dir
 from ..sources import read_tables, read_tiers
@@ -177,6 +177,33 @@ FROM series LEFT JOIN names x ON x.name = team1 || '|' || map_name LEFT JOIN nam
 )
 
 
+def predict_series(spark, sf_dir):
+    """Every match asks for its series; the context holds the ratings at the cut-off."""
+    (suppliers,) = read_tables(spark, sf_dir, "supplier")
+    teams = suppliers.select(F.col("s_suppkey").cast("string").alias("name"), F.col("s_suppkey").alias("team"), (F.col("s_suppkey") % 10 != 7).alias("eligible"))
+    rated = ratings.rate(match_sides(spark, sf_dir).where(F.col("dt") < F.lit(CUT)))
+    asked = matches(spark, sf_dir).select(F.col("match_id").alias("request_id"), F.col("team1").cast("string").alias("team1"), F.col("team2").cast("string").alias("team2"), "best_of", F.col("dt").alias("asked"))
+    made = service.predict_series(asked, teams, kept(resume.last_ratings(rated, "team")), CUT)
+    return rounded(made.select("request_id", "p", "error"), "p")
+
+
+SERIES = recursive(
+    sql(
+        """
+SELECT match_id AS request_id, CASE WHEN elig1 AND elig2 AND dt >= TIMESTAMP '1996-01-01' THEN round(CASE best_of WHEN 1 THEN q WHEN 3 THEN q * q * (3 - 2 * q) ELSE q ** 3 * (10 - 15 * q + 6 * q * q) END, 6) END AS p,
+  CASE WHEN NOT (elig1 AND elig2) THEN 'ineligible_team' WHEN dt < TIMESTAMP '1996-01-01' THEN 'before_context' END AS error
+FROM (SELECT series.*, 1 / (1 + power(10, (coalesce(last.r[y.i], 1500) - coalesce(last.r[x.i], 1500)) / 400)) AS q
+  FROM series LEFT JOIN names x ON x.name = team1 LEFT JOIN names y ON y.name = team2, (SELECT r FROM fold ORDER BY k DESC LIMIT 1) last)""",
+        "early AS (SELECT * FROM series WHERE dt < TIMESTAMP '1996-01-01')",
+        elo_fold("{}", "early"),
+    )
+)
+
+
+def list_maps(spark, sf_dir):
+    return service.list_maps(pool.map_states(ledger(match_sides(spark, sf_dir))))
+
+
 def bootstrap_auc(spark, sf_dir):
     return rounded(intervals.auc_interval(scored(spark, sf_dir), "match_id", REPLICATES, other="p2"), "low", "high")
 
@@ -188,6 +215,8 @@ QUERIES = {
     "rating_baseline": (rating_baseline, BASELINE),
     "predict_map": (predict_map, MAP),
     "bootstrap_auc": (bootstrap_auc, None),
+    "predict_series": (predict_series, SERIES),
+    "list_maps": (list_maps, sql("SELECT map_name, max(t) AS last_t, count(DISTINCT team) AS teams FROM ledger GROUP BY 1")),
     "series_resume": (series_resume, SERIES_RESUMED),
     "map_resume": (map_resume, MAP_RESUMED),
     "form_resume": (form_resume, FORM),

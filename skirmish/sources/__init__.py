@@ -8,16 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_tiers(spark: SparkSession, paths: dict[str, str], columns: list[str]) -> DataFrame:
-    """One CSV for each tier, all columns as text (blanks stay blank), with the tier as a column."""
+def read_text(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """A CSV with a header, all columns as text, blanks as empty text: the file of all tiers, lookups of players, teams, tournaments."""
     schema = ", ".join(f"`{c}` string" for c in columns)
+    return spark.read.schema(schema).options(header=True, nullValue="\u0000", emptyValue="").csv(path).fillna("")
+
+
+def read_tiers(spark: SparkSession, paths: dict[str, str], columns: list[str]) -> DataFrame:
+    """One CSV for each tier, as read_text(), with the tier as a column."""
     out = None
     for tier, path in paths.items():
-        one = spark.read.schema(schema).options(header=True, nullValue="\u0000", emptyValue="").csv(path).fillna("").withColumn("tier", F.lit(tier))
+        one = read_text(spark, path, columns).withColumn("tier", F.lit(tier))
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def write_text(rows: DataFrame, path: str) -> None:
+    """A CSV of text columns with a header, e.g. of rejected rows with their reasons; nulls and blanks are blank."""
+    rows.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in rows.columns]).write.csv(path, header=True, emptyValue="")
+
+
 def read_tables(spark: SparkSession, folder: str, *names: str) -> tuple[DataFrame, ...]:
     return tuple(spark.read.parquet(f"{folder}/{n}.parquet") for n in names)
 
