@@ -177,19 +177,22 @@ def links_in_buckets(buckets: DataFrame, items_of: Callable[[DataFrame], DataFra
     items = materialize(items_of(members.select(F.col("id").alias("doc_id")).distinct()))
     asks = materialize(members.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct())
 
-    def linked_pairs(asked: DataFrame) -> DataFrame:
+    def linked_pairs(asked: DataFrame, *carried: str) -> DataFrame:
         both = asked.join(items.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(items.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
-        return materialize(both.where(pair).select("a", "b"))
+        return materialize(both.where(pair).select("a", "b", *carried))
 
     least = materialize(asks.groupBy("a").agg(F.min("b").alias("b")))
     links = linked_pairs(least)
-    label = materialize(components(links))
-    of = lambda k: label.select(F.col("node").alias(k), F.col("component").alias(f"of_{k}"))
-    others = asks.join(least, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
-    links_too = linked_pairs(others.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"))
-    early, links = (links, label), materialize(links.unionByName(links_too))
-    label = materialize(components(links))
-    drop(asks, least, links_too, *early)
+    early = materialize(components(links))
+    of = lambda k: early.select(F.col("node").alias(k), F.col("component").alias(f"of_{k}"))
+    others = asks.join(least, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").withColumns({k: F.coalesce(k, k[-1]) for k in ("of_a", "of_b")})
+    # what links across components joins these, not their members
+    across = linked_pairs(others.where("of_a <> of_b"), "of_a", "of_b")
+    joined = materialize(components(across.select("of_a", "of_b").distinct(), "of_a", "of_b"))
+    over = joined.select(F.col("node").alias("component"), F.col("component").alias("top"))
+    label = early.join(over, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    label = materialize(label.unionByName(joined.join(early, "node", "left_anti")))
+    drop(asks, least, links, early, across, joined)
     mine = label.select(F.col("node").alias("id"), F.col("component").alias("x"))
     theirs = label.select(F.col("node").alias("leader"), F.col("component").alias("y"))
     rest = members.where("id <> leader").join(mine, "id", "left").join(theirs, "leader", "left")
@@ -209,6 +212,7 @@ def links_in_buckets(buckets: DataFrame, items_of: Callable[[DataFrame], DataFra
         return {"a": ids, "b": group_components(hit[np.ix_(some, some)], ids)}
 
     more = map_groups(dealt, ["bucket"], linked, "a long, b long")
-    out = materialize(links.unionByName(more.where("a <> b")).distinct())
-    drop(members, items, links, label, left)
+    stars = label.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    out = materialize(stars.unionByName(more.where("a <> b")).distinct())
+    drop(members, items, label, left)
     return out
