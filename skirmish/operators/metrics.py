@@ -109,9 +109,9 @@ def uniform(*parts: Column) -> Column:
 
 
 def poisson_copies(u: Column) -> Column:
-    """How many copies a uniform number draws: Poisson(1) by its cumulative probabilities."""
+    """How many copies a uniform number draws: Poisson(1) by its cumulative probabilities, as far as doubles tell them from 1."""
     copies, cum, term = F.lit(0), 0.0, 0.36787944117144233
-    for k in range(1, 9):
+    for k in range(1, 19):
         cum += term
         copies = copies + (u >= cum).cast("int")
         term /= k

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import prefix
 from .quantiles import medians
 
 
@@ -71,24 +72,15 @@ def one_hot(rows: DataFrame, column: str, vocabulary: list[str], reference: str)
     return rows.withColumns(cols | {f"{column}=unknown": (~known).cast("int")})
 
 
-def cumulative_times(rows: DataFrame, time: str = "t", cells: int = 4096) -> DataFrame:
+def cumulative_times(rows: DataFrame, time: str = "t") -> DataFrame:
     """(time, before, upto): how many rows come before and up to each distinct time.
 
-    A running sum over all times would need one task. Times are cut into ranges; counts within a range run in parallel,
-    and the ranges' totals, few numbers, are summed apart and joined back.
+    A running sum over all times would need one task. Times are cut into cells of about equal numbers of times, however far apart they
+    lie; counts within a cell run in parallel, and the cells' totals, few numbers, are summed apart and joined back.
     """
     each = rows.groupBy(time).agg(F.count("*").alias("n"))
-    lo, hi = each.agg(F.min(time), F.max(time)).first()
-    if lo is None:
-        return each.select(time, F.lit(0).cast("long").alias("before"), F.col("n").alias("upto"))
-    width = max(1, (hi - lo) // cells + 1)
-    each = each.withColumn("cell", F.floor((F.col(time) - lo) / width))
-    totals = each.groupBy("cell").agg(F.sum("n").alias("m"))  # at most ``cells`` rows
-    w = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("cell", F.coalesce(F.sum("m").over(w), F.lit(0)).alias("start"))
-    inner = Window.partitionBy("cell").orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
-    upto = F.col("start") + F.sum("n").over(inner)
-    return each.join(F.broadcast(starts), "cell").select(time, (upto - F.col("n")).alias("before"), upto.alias("upto"))
+    made = prefix.running(each, [], {"upto": F.col("n")}, [], time, prefix.cuts(each, time))
+    return made.select(time, (F.col("upto") - F.col("n")).alias("before"), "upto")
 
 
 def boundary(counts: DataFrame, target: float, time: str = "t"):

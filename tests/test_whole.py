@@ -122,7 +122,7 @@ def test_bootstrap_of_two_arms(spark):
     reps = 40
     u = spark.range(30).select(F.col("id").alias("match_id"), F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
     drawn = {(r["rep"], r["match_id"]): r["u"] for r in u.withColumn("u", metrics.uniform(F.lit(42), F.col("rep"), F.col("match_id"))).collect()}
-    cdf = np.cumsum([np.exp(-1) / np.prod(np.arange(1, k + 1)) for k in range(8)])
+    cdf = np.cumsum([np.exp(-1) / np.prod(np.arange(1, k + 1)) for k in range(18)])
     want = {}
     y, m = np.array([r[1] for r in rows]), [r[0] for r in rows]
     for rep in range(1, reps + 1):
