@@ -102,8 +102,8 @@ ch AS (SELECT l.team, l.t, l.map_name, CASE WHEN l.trusted THEN 32 * (l.win - 1
 def map_form(spark, sf_dir):
     """On the match's own map: prior matches, smoothed rate, last five, margins, days since."""
     rows = ledger(match_sides(spark, sf_dir))
-    w = history.prior("team", "map_name")
-    rows = rows.withColumns({"n": F.count("*").over(w), "wins": F.coalesce(F.sum("win").over(w), F.lit(0)), "margin_all": F.avg("norm_margin").over(w)})
+    rows = prefix.prior(rows, ["team", "map_name"], {"n": F.lit(1).cast("long"), "wins": F.col("win"), "m": F.col("norm_margin")}).fillna(0, ["n", "wins"])
+    rows = rows.withColumn("margin_all", F.col("m") / F.nullif("n", F.lit(0)))
     rows = history.last_n(rows, (5, 10), ("win", "norm_margin"), ("team", "map_name"))
     rows = rows.select("match_id", "side", "n", ((F.col("wins") + 2) / (F.col("n") + 4)).alias("rate"), F.coalesce("win_last_5", F.lit(0.5)).alias("last5"), F.coalesce("norm_margin_last_10", F.lit(0.0)).alias("margin10"), F.coalesce("margin_all", F.lit(0.0)).alias("margin_all"))
     made = matchups(rows, ["rate", "last5", "margin10", "margin_all", "n"], ["n"], ["n"])
