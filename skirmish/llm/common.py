@@ -170,7 +170,7 @@ def links_in_buckets(buckets: DataFrame, items_of: Callable[[DataFrame], DataFra
     others as rows: first each is checked against the smallest of its buckets' leaders (a bucket's smallest id), then against
     those of the others that it does not share a component with by then. That settles all buckets whose
     members then share a component. In the others, the members (less the leader, whose links are known) are compared in
-    blocks inside tasks, so no link is missed, and each comes out with the smallest id that it reaches there.
+    blocks inside tasks, so no link is missed, and each component comes out with the smallest one that it reaches there.
     """
     heads = buckets.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last")
     members = materialize(buckets.join(apart(heads.drop("last"), "bucket"), "bucket").distinct())
@@ -196,11 +196,11 @@ def links_in_buckets(buckets: DataFrame, items_of: Callable[[DataFrame], DataFra
     mine = label.select(F.col("node").alias("id"), F.col("component").alias("x"))
     theirs = label.select(F.col("node").alias("leader"), F.col("component").alias("y"))
     rest = members.where("id <> leader").join(mine, "id", "left").join(theirs, "leader", "left")
-    rest = rest.select("bucket", "id", (F.coalesce("x", "id") != F.coalesce("y", "leader")).alias("apart"))
+    rest = rest.select("bucket", "id", F.coalesce("x", "id").alias("component"), (F.coalesce("x", "id") != F.coalesce("y", "leader")).alias("apart"))
     # buckets with the same members need one comparison
     open_ = rest.groupBy("bucket").agg(F.max("apart").alias("apart"), F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum")).where("apart and n > 1")
     open_ = open_.groupBy("n", "sum").agg(F.min("bucket").alias("bucket")).select("bucket")
-    left = materialize(rest.select("bucket", "id").join(open_, "bucket"))
+    left = materialize(rest.select("bucket", "id", "component").join(open_, "bucket"))
     dealt = in_block_pairs(left, ["bucket"], block).join(items, "id")
 
     def linked(table: pa.Table) -> dict | None:
@@ -208,11 +208,14 @@ def links_in_buckets(buckets: DataFrame, items_of: Callable[[DataFrame], DataFra
         some = np.flatnonzero(hit.any(axis=1))
         if not len(some):
             return None
-        ids = np.array(table.column("id"))[some]
-        return {"a": ids, "b": group_components(hit[np.ix_(some, some)], ids)}
+        # of links inside a component nothing comes out: copies that are one already do not leave a row for each group
+        own = np.array(table.column("component"))[some]
+        new = np.stack([own, group_components(hit[np.ix_(some, some)], own)], 1)
+        new = np.unique(new[new[:, 0] != new[:, 1]], axis=0)
+        return {"a": new[:, 0], "b": new[:, 1]} if len(new) else None
 
     more = map_groups(dealt, ["bucket"], linked, "a long, b long")
     stars = label.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    out = materialize(stars.unionByName(more.where("a <> b")).distinct())
+    out = materialize(stars.unionByName(more).distinct())
     drop(members, items, label, left)
     return out
