@@ -135,7 +135,7 @@ def resolve_names(rosters: DataFrame, name: str, ident: str, event: str, time: s
 
 def eras(rows: DataFrame, key: str, value: str, time: str = "t", game: str = "match_id") -> DataFrame:
     """Runs of equal values in time order (gaps and islands): key, era, value, n, begin, end."""
-    at = prefix.cuts(rows, time)
+    at = prefix.cuts(rows, time, [key])
     marked = prefix.previous(rows, [key], {"__was": value}, [game], time, at)
     marked = prefix.running(marked, [key], {"era": F.when(F.col(value) == F.col("__was"), 0).otherwise(1)}, [game], time, at)
     return marked.groupBy(key, "era").agg(F.first(value).alias(value), F.count("*").alias("n"), F.min(time).alias("begin"), F.max(time).alias("end"))
@@ -144,7 +144,7 @@ def eras(rows: DataFrame, key: str, value: str, time: str = "t", game: str = "ma
 def running_record(rows: DataFrame, key: list[str]) -> DataFrame:
     """Round number of each side and its wins and losses before it."""
     one = F.lit(1).cast("long")
-    made = prefix.running(rows, key, {"round": one, "__w": F.col("win"), "__l": 1 - F.col("win")}, ["match_id"], at=prefix.cuts(rows))
+    made = prefix.running(rows, key, {"round": one, "__w": F.col("win"), "__l": 1 - F.col("win")}, ["match_id"], at=prefix.cuts(rows, keys=key))
     return made.withColumns({"wins": F.col("__w") - F.col("win"), "losses": F.col("__l") - (1 - F.col("win"))}).drop("__w", "__l")
 
 

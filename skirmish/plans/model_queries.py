@@ -6,16 +6,21 @@ from pyspark.sql import functions as F
 
 from ..functions import expected, micros
 from ..operators import history, metrics, prep, series
-from ..operators.streams import ledger, matchups
-from .adapter import match_sides, matches, sql
+from ..operators.streams import ledger, matchups, sides
+from ..scratch import drop, kept
+from .adapter import kept_matches, matches, sql
 from .history_queries import WINDOWS, rounded
 
 SPEC = prep.FeatureSpec(["win_rate_diff", "format_win_rate_diff", "days_since_last_diff", "n_before_diff"], ["n_before_min"], {"map_name": []})
 
 
 def features(spark, sf_dir):
-    rows = matchups(history.prior_counts(ledger(match_sides(spark, sf_dir))), ["win_rate", "format_win_rate", "days_since_last", "n_before"], ["n_before"])
-    return rows.join(matches(spark, sf_dir).select("match_id", "dt", "win1", "map_name", "tier", "best_of"), "match_id").withColumn("t", micros(F.col("dt")))
+    """Kept: splits, folds, quantiles and fits go over it many times."""
+    played = kept_matches(spark, sf_dir)
+    rows = matchups(history.prior_counts(ledger(sides(played))), ["win_rate", "format_win_rate", "days_since_last", "n_before"], ["n_before"])
+    made = kept(rows.join(played.select("match_id", "dt", "win1", "map_name", "tier", "best_of"), "match_id").withColumn("t", micros(F.col("dt"))))
+    drop(played)
+    return made
 
 
 FEATURES = """
