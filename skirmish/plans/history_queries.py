@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import history, ratings
+from ..operators import history, prefix, ratings
 from ..operators.streams import ledger, matchups
+from ..scratch import kept
 from .adapter import match_sides, sql
 
 
@@ -143,10 +144,11 @@ UNION ALL SELECT match_id, 2, round(e2, 6), round(m2, 6) FROM fold WHERE k > 0""
 
 def form_residual(spark, sf_dir):
     """Mean residual and opponents' rating of the last five and ten trusted entries, and the decayed residual."""
-    rated = ratings.residuals(ratings.rate(match_sides(spark, sf_dir))).where("elig")
+    rated = kept(ratings.residuals(ratings.rate(match_sides(spark, sf_dir))).where("elig").select("match_id", "side", "team", "t", "trusted", "residual", "opp_mid"))
     trusted = F.col("trusted")
-    rows = history.last_n(rated, (5, 10), ("residual", "opp_mid"), where=trusted)
-    rows = history.decayed(rows, 60, ("residual",), where=trusted)
+    at = prefix.cuts(rated, keys=["team"])
+    rows = history.last_n(rated, (5, 10), ("residual", "opp_mid"), where=trusted, at=at)
+    rows = history.decayed(rows, 60, ("residual",), where=trusted, at=at)
     cols = ["residual_last_5", "residual_last_10", "opp_mid_last_5", "opp_mid_last_10", "tw_residual", "tw_mass"]
     return rounded(rows.select("match_id", "side", *cols), *cols, places=5)
 
