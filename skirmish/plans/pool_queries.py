@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import history, pool, prefix, ratings, roster
 from ..operators.asof import asof
-from ..operators.streams import ledger, matchups
-from .adapter import match_sides, matches, player_rows, sql
+from ..operators.streams import ledger, matchups, sides
+from ..scratch import kept
+from .adapter import kept_matches, match_sides, matches, player_rows, sql
 from .history_queries import elo_fold, rounded
 
 # Probes are the eligible sides; states on maps come from the same rows.
@@ -22,7 +23,7 @@ pl AS (SELECT * FROM st WHERE last_t >= t - 15552000000000)
 
 def _pools(spark, sf_dir):
     rows = ledger(match_sides(spark, sf_dir))
-    states = pool.map_states(rows)
+    states = kept(pool.map_states(rows))
     return rows, states, pool.pools(rows, states)
 
 
@@ -42,8 +43,8 @@ FROM pl GROUP BY match_id, side""",
 
 
 def pool_advantage(spark, sf_dir):
-    rows, states, pools = _pools(spark, sf_dir)
-    made = pool.advantages(pools, states, rows)
+    rows, _, pools = _pools(spark, sf_dir)
+    made = pool.advantages(pools, rows)
     cols = ["mean_rate_advantage", "median_rate_advantage", "coverage"]
     return rounded(made.select("match_id", "union_maps", "shared_maps", "shared_experienced", *cols), *cols)
 
@@ -80,7 +81,8 @@ FROM (SELECT *, row_number() OVER (PARTITION BY match_id, side ORDER BY round(ra
 def pool_elo(spark, sf_dir):
     """Rating order statistics of the pool, from the fold by map."""
     rated = ratings.rate(match_sides(spark, sf_dir), ("team", "map_name")).where("elig")
-    states = pool.map_states(rated)
+    rated = kept(rated.select("match_id", "side", "team", "map_name", "t", "win", "norm_margin", "change"))
+    states = kept(pool.map_states(rated))
     made = pool.profiles(pool.pools(rated, states))
     cols = ["mean_elo", "best_elo", "second_elo", "third_elo", "worst_elo"]
     return rounded(made.select("match_id", "side", *cols), *cols, places=5)
@@ -196,9 +198,10 @@ d AS (SELECT p.match_id, p.side, coalesce(sum(w), 0) AS mass, (coalesce(sum(w *
 
 
 def _roster(spark, sf_dir):
-    probes = ledger(match_sides(spark, sf_dir))
-    players = player_rows(spark, sf_dir).where("elig")
-    seen = roster.appearances(players)
+    played = kept_matches(spark, sf_dir)
+    probes = ledger(sides(played))
+    players = kept(player_rows(spark, sf_dir, played).where("elig"))
+    seen = kept(roster.appearances(players))
     mass = roster.masses(probes, seen)
     return probes, players, seen, mass, roster.top_five(mass)
 
@@ -219,8 +222,8 @@ games AS (SELECT * FROM (SELECT p.match_id, p.side, g.match_id AS game, g.t, row
 
 
 def core_concentration(spark, sf_dir):
-    _, _, _, mass, core = _roster(spark, sf_dir)
-    return rounded(roster.concentration(mass, core).select("match_id", "side", "roster_size", "concentration"), "concentration")
+    mass = _roster(spark, sf_dir)[3]
+    return rounded(roster.concentration(mass).select("match_id", "side", "roster_size", "concentration"), "concentration")
 
 
 def roster_unique_players(spark, sf_dir):
