@@ -52,7 +52,8 @@ def test_a_side_without_its_opponent_changes_nothing(sides):
 def test_pairs_of_a_roster_are_not_shuffled(sides):
     seen = sides.select("team", (F.col("match_id") % 7).alias("player"), "match_id", "t")
     mass = roster.masses(sides, seen)
-    assert plan(roster.top_five(mass)).count("Exchange") == 2
+    for made in (roster.top_five(mass), roster.concentration(mass)):
+        assert plan(made).count("Exchange hashpartitioning") == 2
     n = {(r["match_id"], r["side"], r["player"]): r["games"] for r in mass.collect()}
     near = [(p.match_id, p.side, s.player) for p in sides.collect() for s in seen.collect() if p.team == s.team and p.t - roster.LOOK_BACK <= s.t < p.t]
     assert n == {k: near.count(k) for k in set(near)}
