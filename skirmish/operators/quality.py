@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import DAY, identity_key, sign_winner
+from ..scratch import kept
 from . import prefix
 
 
@@ -97,22 +102,69 @@ def spelling_groups(names: DataFrame, name: str, count: str) -> DataFrame:
 #: Names that stand for no team, and how near in days two rosters are close.
 GENERIC = r"(?i)^(mix\d*|tbd|team \d+[a-z]*|unknown|amateur team|qualifier)$"
 CLOSE_DAYS = 60
+#: Identities that come next in time or in an event and that each is held against before all pairs are.
+WITNESSES = 8
+#: Identities in a block, of which a task holds two at most.
+BLOCK = 1024
+
+
+def strangers_in(known: DataFrame, name: str, ident: str, keys: list[str], days: int | None) -> DataFrame:
+    """(name) of identities (name, ident, t, players) of which two with equal ``keys`` share no player and, if ``days`` is given, lie so near.
+
+    All pairs of a key are asked, as such sets force: in blocks inside tasks, by products of incidence matrices. No pair becomes a row, a
+    key with many identities is many tasks' work, and none holds more than two blocks.
+    """
+    sizes = known.groupBy(*keys).agg(F.count("*").alias("__n")).where("__n > 1").select(*keys, F.ceil(F.col("__n") / BLOCK).cast("int").alias("__blocks"))
+    dealt = known.join(sizes, keys).withColumn("__mine", F.pmod(F.xxhash64(ident), F.col("__blocks")).cast("int"))
+    dealt = dealt.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
+    groups = dealt.groupBy(*keys, F.least("__mine", "__other").alias("__u"), F.greatest("__mine", "__other").alias("__v"))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(ident)
+        t, lists = np.array(table.column("t")).astype(np.int64), table.column("players").combine_chunks()
+        row = np.repeat(np.arange(len(t)), np.array(lists.value_lengths()).astype(np.int64))
+        players, at = np.unique(np.array(lists.flatten()), return_inverse=True)
+        shared = np.zeros((len(t), len(t)), bool)
+        for low in range(0, len(players), 4096):
+            here = (at >= low) & (at < low + 4096)
+            has = np.zeros((len(t), min(4096, len(players) - low)), np.float32)
+            has[row[here], at[here] - low] = 1
+            shared |= has @ has.T > 0
+        strange = np.triu(~shared, 1)
+        if days is not None:
+            strange &= np.abs((t[:, None] - t[None, :]) // DAY) <= days
+        return table.select([name]).slice(0, 1 if strange.any() else 0)
+
+    return groups.applyInArrow(run, known.select(name).schema)
+
+
+def _days_between(first: Column, second: Column) -> Column:
+    """Whole days from ``second`` to ``first``, rounded down as the reference does, without their sign."""
+    return F.abs(F.floor((first - second) / DAY))
 
 
 def close_strangers(rosters: DataFrame, name: str, ident: str, event: str, time: str = "t") -> DataFrame:
     """Names with two identities of known rosters, in one event or at most CLOSE_DAYS apart, that share no player.
 
-    Identities meet in their event or in neighbouring cells of time, so those far apart never do.
+    One such pair settles a name, and so does a player that all of its identities have. Most names have either, and neither needs all
+    pairs: each identity is held against the next few of its name in time, and of its event. Only names that this leaves open
+    have their pairs compared.
     """
-    known = rosters.where(F.col("player").isNotNull()).groupBy(name, ident).agg(F.min(event).alias("e"), F.min(time).alias("t"))
+    seen = rosters.where(F.col("player").isNotNull())
+    known = kept(seen.groupBy(name, ident).agg(F.min(event).alias("e"), F.min(time).alias("t"), F.collect_set("player").alias("players")))
+    everywhere = known.select(name, F.explode("players").alias("player")).groupBy(name, "player").agg(F.count("*").alias("has")).groupBy(name).agg(F.max("has").alias("has"))
+    counts = known.groupBy(name).agg(F.count("*").alias("n"))
+    in_time, in_event = Window.partitionBy(name).orderBy("t", ident), Window.partitionBy(name, "e").orderBy("t", ident)
+    apart = lambda other: ~F.arrays_overlap("players", other["players"])
+    ask = lambda w, test: reduce(lambda x, y: x | y, [F.coalesce(test(F.lead(F.struct(ident, "t", "players"), k).over(w)), F.lit(False)) for k in range(1, WITNESSES + 1)])
+    close = lambda o: F.when(F.col(ident) < o[ident], _days_between(F.col("t"), o["t"])).otherwise(_days_between(o["t"], F.col("t"))) <= CLOSE_DAYS
+    found = known.select(name, (ask(in_time, lambda o: apart(o) & close(o)) | ask(in_event, apart)).alias("found")).where("found").select(name).distinct()
+    found = kept(found)
+    open_ = counts.join(everywhere, name).where("has < n").select(name).join(found, name, "left_anti")
+    rest = kept(known.join(open_, name, "left_semi"))
     cell = F.floor(F.col("t") / ((CLOSE_DAYS + 1) * DAY))
-    a, b = known.select(name, F.col(ident).alias("a"), F.col("e"), F.col("t").alias("ta")), known.select(name, F.col(ident).alias("b"), F.col("e"), F.col("t").alias("tb"))
-    same = a.join(b, [name, "e"]).where("a < b").select(name, "a", "b")
-    near = a.withColumn("cell", F.floor(F.col("ta") / ((CLOSE_DAYS + 1) * DAY))).drop("e")
-    around = known.select(name, F.col(ident).alias("b"), F.col("t").alias("tb"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-    days = F.abs(F.floor((F.col("ta") - F.col("tb")) / DAY))  # whole days, rounded down as the reference does
-    near = near.join(around, [name, "cell"]).where(F.col("a") < F.col("b")).where(days <= CLOSE_DAYS).select(name, "a", "b")
-    return same.unionByName(near).join(overlaps(rosters, name, ident), [name, "a", "b"], "left_anti").select(name).distinct()
+    near = strangers_in(rest.withColumn("cell", F.explode(F.array(cell, cell + 1))), name, ident, [name, "cell"], CLOSE_DAYS)
+    return found.unionByName(strangers_in(rest, name, ident, [name, "e"], None)).unionByName(near).distinct()
 
 
 def resolve_names(rosters: DataFrame, name: str, ident: str, event: str, time: str = "t") -> DataFrame:
@@ -123,6 +175,7 @@ def resolve_names(rosters: DataFrame, name: str, ident: str, event: str, time: s
     of close_strangers(); all others are exact.
     """
     rows = rosters.where(F.trim(name) != "").withColumn("key", identity_key(F.col(name)))
+    rows = kept(rows.groupBy("key", name, ident, "player").agg(F.min(event).alias(event), F.min(time).alias(time)))
     names = rows.groupBy("key", name).agg(F.count_distinct(ident).alias("n"))
     spellings = names.groupBy("key").agg(F.count("*").alias("spellings"))
     shared = rows.where(F.col("player").isNotNull()).groupBy("key", "player").agg(F.min(name).alias("x"), F.max(name).alias("y")).where("x <> y").select("key").distinct().withColumn("verified", F.lit(True))
