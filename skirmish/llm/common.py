@@ -104,6 +104,22 @@ def in_block_pairs(rows: DataFrame, keys: list[str], block: int) -> DataFrame:
     return cut
 
 
+def in_unlike_pairs(rows: DataFrame, key: str, block: int) -> DataFrame:
+    """Deals rows (key, id, component, top) to groups in which every two rows of a key that differ in their component meet at least once.
+
+    ``top`` is one component of the key, its largest. Its rows need not meet each other: they are cut into blocks, and each block meets the
+    blocks of the others. So a large component with a few strays comes out about once, not once for each of its blocks. The others meet
+    each other as in in_block_pairs(). Groups of the first kind have v < 0.
+    """
+    large = F.col("component") == F.col("top")
+    sizes = rows.groupBy(key).agg(F.ceil(F.count_if(large) / block).cast("int").alias("__large"), F.ceil(F.count_if(~large) / block).cast("int").alias("__rest")).where("__rest > 0")
+    cut = rows.join(apart(sizes, key), key).withColumns({"__own": F.pmod(F.xxhash64("id"), F.when(large, F.col("__large")).otherwise(F.col("__rest"))).cast("int"), "__large_side": large})
+    cut = cut.withColumn("__other", F.explode(F.sequence(F.lit(0), F.when(large, F.col("__rest")).otherwise(F.col("__large")) - 1)))
+    u, v = F.when(F.col("__large_side"), F.col("__own")).otherwise(F.col("__other")), -1 - F.when(F.col("__large_side"), F.col("__other")).otherwise(F.col("__own"))
+    cross = cut.select(key, "id", "component", F.when(F.col("__large_side"), u).otherwise(v).alias("mine"), u.alias("u"), v.alias("v"))
+    return cross.unionByName(in_block_pairs(rows.where(~large).select(key, "id", "component"), [key], block).select(*cross.columns))
+
+
 def map_groups(dealt: DataFrame, keys: list[str], fn: Callable[[pa.Table], dict | None], schema: str) -> DataFrame:
     """``fn`` maps each group of in_block_pairs(), a table of two rows at least, to a dict of columns or None."""
     names = [*keys, "u", "v"]
@@ -169,8 +185,9 @@ def links_in_buckets(buckets: DataFrame, items_of: Callable[[DataFrame], DataFra
     rows' items, whether they link; ``hits`` does the same for all rows of a group at once. No member is paired with all
     others as rows: first each is checked against the smallest of its buckets' leaders (a bucket's smallest id), then against
     those of the others that it does not share a component with by then. That settles all buckets whose
-    members then share a component. In the others, the members (less the leader, whose links are known) are compared in
-    blocks inside tasks, so no link is missed, and each component comes out with the smallest one that it reaches there.
+    members then share a component. In the others, those outside the largest component ask one more member of it; then the members
+    (less the leader, whose links are known) of unlike components are compared in blocks inside tasks, so no link is missed, and each
+    component comes out with the smallest one that it reaches there.
     """
     heads = buckets.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last")
     members = materialize(buckets.join(apart(heads.drop("last"), "bucket"), "bucket").distinct())
@@ -201,7 +218,17 @@ def links_in_buckets(buckets: DataFrame, items_of: Callable[[DataFrame], DataFra
     open_ = rest.groupBy("bucket").agg(F.max("apart").alias("apart"), F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum")).where("apart and n > 1")
     open_ = open_.groupBy("n", "sum").agg(F.min("bucket").alias("bucket")).select("bucket")
     left = materialize(rest.select("bucket", "id", "component").join(open_, "bucket"))
-    dealt = in_block_pairs(left, ["bucket"], block).join(items, "id")
+    # the others of a bucket ask one member of its largest component, another one in each bucket: near copies that the leader is a bit
+    # too far from join here, and their buckets with them
+    sizes = left.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64("id", "bucket")).alias("pick"))
+    largest = sizes.groupBy("bucket").agg(F.max_by(F.struct("component", "pick"), F.struct("n", -F.col("component"))).alias("most")).select("bucket", F.col("most.component").alias("top"), F.col("most.pick").alias("pick"))
+    ranked = materialize(left.join(apart(largest, "bucket"), "bucket"))
+    again = linked_pairs(ranked.where("component <> top").select(F.col("id").alias("a"), F.col("pick").alias("b"), F.col("component").alias("of_a"), F.col("top").alias("of_b")).distinct(), "of_a", "of_b")
+    late = materialize(components(again.select("of_a", "of_b").distinct(), "of_a", "of_b"))
+    newer = lambda k: late.select(F.col("node").alias(k), F.col("component").alias(f"__{k}"))
+    now = ranked.drop("pick").join(newer("component"), "component", "left").join(newer("top"), "top", "left")
+    now = materialize(now.select("bucket", "id", F.coalesce("__component", "component").alias("component"), F.coalesce("__top", "top").alias("top")))
+    dealt = in_unlike_pairs(now, "bucket", block).join(items, "id")
 
     def linked(table: pa.Table) -> dict | None:
         hit = cross_only(hits(table), table)
@@ -216,6 +243,7 @@ def links_in_buckets(buckets: DataFrame, items_of: Callable[[DataFrame], DataFra
 
     more = map_groups(dealt, ["bucket"], linked, "a long, b long")
     stars = label.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    out = materialize(stars.unionByName(more).distinct())
-    drop(members, items, label, left)
+    joined_late = late.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    out = materialize(stars.unionByName(joined_late).unionByName(more).distinct())
+    drop(members, items, label, left, ranked, again, late, now)
     return out
