@@ -1,8 +1,8 @@
 """Personal data by boosted trees over candidate spans, in DataFrame functions only.
 
 High-recall patterns propose spans of each kind, which may overlap. Each span has format features (size, digits, groups)
-and context features (words before it, characters around it). Boosted trees, fitted on the driver to a bounded table of
-distinct feature rows, become one SQL expression; a threshold for each kind, calibrated on candidates that the trees have
+and context features (words before it, characters around it). Boosted trees, fitted to the
+counts of all distinct feature rows of all documents, become one SQL expression; a threshold for each kind, calibrated on candidates that the trees have
 not seen, decides which spans are accepted, and of those that overlap the choice with the greatest sum of chances is taken. Spans of the base patterns that pass their checks always stay; a match of a
 base pattern that fails its check is a negative example and is never redacted as that kind.
 
@@ -25,8 +25,8 @@ from .common import drop, id_text, materialize
 #: Kinds in the order that breaks ties of spans with the same start.
 KINDS = ["email", "ip", "card", "phone", "secret"]
 BASE = KINDS[:4]
-#: Documents (by a hash of their ids and texts) whose candidates fit the trees, about so many; distinct feature rows, at most.
-SAMPLE_DOCS, SAMPLE_ROWS = 5_000, 20_000
+#: Distinct feature rows up to which the trees are grown on the driver; places of scores in a unit; gains this close, in parts, are equal.
+LOCAL_ROWS, GRID, TIE = 20_000, 10_000, 1e-9
 PRECISION = 0.98
 
 # Possessive quantifiers and look-behinds keep each pattern linear in the text: the first try at a run decides for all
@@ -214,7 +214,7 @@ def grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int):
         for cut in np.unique(x[:, f])[:-1]:
             left = x[:, f] <= cut
             gain = score(g[left].sum(), h[left].sum()) + score(g[~left].sum(), h[~left].sum()) - score(g.sum(), h.sum())
-            if gain > best[0]:
+            if gain > best[0] * (1 + TIE):
                 best = (gain, (f, int(cut), left))
     if best[1] is None:
         return value
@@ -269,33 +269,91 @@ def scale(tree, rate: float):
     return (tree[0], tree[1], scale(tree[2], rate), scale(tree[3], rate)) if isinstance(tree, tuple) else tree * rate
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fits the trees to the labelled candidates of about ``sample_docs`` documents: half of the documents, the other half
-    for the thresholds. The sample is written first, so only its texts are searched. Equal feature rows are counted by
-    Spark; at most ``sample_rows`` rows come to the driver."""
-    share = min(1.0, sample_docs / max(1, docs.count()))
-    u = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20))
-    some = materialize(docs.where(u < int(share * (1 << 20))).select((u % 2).alias("half"), "text"))
+def grow_counted(rows: DataFrame, depth: int):
+    """grow() on rows (features, g, h) that stay in Spark: each level is one sum by (node, feature, value), which comes to the driver."""
+    splits: dict[int, tuple[int, int]] = {}
+    value: dict[int, float] = {}
+
+    def at(node: int) -> Column:
+        if node not in splits:
+            return F.lit(node)
+        f, cut = splits[node]
+        return F.when(F.col(FEATURES[f]) <= cut, at(2 * node)).otherwise(at(2 * node + 1))
+
+    score = lambda a, b: a * a / (b + 1.0)
+    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("f"), F.col(f).alias("v")) for k, f in enumerate(FEATURES)]))
+    for level in range(depth):
+        sums = rows.select(at(1).alias("node"), "g", "h", cells.alias("c")).groupBy("node", "c.f", "c.v").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+        by: dict[int, dict[int, list]] = {}
+        for r in sums.where(F.col("node") >= 1 << level).orderBy("node", "f", "v").collect():
+            by.setdefault(r["node"], {}).setdefault(r["f"], []).append((r["v"], r["g"], r["h"]))
+        for node, features in by.items():
+            best, found = 1e-6, None
+            for f, cells_ in features.items():
+                v, g, h = (np.array(c) for c in zip(*cells_, strict=True))
+                gl, hl = np.cumsum(g), np.cumsum(h)
+                value.setdefault(node, float(-gl[-1] / (hl[-1] + 1.0)))
+                for k in range(len(v) - 1):
+                    gain = score(gl[k], hl[k]) + score(gl[-1] - gl[k], hl[-1] - hl[k]) - score(gl[-1], hl[-1])
+                    if gain > best * (1 + TIE):
+                        best, found = gain, (f, int(v[k]), gl[k], hl[k], gl[-1] - gl[k], hl[-1] - hl[k])
+            if found:
+                splits[node] = found[:2]
+                value[2 * node], value[2 * node + 1] = float(-found[2] / (found[3] + 1.0)), float(-found[4] / (found[5] + 1.0))
+
+    def tree(node: int):
+        return (*splits[node], tree(2 * node), tree(2 * node + 1)) if node in splits else value.get(node, 0.0)
+
+    return tree(1)
+
+
+def boost_counted(rows: DataFrame, rounds: int = 12, depth: int = 3, rate: float = 0.5) -> list:
+    """boost() on rows (features, label, n) that stay in Spark."""
+    trees: list = []
+    for _ in range(rounds):
+        p = 1 / (1 + F.exp(-Model(trees, {}).score(F.struct(*FEATURES))))
+        state = rows.select(*FEATURES, (F.col("n") * (p - F.col("label"))).alias("g"), (F.col("n") * p * (1 - p)).alias("h"))
+        trees.append(scale(grow_counted(state, depth), rate))
+    return trees
+
+
+def limits(rows: list) -> dict[str, float]:
+    """The threshold of each kind from rows (kind, place of the score on a grid of GRID a unit, number, number of the right ones): the lowest
+    score from which on enough of what is accepted is right, never one that the trees call unlikely."""
+    out = {}
+    for i, kind in enumerate(KINDS):
+        up = all_ = 0.0
+        for _, at, n, right in sorted((r for r in rows if r[0] == i and r[1] > 0), key=lambda r: -r[1]):
+            up, all_ = up + right, all_ + n
+            if up >= PRECISION * all_:
+                out[kind] = at / GRID - 1e-9
+    return out
+
+
+def fit(docs: DataFrame, local_rows: int = LOCAL_ROWS) -> Model:
+    """Fits the trees to the labelled candidates of all documents: half of the documents, the other half for the thresholds.
+
+    Spark counts equal feature rows. If there are at most ``local_rows`` of them, all come to the driver, where the trees are grown; else
+    they stay in Spark and only sums by node and value of a feature, and by score, come. Both see every candidate."""
+    half = F.pmod(F.xxhash64("doc_id", "text"), F.lit(2))
     keys = ["half", *FEATURES, "label"]
-    rows = examples(some).groupBy(*keys).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *keys).limit(sample_rows).collect()
-    drop(some)
-    x = np.array([[r[f] for f in FEATURES] for r in rows], np.int64).reshape(-1, len(FEATURES))
-    y, w, half = (np.array([r[k] for r in rows], float) for k in ("label", "n", "half"))
-    first = half == 0
-    if len(np.unique(y[first])) < 2:
+    counted = materialize(examples(docs.select(half.alias("half"), "text")).groupBy(*keys).agg(F.count("*").alias("n")))
+    seen = {(r["half"], r["label"]): r["n"] for r in counted.groupBy("half", "label").agg(F.count("*").alias("n")).collect()}
+    if not (seen.get((0, 0)) and seen.get((0, 1))):
+        drop(counted)
         return Model([], {})
-    trees = boost(x[first], y[first], w[first])
-    s = sum(tree_values(t, x) for t in trees)
-    limits = {}
-    for i, kind in enumerate(KINDS):
-        mine = ~first & (x[:, 0] == i)
-        # the lowest score from which on enough of what is accepted is right, never one that the trees call unlikely
-        for v in np.unique(s[mine]):
-            up = mine & (s >= v)
-            if v > 0 and (w[up] * y[up]).sum() >= PRECISION * w[up].sum():
-                limits[kind] = float(v) - 1e-9
-                break
-    return Model(trees, limits)
+    if sum(seen.values()) <= local_rows:
+        rows = counted.where("half = 0").orderBy(*keys).collect()
+        x = np.array([[r[f] for f in FEATURES] for r in rows], np.int64)
+        y, w = (np.array([r[k] for r in rows], float) for k in ("label", "n"))
+        trees = boost(x, y, w)
+    else:
+        trees = boost_counted(counted.where("half = 0"))
+    at = F.floor(Model(trees, {}).score(F.struct(*FEATURES)) * GRID).alias("at")
+    scored = counted.where("half = 1").select("kind", at, "n", (F.col("n") * F.col("label")).alias("right"))
+    found = limits([tuple(r) for r in scored.groupBy("kind", "at").agg(F.sum("n"), F.sum("right")).collect()])
+    drop(counted)
+    return Model(trees, found)
 
 
 _PLAIN = "struct<start:int,rank:int,end:int>"
