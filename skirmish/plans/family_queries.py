@@ -62,7 +62,9 @@ everything AS (SELECT p.match_id, p.side, sum(w) AS mass, sum(w * q.win) / sum(w
 
 
 def family_map(spark, sf_dir):
-    return numbers(compose.map_family(kept(ratings.rate(match_sides(spark, sf_dir), ("team", "map_name")))))
+    # only what the family reads is worked out: no sides' ratings meet again after the rounds
+    rated = ratings.rate(match_sides(spark, sf_dir), ("team", "map_name")).select(*compose.MAP_READS)
+    return numbers(compose.map_family(kept(rated)))
 
 
 MAP = recursive(

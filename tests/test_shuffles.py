@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from skirmish.functions import DAY
 from skirmish.operators import pool, prefix, ratings, roster
+from skirmish.scratch import kept
 
 
 def plan(df):
@@ -63,3 +64,18 @@ def test_advantages_ask_nothing_again(sides):
     states = pool.map_states(sides)
     pools = pool.pools(sides, states)
     assert plan(pool.advantages(pools, sides)).count("Window [last") == plan(pools).count("Window [last") == 1
+
+
+def test_cells_of_ratings_follow_the_rows_of_a_key(spark, monkeypatch):
+    """Many keys with few matches each take few cells, however many rows there are; where the cells lie changes no rating."""
+    monkeypatch.setattr(prefix, "CELL_ROWS", 400)
+    wins = [(i, (7 * i) % 97 * DAY, i % 160, (i * i + 1) % 160, i % 3 % 2) for i in range(800)]
+    rows = [(m, t, s, a if s == 1 else b, float(w if s == 1 else 1 - w), True, True) for m, t, a, b, w in wins if a != b for s in (1, 2)]
+    sides = kept(spark.createDataFrame(rows, "match_id long, t long, side int, team long, win double, elig boolean, trusted boolean"))
+    made, cell = [], ratings.settled
+    monkeypatch.setattr(ratings, "settled", lambda *args: made.append(1) or cell(*args))
+    got = {(r["match_id"], r["side"]): r["elo_before"] for r in ratings.rate(sides).collect()}
+    assert len(made) == 1
+    monkeypatch.setattr(ratings, "KEY_ROWS", 1)
+    want = {(r["match_id"], r["side"]): r["elo_before"] for r in ratings.rate(sides).collect()}
+    assert len(made) > 5 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in got)
