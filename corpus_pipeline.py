@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skirmish.llm import minhash, packing, pii, quality, substrings
-from skirmish.llm.common import materialize, table
+from skirmish.llm.common import marked, materialize, table
 from skirmish.llm.queries import tokenizer
 
 
@@ -31,8 +31,11 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies the document with the smallest id stays; rows that repeat an id stay or go together. Texts without words are
     classes of their own, and rows without an id stay."""
-    gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    gone = materialize(minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct())
+    # other columns may have any names
+    near = marked(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id")), gone, "doc_id")
+    stay = near.where("maybe").join(gone, "doc_id", "left_anti").select("row").unionByName(near.where("not maybe").select("row"))
+    return stay.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,9 @@ from ..scratch import kept as materialize
 
 __all__ = ["drop", "materialize"]
 
+#: Words of marked(), 64 bits each: 1 MB.
+MARK_WORDS = 1 << 17
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -66,6 +69,20 @@ def apart(df: DataFrame, *keys: str) -> DataFrame:
     return df.withColumns({k: F.col(k).bitwiseXOR(F.lit(0).cast(df.schema[k].dataType)) for k in keys})
 
 
+def marked(rows: DataFrame, some: DataFrame, key: str, words: int = MARK_WORDS) -> DataFrame:
+    """``rows`` with ``maybe``: false only where ``some`` has no row of that whole-number key. So rows with long texts need not be shuffled to
+    learn that they have no partner; the others are to be joined as ever.
+
+    A bit stands for the keys of one hash: 64 bits a word and ``words`` words at most, whatever ``some`` has, so the broadcast is bounded.
+    With more keys more bits are set and more rows are joined, none is lost.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(64 * words))
+    word, bit = (lambda c: F.floor(place(c) / 64)), (lambda c: (place(c) % 64).cast("int"))
+    bits = some.groupBy(word(F.col(key)).alias("__word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col(key)))).alias("__bits"))
+    made = rows.withColumn("__word", word(F.col(key))).join(F.broadcast(bits), "__word", "left")
+    return made.withColumn("maybe", F.coalesce(F.getbit("__bits", bit(F.col(key))) == 1, F.lit(False))).select(*rows.columns, "maybe")
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected graph: (node, component), component the smallest node.
 

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import apart, drop, id_text, map_texts, materialize
+from .common import apart, drop, id_text, map_texts, marked, materialize
 from .wordhash import Words, digest, grams
 
 WINDOW = 50
@@ -134,9 +134,10 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFram
     rest = made.select(*own, "anchors").join(copies.select(*own), own, "left_anti")
     each = rest.select(*own, F.explode("anchors").alias("anchor"))
     shared = each.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
-    wanted = each.join(apart(shared, "anchor"), "anchor").groupBy(*own).agg(F.collect_set("anchor").alias("anchors"))
-    found = materialize(extents(docs.join(wanted, own), window, seed))
-    drop(made, firsts)
+    wanted = materialize(each.join(apart(shared, "anchor"), "anchor").groupBy(*own).agg(F.collect_set("anchor").alias("anchors")))
+    asked = marked(docs, wanted, "doc_id").where("maybe").drop("maybe")
+    found = materialize(extents(asked.join(wanted, own), window, seed))
+    drop(made, firsts, wanted)
     spans = extended(found, window).groupBy(*own).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("at"))
     spans = spans.select(*own, F.lit(None).cast("long").alias("first"), F.col("at.start").alias("starts"), F.col("at.end").alias("ends"))
     whole = copies.withColumns({k: F.lit(None).cast("array<int>") for k in ("starts", "ends")})
@@ -177,7 +178,11 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, id_
     lose words nor cost others any; other columns of ``docs`` are not read; an empty table gives no rows.
     """
     rows = tied(id_text(docs, id_col, text_col))
-    joined = rows.join(repeats(rows, window, seed), ["doc_id", "tie"], "left").select("doc_id", "text", "first", "starts", "ends")
+    found = repeats(rows, window, seed)
+    near = marked(rows, found, "doc_id")
+    hit = near.where("maybe").join(found, ["doc_id", "tie"], "left").select("doc_id", "text", "first", "starts", "ends")
+    none = {c: F.lit(None).cast(found.schema[c].dataType) for c in ("first", "starts", "ends")}
+    joined = hit.unionByName(near.where("not maybe").select("doc_id", "text").withColumns(none))
 
     def run(cols: dict) -> dict:
         out: dict[str, list] = {"doc_id": cols["doc_id"], "n_words": [], "n_removed": [], "spans": [], "kept_text": []}
@@ -212,6 +217,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, id_c
                         texts[k] = kept(words, gone)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, batch.column(2).type)], names=["row", "text"])
 
-    joined = own.join(found, ["doc_id", "tie"], "left").select("row", "doc_id", "text", "found")
+    # only texts that may lose words go to what was found for them
+    near = marked(own, found, "doc_id")
+    hit = near.where("maybe").join(found, ["doc_id", "tie"], "left").select("row", "doc_id", "text", "found")
+    joined = hit.unionByName(near.where("not maybe").select("row", "doc_id", "text", F.lit(None).cast(found.schema["found"].dataType).alias("found")))
     made = joined.mapInArrow(run, joined.select("row", "text").schema)
     return made.select(*[F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])

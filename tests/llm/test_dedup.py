@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skirmish.llm import edit_fingerprints, embeddings, minhash, substrings
-from skirmish.llm.common import components
+from skirmish.llm.common import components, marked
 from skirmish.llm.wordhash import Words
 
 from .cases import ODD, empty, table
@@ -343,3 +343,19 @@ def test_hot_bucket_is_dealt_to_blocks(spark):
     df = spark.range(300).withColumn("vec_id", F.col("id")).select("vec_id", F.array(F.lit(1.0), (F.col("vec_id") * 0.0001)).cast("array<float>").alias("embedding"))
     got = embeddings.near_vectors(df, block=32).collect()
     assert {(r["n_links"], r["component_id"]) for r in got} == {(299, 0)}
+
+
+def test_texts_without_a_partner_are_not_shuffled(spark):
+    """Marks lose no key, also where many share a bit; the two dedups join only what is marked, whatever their other columns' type."""
+    rows = spark.range(3000).selectExpr("cast(nullif(id, 7) as int) AS doc_id", "id AS maybe_not")
+    some = spark.range(0, 3000, 30).selectExpr("id AS doc_id").unionByName(spark.range(5000, 5050).selectExpr("id AS doc_id"))
+    for words, most in ((1, 3000), (1 << 17, 105)):
+        got = marked(rows, some, "doc_id", words).collect()
+        hit = {r["doc_id"] for r in got if r["maybe"]}
+        assert len(got) == 3000 and set(range(0, 3000, 30)) <= hit and len(hit) <= most
+    shared = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, f"{shared} end{i}" if i < 2 else f"only text {i}") for i in range(50)], "doc_id int, text string")
+    made = substrings.remove_repeats(docs)
+    assert "Union" in made._jdf.queryExecution().executedPlan().toString()
+    text = {r["doc_id"]: r["text"] for r in made.collect()}
+    assert text == {0: f"{shared} end0", 1: "end1"} | {i: f"only text {i}" for i in range(2, 50)}
