@@ -178,11 +178,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, id_
     lose words nor cost others any; other columns of ``docs`` are not read; an empty table gives no rows.
     """
     rows = tied(id_text(docs, id_col, text_col))
-    found = repeats(rows, window, seed)
-    near = marked(rows, found, "doc_id")
-    hit = near.where("maybe").join(found, ["doc_id", "tie"], "left").select("doc_id", "text", "first", "starts", "ends")
-    none = {c: F.lit(None).cast(found.schema[c].dataType) for c in ("first", "starts", "ends")}
-    joined = hit.unionByName(near.where("not maybe").select("doc_id", "text").withColumns(none))
+    joined = rows.join(repeats(rows, window, seed), ["doc_id", "tie"], "left").select("doc_id", "text", "first", "starts", "ends")
 
     def run(cols: dict) -> dict:
         out: dict[str, list] = {"doc_id": cols["doc_id"], "n_words": [], "n_removed": [], "spans": [], "kept_text": []}
@@ -217,9 +213,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, id_c
                         texts[k] = kept(words, gone)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, batch.column(2).type)], names=["row", "text"])
 
-    # only texts that may lose words go to what was found for them
+    # only texts that may lose words go to what was found for them, and through Python
     near = marked(own, found, "doc_id")
     hit = near.where("maybe").join(found, ["doc_id", "tie"], "left").select("row", "doc_id", "text", "found")
-    joined = hit.unionByName(near.where("not maybe").select("row", "doc_id", "text", F.lit(None).cast(found.schema["found"].dataType).alias("found")))
-    made = joined.mapInArrow(run, joined.select("row", "text").schema)
+    made = hit.mapInArrow(run, hit.select("row", "text").schema).unionByName(near.where("not maybe").select("row", "text"))
     return made.select(*[F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
