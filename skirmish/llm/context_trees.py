@@ -162,14 +162,21 @@ def predictions(levels: list[DataFrame], depth: int) -> DataFrame:
     for d in range(1, depth + 1):
         above = path.select(F.col("at").alias("up"), F.col("mixed").alias("m"), F.col("left").alias("l"))
         here = levels[d].withColumn("up", F.col("at").bitwiseAND((1 << (8 * d)) - 1))
-        path = here.join(above, "up").select("at", (F.col("m") + F.col("l") * F.col("stop") * one).alias("mixed"), (F.col("l") * (1 - F.col("stop"))).alias("left"))
+        # contexts of up to one byte have some 65,000 nodes at most, whatever the corpus
+        path = here.join(F.broadcast(above) if d <= 2 else shuffled(above), "up").select("at", (F.col("m") + F.col("l") * F.col("stop") * one).alias("mixed"), (F.col("l") * (1 - F.col("stop"))).alias("left"))
     return path.select("at", F.col("mixed").alias("p"))
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that both sides are shuffled for. Spark takes a table for as large as its compressed files, also behind an explode, and
+    would send one that grows with the corpus to the driver and to all executors."""
+    return df.hint("merge")
+
+
 def gram_scores(grams: DataFrame, depth: int) -> DataFrame:
     """(gram, score): log10 of the probability of each gram's last byte after the others."""
     levels = trees(grams, depth)
-    made = grams.select("gram", bits(F.col("gram")).alias("x")).select("gram", "x.at", "x.bit").join(predictions(levels, depth), "at")
+    made = grams.select("gram", bits(F.col("gram")).alias("x")).select("gram", "x.at", "x.bit").join(shuffled(predictions(levels, depth)), "at")
     out = materialize(made.groupBy("gram").agg(F.sum(F.log10(F.when(F.col("bit") == 1, F.col("p")).otherwise(1 - F.col("p")))).alias("score")))
     drop(*levels)
     return out
@@ -229,8 +236,8 @@ def score_texts(docs: DataFrame, held_out: Column | None = None, depth: int = 5,
     scores = gram_scores(grams, depth)
     tokens = materialize(seen.where("word is not null").groupBy("word").agg(F.sum("c").alias("c")))
     n, v = tokens.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
-    mine = seen.where("gram is not null").select("part", "gram").join(scores, "gram").select("part", "gram", "score")
-    words = seen.where("word is not null").select("part", "word").join(tokens, "word").select("part", "word", "c")
+    mine = seen.where("gram is not null").select("part", "gram").join(shuffled(scores), "gram").select("part", "gram", "score")
+    words = seen.where("word is not null").select("part", "word").join(shuffled(tokens), "word").select("part", "word", "c")
     models = packed(mine, 0, "grams", "scores").unionByName(packed(words, 1, "words", "counts"), allowMissingColumns=True)
     both = models.unionByName(dealt.withColumn("kind", F.lit(2)), allowMissingColumns=True)
     names = ["part", "kind", "grams", "scores", "words", "counts", "doc_id", "held_out", "text"]

@@ -311,3 +311,19 @@ def test_op13_gathers_from_all_training_texts(spark):
         assert abs(r["base_score"] - sum(math.log10((tokens[w] + 1) / (n + v + 1)) for w in own)) < 1e-6
     unseen = [r for r in got if r["held_out"]]
     assert sum(r["bits_per_byte"] for r in unseen) / len(unseen) < 4
+
+
+def test_lm_sends_no_growing_table_to_all(spark, monkeypatch):
+    plans = []
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialize(df)
+
+    materialize = context_trees.materialize
+    monkeypatch.setattr(context_trees, "materialize", noted)
+    docs = table(spark, [f"a word and {i} more" for i in range(20)])
+    plans.append(context_trees.score_texts(docs)._jdf.queryExecution().executedPlan().toString())
+    # the nodes of the first two depths alone, however small all tables are here
+    assert sum(p.count("SortMergeJoin") for p in plans) == 6
+    assert [p.count("BroadcastHashJoin") for p in plans if "BroadcastHashJoin" in p] == [2]
