@@ -7,16 +7,17 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .metrics import poisson_copies, uniform
+from .draws import Copies, copies_of
+from .metrics import drawing, tasks
 
-#: Rows whose copies are a matrix at once.
+#: Rows whose copies are a matrix at once: a replicate's sum over them fits in 16 bits.
 BLOCK = 1_000
 SWEPT = "first double, pos array<double>, neg array<double>, won array<double>"
 
 
-def _sweep(replicates: int) -> Callable[[Iterator], Iterator]:
-    """Goes through rows in order of the score. A batch's copies are a matrix (rows x replicates), equal scores are added up, and the
-    last score of a batch, which may go on, waits for the next one."""
+def _sweep(copies: Copies | None, replicates: int) -> Callable[[Iterator], Iterator]:
+    """Goes through rows in order of the score, then of the outcome. A batch's copies are a matrix (rows x replicates), equal rows are added up, and
+    the last score of a batch, which may go on, waits for the next one."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -24,28 +25,30 @@ def _sweep(replicates: int) -> Callable[[Iterator], Iterator]:
 
         first = tie = None
         pos, neg, won, tie_pos, tie_neg = (np.zeros(replicates) for _ in range(5))
+
+        def settle() -> None:
+            nonlocal pos, neg, won
+            won += tie_pos * (neg + tie_neg / 2)
+            pos += tie_pos
+            neg += tie_neg
+
         for batch in batches:
             for start in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(start, BLOCK)
-                p, y = np.asarray(part.column(0)), np.asarray(part.column(1))
-                copies = np.asarray(part.column(2).flatten()).reshape(len(p), replicates).astype(float)
-                edge = np.concatenate(([0], np.flatnonzero(p[1:] != p[:-1]) + 1))
-                plus = np.add.reduceat(copies * (y == 1)[:, None], edge)
-                minus = np.add.reduceat(copies * (y != 1)[:, None], edge)
-                if first is None:
-                    first = p[0]
-                elif p[0] == tie:
-                    plus[0] += tie_pos
-                    minus[0] += tie_neg
-                else:
-                    plus, minus = np.vstack([tie_pos, plus]), np.vstack([tie_neg, minus])
-                done, gone = plus[:-1], minus[:-1]
-                won += (done * (neg + np.cumsum(gone, axis=0) - gone / 2)).sum(axis=0)
-                pos, neg = pos + done.sum(axis=0), neg + gone.sum(axis=0)
-                tie, tie_pos, tie_neg = p[-1], plus[-1], minus[-1]
+                p, plus = np.asarray(part.column(0)), np.asarray(part.column(1)) == 1
+                drawn = copies_of(part, "cluster", copies, replicates)
+                edge = [0, *(np.flatnonzero((p[1:] != p[:-1]) | (plus[1:] != plus[:-1])) + 1), len(p)]
+                for a, b in zip(edge, edge[1:], strict=False):
+                    if first is None:
+                        first = tie = p[a]
+                    elif p[a] != tie:
+                        settle()
+                        tie, tie_pos, tie_neg = p[a], np.zeros(replicates), np.zeros(replicates)
+                    same = tie_pos if plus[a] else tie_neg
+                    same += np.add.reduce(drawn[a:b], axis=0, dtype=np.uint16)
         if first is not None:
-            won += tie_pos * (neg + tie_neg / 2)
-            lists = [pa.array([v.tolist()], pa.list_(pa.float64())) for v in (pos + tie_pos, neg + tie_neg, won)]
+            settle()
+            lists = [pa.array([v.tolist()], pa.list_(pa.float64())) for v in (pos, neg, won)]
             yield pa.RecordBatch.from_arrays([pa.array([float(first)]), *lists], names=["first", "pos", "neg", "won"])
 
     return run
@@ -59,9 +62,8 @@ def auc_by_replicate(rows: DataFrame, cluster: str, replicates: int, seed: int =
     meet in their sums alone. Rows without a score or an outcome are left out; an empty table gives no replicates.
     """
     some = rows.where(F.col(p).isNotNull() & F.col(y).isNotNull()).select(F.col(p).cast("double").alias("p"), F.col(y).cast("int").alias("y"), F.col(cluster).alias("cluster"))
-    drawn = F.transform(F.sequence(F.lit(1), F.lit(replicates)), lambda rep: uniform(F.lit(seed), rep, F.col("cluster")))
-    copies = F.transform(drawn, lambda u: poisson_copies(u).cast("tinyint"))
-    ranges = some.repartitionByRange("p").sortWithinPartitions("p").select("p", "y", copies.alias("copies")).mapInArrow(_sweep(replicates), SWEPT)
+    ranges, copies = drawing(some.repartitionByRange(tasks(some), "p").sortWithinPartitions("p", "y"), "cluster", replicates, seed)
+    ranges = ranges.mapInArrow(_sweep(copies, replicates), SWEPT)
     each = ranges.select("first", F.posexplode(F.arrays_zip("pos", "neg", "won")).alias("k", "z")).select("first", (F.col("k") + 1).alias("rep"), "z.*")
     below = F.coalesce(F.sum("neg").over(Window.partitionBy("rep").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     total = each.withColumn("won", F.col("won") + F.col("pos") * below).groupBy("rep").agg(F.sum("won").alias("won"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))

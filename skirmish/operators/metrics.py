@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .draws import WIDTHS, Copies, copies_of, poisson_steps, weighted
 from .prep import clipped
 from .quantiles import quantiles
 
@@ -110,12 +115,22 @@ def uniform(*parts: Column) -> Column:
 
 def poisson_copies(u: Column) -> Column:
     """How many copies a uniform number draws: Poisson(1) by its cumulative probabilities, as far as doubles tell them from 1."""
-    copies, cum, term = F.lit(0), 0.0, 0.36787944117144233
-    for k in range(1, 19):
-        cum += term
-        copies = copies + (u >= cum).cast("int")
-        term /= k
-    return copies
+    return sum(((u >= cum).cast("int") for cum in poisson_steps()), F.lit(0))
+
+
+def tasks(rows: DataFrame) -> int:
+    """Tasks that narrow rows with many draws each are dealt to: by their size alone Spark would make a few of them, about one a core."""
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def drawing(rows: DataFrame, cluster: str, replicates: int, seed: int) -> tuple[DataFrame, Copies | None]:
+    """Rows for a task to draw copies from by draws.copies_of(): as they are, with what draws, where the cluster is a whole number; of any other type
+    the cluster gives way to the list of its copies."""
+    kind = rows.schema[cluster].dataType.simpleString()
+    if kind in WIDTHS:
+        return rows, Copies(seed, replicates, kind)
+    drawn = F.transform(F.sequence(F.lit(1), F.lit(replicates)), lambda rep: poisson_copies(uniform(F.lit(seed), rep, F.col(cluster))).cast("tinyint"))
+    return rows.withColumn(cluster, drawn), None
 
 
 def bootstrap(rows: DataFrame, cluster: str, replicates: int, seed: int = 42, y: str = "y", p: str = "p", other: str | None = None) -> DataFrame:
@@ -123,8 +138,8 @@ def bootstrap(rows: DataFrame, cluster: str, replicates: int, seed: int = 42, y:
     probabilities of another arm of the paired deltas p - other (delta_accuracy, ...) on the same draws.
 
     Every cluster gets in every replicate a Poisson(1) number of copies, drawn from a hash of (seed, replicate, cluster):
-    draws need no order and no second pass, all arms see the same ones. Sums by replicate are combined before the
-    shuffle, so that moves ``replicates`` rows a task.
+    draws need no order and no second pass, all arms see the same ones. A task draws for blocks of clusters and all replicates at once and adds up
+    as it goes, so no draw becomes a row and the shuffle moves ``replicates`` rows a task.
     """
     names = ("accuracy", "log_loss", "brier")
     sums_of = {}
@@ -134,9 +149,25 @@ def bootstrap(rows: DataFrame, cluster: str, replicates: int, seed: int = 42, y:
         sums_of[f"log_loss{k}"] = F.sum(-F.when(F.col(y) == 1, F.log(q)).otherwise(F.log(1 - q)))
         sums_of[f"brier{k}"] = F.sum(F.pow(F.col(arm) - F.col(y), 2))
     each = rows.groupBy(cluster).agg(F.count("*").alias("n"), *[v.alias(m) for m, v in sums_of.items()])
-    drawn = each.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    copies = poisson_copies(uniform(F.lit(seed), F.col("rep"), F.col(cluster)))
-    sums = drawn.withColumn("c", copies).where("c > 0").groupBy("rep").agg(F.sum(F.col("c") * F.col("n")).alias("n"), *[F.sum(F.col("c") * F.col(m)).alias(m) for m in sums_of])
+    dealt, copies = drawing(each, cluster, replicates, seed)
+    arms = list(sums_of)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, gaps = np.zeros((1 + len(arms), replicates)), np.zeros((len(arms), replicates))
+        for batch in batches:
+            for part in (batch.slice(i, 1_000) for i in range(0, batch.num_rows, 1_000)):
+                drawn = copies_of(part, cluster, copies, replicates)
+                values = [part.column(part.schema.get_field_index(m)) for m in ("n", *arms)]
+                total += weighted(drawn, [np.asarray(v.fill_null(0)).astype(float) for v in values])
+                for k, v in enumerate(values[1:]):
+                    if v.null_count:
+                        gaps[k] += weighted(drawn, [np.where(np.asarray(v.is_null()), np.asarray(values[0]), 0).astype(float)])[0]
+        # a sum of nothing is null
+        sums = [pa.array(t, mask=g == total[0]) for t, g in zip(total[1:], gaps, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, replicates + 1, dtype=np.int32)), pa.array(total[0]), *sums], names=["rep", "n", *arms])
+
+    parts = dealt.mapInArrow(run, ", ".join(["rep int", "n double", *[f"{m} double" for m in sums_of]]))
+    sums = parts.groupBy("rep").agg(F.sum("n").alias("n"), *[F.sum(m).alias(m) for m in sums_of]).where("n > 0")
     values = {m: F.col(f"{m}0") / F.col("n") for m in names}
     if other:
         values |= {f"delta_{m}": (F.col(f"{m}0") - F.col(f"{m}1")) / F.col("n") for m in names}
