@@ -149,7 +149,7 @@ def bootstrap(rows: DataFrame, cluster: str, replicates: int, seed: int = 42, y:
         sums_of[f"log_loss{k}"] = F.sum(-F.when(F.col(y) == 1, F.log(q)).otherwise(F.log(1 - q)))
         sums_of[f"brier{k}"] = F.sum(F.pow(F.col(arm) - F.col(y), 2))
     each = rows.groupBy(cluster).agg(F.count("*").alias("n"), *[v.alias(m) for m, v in sums_of.items()])
-    dealt, copies = drawing(each, cluster, replicates, seed)
+    dealt, copies = drawing(each.repartition(tasks(each)), cluster, replicates, seed)
     arms = list(sums_of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

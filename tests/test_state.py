@@ -95,3 +95,14 @@ def test_draws_do_not_leave_numpy(spark):
         all_pairs = sum(n for _, n in pos) * sum(n for _, n in neg)
         won = sum(n * m for i, n in pos for j, m in neg if j < i)
         assert (got[rep] is None) if not all_pairs else got[rep] == pytest.approx(won / all_pairs)
+
+
+def test_draws_are_dealt_to_many_tasks(spark):
+    df = spark.createDataFrame([(i, i % 2, i / 9, None if i else 0.5) for i in range(9)], "match_id long, y int, p double, p2 double")
+    for make, how in ((metrics.bootstrap, "RoundRobinPartitioning(4)"), (intervals.auc_interval, "REPARTITION_BY_NUM")):
+        assert how in make(df, "match_id", 50)._jdf.queryExecution().executedPlan().toString()
+    # a replicate without any row of an arm has no value; here all but one row are null
+    got = {r["metric"]: r for r in metrics.bootstrap(df, "match_id", 200, p="p2").collect()}
+    assert got["brier"]["low"] is not None and got["brier"]["low"] > 0
+    none = {r["metric"]: r["low"] for r in metrics.bootstrap(df.where("match_id > 0"), "match_id", 50, other="p2").collect()}
+    assert none["brier"] > 0 and none["delta_brier"] is None
