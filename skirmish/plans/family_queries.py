@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..operators import compose, ratings
 from ..scratch import kept
-from .adapter import match_sides, sql
+from .adapter import kept_sides, sql
 from .history_queries import LASTS, WINDOWS, elo_fold, rounded
 
 
@@ -17,7 +17,7 @@ def numbers(df, places: int = 6):
 
 
 def family_series(spark, sf_dir):
-    return numbers(compose.series_family(kept(ratings.rate(match_sides(spark, sf_dir)))))
+    return numbers(compose.series_family(kept(ratings.rate(kept_sides(spark, sf_dir)))))
 
 
 SERIES = recursive(
@@ -35,7 +35,7 @@ FROM s LEFT JOIN lasts USING (match_id, side) JOIN fold ON fold.match_id = s.mat
 
 
 def family_form(spark, sf_dir):
-    return numbers(compose.form_family(kept(ratings.rate(match_sides(spark, sf_dir)))), 5)
+    return numbers(compose.form_family(kept(ratings.rate(kept_sides(spark, sf_dir)))), 5)
 
 
 FORM = recursive(
@@ -63,7 +63,7 @@ everything AS (SELECT p.match_id, p.side, sum(w) AS mass, sum(w * q.win) / sum(w
 
 def family_map(spark, sf_dir):
     # only what the family reads is worked out: no sides' ratings meet again after the rounds
-    rated = ratings.rate(match_sides(spark, sf_dir), ("team", "map_name")).select(*compose.MAP_READS)
+    rated = ratings.rate(kept_sides(spark, sf_dir), ("team", "map_name")).select(*compose.MAP_READS)
     return numbers(compose.map_family(kept(rated)))
 
 

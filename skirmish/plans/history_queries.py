@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import history, prefix, ratings
 from ..operators.streams import ledger, matchups
 from ..scratch import kept
-from .adapter import match_sides, sql
+from .adapter import kept_sides, sql
 
 
 def rounded(df, *cols, places=6):
@@ -15,7 +15,7 @@ def rounded(df, *cols, places=6):
 
 
 def prior_win_rate(spark, sf_dir):
-    rows = history.prior_counts(ledger(match_sides(spark, sf_dir)))
+    rows = history.prior_counts(ledger(kept_sides(spark, sf_dir)))
     return rounded(matchups(rows, ["win_rate", "n_before"], ["n_before"], ["n_before"]), "win_rate_diff")
 
 
@@ -44,7 +44,7 @@ FROM s a JOIN s b ON a.match_id = b.match_id AND a.side = 1 AND b.side = 2""",
 
 
 def last5_last10_form(spark, sf_dir):
-    rows = history.last_n(ledger(match_sides(spark, sf_dir)), (5, 10), ("win", "margin"))
+    rows = history.last_n(ledger(kept_sides(spark, sf_dir)), (5, 10), ("win", "margin"))
     return rounded(rows.select("match_id", "side", "win_last_5", "win_last_10", "margin_last_5", "margin_last_10"), "win_last_5", "win_last_10", "margin_last_5", "margin_last_10")
 
 
@@ -57,17 +57,17 @@ FROM ledger LEFT JOIN lasts USING (match_id, side)""",
 
 
 def same_format_rate(spark, sf_dir):
-    rows = history.prior_counts(ledger(match_sides(spark, sf_dir)))
+    rows = history.prior_counts(ledger(kept_sides(spark, sf_dir)))
     return rounded(rows.select("match_id", "side", "format_n", "format_win_rate"), "format_win_rate")
 
 
 def activity_30d(spark, sf_dir):
-    rows = history.prior_counts(ledger(match_sides(spark, sf_dir)))
+    rows = history.prior_counts(ledger(kept_sides(spark, sf_dir)))
     return rows.select("match_id", "side", "n_30d", F.round("days_since_last", 6).alias("days_since_last"))
 
 
 def series_features_v1(spark, sf_dir):
-    rows = history.series_features(ledger(match_sides(spark, sf_dir)))
+    rows = history.series_features(ledger(kept_sides(spark, sf_dir)))
     made = matchups(rows, history.SERIES, ["n_before"], ["n_before"])
     flags = {f"both_{k}": (F.col("n_before_min") >= k).cast("int") for k in (1, 5, 10)}
     return rounded(made.withColumns(flags), *[f"{c}_diff" for c in history.SERIES if c not in ("n_30d", "n_before")])
@@ -88,7 +88,7 @@ FROM f1 a JOIN f1 b ON a.match_id = b.match_id AND a.side = 1 AND b.side = 2""",
 
 
 def decayed_win_rate(spark, sf_dir):
-    rows = history.decayed(ledger(match_sides(spark, sf_dir)), 60, ("win", "margin"))
+    rows = history.decayed(ledger(kept_sides(spark, sf_dir)), 60, ("win", "margin"))
     return rounded(rows.select("match_id", "side", "tw_mass", "tw_win", "tw_margin"), "tw_mass", "tw_win", "tw_margin")
 
 
@@ -101,7 +101,7 @@ GROUP BY p.match_id, p.side"""
 
 
 def elo_series(spark, sf_dir):
-    rated = ratings.rate(match_sides(spark, sf_dir))
+    rated = ratings.rate(kept_sides(spark, sf_dir))
     return rounded(rated.select("match_id", "side", "elo_before", "own_mid"), "elo_before", "own_mid")
 
 
@@ -130,7 +130,7 @@ UNION ALL SELECT match_id, 2, round(e2, 6), round(m2, 6) FROM fold WHERE k > 0""
 
 
 def elo_map(spark, sf_dir):
-    rated = ratings.rate(match_sides(spark, sf_dir), ("team", "map_name"))
+    rated = ratings.rate(kept_sides(spark, sf_dir), ("team", "map_name"))
     return rounded(rated.select("match_id", "side", "elo_before", "own_mid"), "elo_before", "own_mid")
 
 
@@ -144,7 +144,7 @@ UNION ALL SELECT match_id, 2, round(e2, 6), round(m2, 6) FROM fold WHERE k > 0""
 
 def form_residual(spark, sf_dir):
     """Mean residual and opponents' rating of the last five and ten trusted entries, and the decayed residual."""
-    rated = kept(ratings.residuals(ratings.rate(match_sides(spark, sf_dir))).where("elig").select("match_id", "side", "team", "t", "trusted", "residual", "opp_mid"))
+    rated = kept(ratings.residuals(ratings.rate(kept_sides(spark, sf_dir))).where("elig").select("match_id", "side", "team", "t", "trusted", "residual", "opp_mid"))
     trusted = F.col("trusted")
     at = prefix.cuts(rated, keys=["team"])
     rows = history.last_n(rated, (5, 10), ("residual", "opp_mid"), where=trusted, at=at)

@@ -9,7 +9,7 @@ from ..operators import history, pool, prefix, ratings, roster
 from ..operators.asof import asof
 from ..operators.streams import ledger, matchups, sides
 from ..scratch import kept
-from .adapter import kept_matches, match_sides, matches, player_rows, sql
+from .adapter import kept_matches, kept_sides, matches, player_rows, sql
 from .history_queries import elo_fold, rounded
 
 # Probes are the eligible sides; states on maps come from the same rows.
@@ -22,7 +22,7 @@ pl AS (SELECT * FROM st WHERE last_t >= t - 15552000000000)
 
 
 def _pools(spark, sf_dir):
-    rows = ledger(match_sides(spark, sf_dir))
+    rows = ledger(kept_sides(spark, sf_dir))
     states = kept(pool.map_states(rows))
     return rows, states, pool.pools(rows, states)
 
@@ -80,7 +80,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY match_id, side ORDER BY round(ra
 
 def pool_elo(spark, sf_dir):
     """Rating order statistics of the pool, from the fold by map."""
-    rated = ratings.rate(match_sides(spark, sf_dir), ("team", "map_name")).where("elig")
+    rated = ratings.rate(kept_sides(spark, sf_dir), ("team", "map_name")).where("elig")
     rated = kept(rated.select("match_id", "side", "team", "map_name", "t", "win", "norm_margin", "change"))
     states = kept(pool.map_states(rated))
     made = pool.profiles(pool.pools(rated, states))
@@ -103,7 +103,7 @@ ch AS (SELECT l.team, l.t, l.map_name, CASE WHEN l.trusted THEN 32 * (l.win - 1
 
 def map_form(spark, sf_dir):
     """On the match's own map: prior matches, smoothed rate, last five, margins, days since."""
-    rows = ledger(match_sides(spark, sf_dir))
+    rows = ledger(kept_sides(spark, sf_dir))
     rows = prefix.prior(rows, ["team", "map_name"], {"n": F.lit(1).cast("long"), "wins": F.col("win"), "m": F.col("norm_margin")}).fillna(0, ["n", "wins"])
     rows = rows.withColumn("margin_all", F.col("m") / F.nullif("n", F.lit(0)))
     rows = history.last_n(rows, (5, 10), ("win", "norm_margin"), ("team", "map_name"))
@@ -128,7 +128,7 @@ mf AS (SELECT p.match_id, p.side, count(l.match_id) AS n, (coalesce(sum(l.win),
 
 def asof_probe(spark, sf_dir):
     """Read-only probes at the start of each month for every team: its last state strictly before."""
-    rows = ledger(match_sides(spark, sf_dir))
+    rows = ledger(kept_sides(spark, sf_dir))
     states = rows.groupBy("team", "t").agg(F.count("*").alias("c"), F.sum("win").alias("w"))
     from pyspark.sql import Window
 
@@ -148,7 +148,7 @@ LEFT JOIN LATERAL (SELECT nullif(count(*), 0) AS n, CAST(sum(win) AS BIGINT) AS
 
 def requests_of(spark, sf_dir, asked):
     """Requests that change nothing on one time axis with the events: a request sees what came before it alone."""
-    rows = ledger(match_sides(spark, sf_dir))
+    rows = ledger(kept_sides(spark, sf_dir))
     requests = asked.select("match_id", F.unix_micros(F.col("dt").cast("timestamp")).alias("t"), F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("team1").alias("team")), F.struct(F.lit(2).alias("side"), F.col("team2").alias("team")))).alias("s")).select("match_id", "t", "s.*")
     both = rows.select("team", "t", "win", F.lit(None).cast("struct<match_id:bigint,side:int>").alias("ask")).unionByName(requests.select("team", "t", F.lit(None).cast("int").alias("win"), F.struct("match_id", "side").alias("ask")))
     made = prefix.prior(both, ["team"], {"n": F.when(F.col("win").isNotNull(), F.lit(1).cast("long")), "wins": F.col("win")}).where("ask is not null").fillna(0, ["n", "wins"])
@@ -180,7 +180,7 @@ GROUP BY 1, 2"""
 
 def selected_map_decay(spark, sf_dir):
     """Decayed, smoothed rate and margin on the match's map, half-life 90 days."""
-    rows = history.decayed(ledger(match_sides(spark, sf_dir)), 90, ("win", "norm_margin"), ("team", "map_name"))
+    rows = history.decayed(ledger(kept_sides(spark, sf_dir)), 90, ("win", "norm_margin"), ("team", "map_name"))
     rate = (F.coalesce(F.col("tw_win") * F.col("tw_mass"), F.lit(0.0)) + 2) / (F.col("tw_mass") + 4)
     made = matchups(rows.withColumns({"rate": rate, "m": F.coalesce("tw_norm_margin", F.lit(0.0)), "mass": F.col("tw_mass")}), ["rate", "m", "mass"], ["mass"])
     return rounded(made, "rate_diff", "m_diff", "mass_diff", "mass_min")

@@ -8,7 +8,7 @@ from ..functions import best_of, identity_key, to_num
 from ..operators import identity, quality
 from ..operators.streams import ledger
 from ..sources import read_tables
-from .adapter import match_sides, matches, player_rows, raw_matches, sql
+from .adapter import kept_sides, matches, player_rows, raw_matches, sql
 
 
 def rejects(spark, sf_dir):
@@ -198,7 +198,7 @@ LEFT JOIN (SELECT a.name, count(*) AS close_events FROM eras a JOIN eras b ON a.
 
 
 def era_islands(spark, sf_dir):
-    rows = ledger(match_sides(spark, sf_dir))
+    rows = ledger(kept_sides(spark, sf_dir))
     return quality.eras(rows, "team", "map_name").drop("begin", "end")
 
 
@@ -212,7 +212,7 @@ GROUP BY team, era"""
 
 
 def round_replay(spark, sf_dir):
-    rows = quality.running_record(ledger(match_sides(spark, sf_dir)), ["team", "map_name"])
+    rows = quality.running_record(ledger(kept_sides(spark, sf_dir)), ["team", "map_name"])
     return rows.select("match_id", "side", "round", "wins", "losses")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import prep, quality, reports
 from ..operators.streams import sides
-from .adapter import match_sides, matches, sql
+from .adapter import kept_sides, matches, sql
 from .history_queries import WINDOWS, rounded
 from .model_queries import FEATURES, SCORED, SPEC, WEIGHTS, cut, features, linear_groups, scored
 
@@ -45,11 +45,11 @@ def exclusion_reasons(spark, sf_dir):
 
 
 def eligible_always(spark, sf_dir):
-    return match_sides(spark, sf_dir).groupBy("team").agg(F.bool_and("elig").alias("elig"), F.bool_and("trusted").alias("trusted"))
+    return kept_sides(spark, sf_dir).groupBy("team").agg(F.bool_and("elig").alias("elig"), F.bool_and("trusted").alias("trusted"))
 
 
 def flat_summary(spark, sf_dir):
-    return reports.flat_summary(match_sides(spark, sf_dir))
+    return reports.flat_summary(kept_sides(spark, sf_dir))
 
 
 def std_corr(spark, sf_dir):
@@ -168,7 +168,7 @@ SELECT match_id, json, sha256(json) AS sha256 FROM (SELECT match_id, '{"map_name
 
 def roster_eras_sequential(spark, sf_dir):
     """Whether the maps of a team follow each other without overlap, as eras do that hand over."""
-    eras = match_sides(spark, sf_dir).groupBy("team", "map_name").agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"))
+    eras = kept_sides(spark, sf_dir).groupBy("team", "map_name").agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"))
     return reports.sequential(eras, "team")
 
 

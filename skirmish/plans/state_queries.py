@@ -12,7 +12,7 @@ from ..operators import history, intervals, pool, ratings, resume, service, stat
 from ..operators.streams import ledger
 from ..scratch import delete, kept, shared_dir
 from ..sources import read_tables, read_tiers
-from .adapter import match_sides, matches, player_rows, sql
+from .adapter import kept_sides, matches, player_rows, sql
 from .history_queries import FORM, LASTS, WINDOWS, elo_fold, rounded
 from .model_queries import REPLICATES, scored
 
@@ -32,7 +32,7 @@ def scan_union_tier(spark, sf_dir):
 
 def snapshot_resume(spark, sf_dir):
     """Prior counts of all rows: those before the cut-off from nothing, those after it from a written snapshot."""
-    rows = ledger(match_sides(spark, sf_dir))
+    rows = ledger(kept_sides(spark, sf_dir))
     early, late = rows.where(F.col("dt") < F.lit(CUT)), rows.where(F.col("dt") >= F.lit(CUT))
     snapshot = kept(resume.totals(early, "team"))
     parts = [resume.counts_from(state, part, "team").select("match_id", "side", "n_before", "wins_before") for state, part in ((snapshot.limit(0), early), (snapshot, late))]
@@ -48,20 +48,20 @@ FROM ledger WINDOW w AS (PARTITION BY team ORDER BY t RANGE BETWEEN UNBOUNDED PR
 
 def snapshot_summary(spark, sf_dir):
     """Two snapshots merged are the snapshot of all rows."""
-    rows = ledger(match_sides(spark, sf_dir))
+    rows = ledger(kept_sides(spark, sf_dir))
     first = kept(resume.totals(rows.where(F.col("dt") < F.lit(CUT)), "team"))
     return resume.merged(first, resume.totals(rows.where(F.col("dt") >= F.lit(CUT)), "team"), "team")
 
 
 def rating_baseline(spark, sf_dir):
     """Expected score of side 1 from the ratings before the match."""
-    rated = ratings.rate(match_sides(spark, sf_dir)).where("side = 1")
+    rated = ratings.rate(kept_sides(spark, sf_dir)).where("side = 1")
     return rated.select("match_id", F.round(expected(F.col("elo_before"), F.col("opp_elo_before")), 6).alias("p"))
 
 
 def cut_in_two(spark, sf_dir):
     """(cut-off in microseconds, history entries before it, those from it on)."""
-    rows = kept(ledger(match_sides(spark, sf_dir)))
+    rows = kept(ledger(kept_sides(spark, sf_dir)))
     return int(CUT.replace(tzinfo=datetime.timezone.utc).timestamp()) * 1_000_000, rows.where(F.col("dt") < F.lit(CUT)), rows.where(F.col("dt") >= F.lit(CUT))
 
 
@@ -105,7 +105,7 @@ FROM ledger WINDOW w AS (PARTITION BY team, map_name ORDER BY t RANGE BETWEEN UN
 
 def form_resume(spark, sf_dir):
     """The form features, ratings and residuals included, gone on from written states after the cut-off."""
-    sides = kept(match_sides(spark, sf_dir))
+    sides = kept(kept_sides(spark, sf_dir))
     early, late = sides.where(F.col("dt") < F.lit(CUT)), sides.where(F.col("dt") >= F.lit(CUT))
     first = kept(ratings.residuals(ratings.rate(early)).where("elig"))
     state = written(spark, states.form_state(first) | states.rating_state(first, "team"))
@@ -159,7 +159,7 @@ def predict_map(spark, sf_dir):
     rows = matches(spark, sf_dir)
     (suppliers,) = read_tables(spark, sf_dir, "supplier")
     teams = suppliers.select(F.col("s_suppkey").cast("string").alias("name"), F.col("s_suppkey").alias("team"), (F.col("s_suppkey") % 10 != 7).alias("eligible"))
-    rated = ratings.rate(match_sides(spark, sf_dir).where(F.col("dt") < F.lit(CUT)), ("team", "map_name"))
+    rated = ratings.rate(kept_sides(spark, sf_dir).where(F.col("dt") < F.lit(CUT)), ("team", "map_name"))
     asked = rows.select(F.col("match_id").alias("request_id"), F.col("team1").cast("string").alias("team1"), F.col("team2").cast("string").alias("team2"), "map_name", F.col("dt").alias("asked"))
     made = service.predict_map(asked, teams, kept(resume.last_ratings(rated, "team", "map_name")), CUT)
     return rounded(made.select("request_id", "p", "error"), "p")
@@ -181,7 +181,7 @@ def predict_series(spark, sf_dir):
     """Every match asks for its series; the context holds the ratings at the cut-off."""
     (suppliers,) = read_tables(spark, sf_dir, "supplier")
     teams = suppliers.select(F.col("s_suppkey").cast("string").alias("name"), F.col("s_suppkey").alias("team"), (F.col("s_suppkey") % 10 != 7).alias("eligible"))
-    rated = ratings.rate(match_sides(spark, sf_dir).where(F.col("dt") < F.lit(CUT)))
+    rated = ratings.rate(kept_sides(spark, sf_dir).where(F.col("dt") < F.lit(CUT)))
     asked = matches(spark, sf_dir).select(F.col("match_id").alias("request_id"), F.col("team1").cast("string").alias("team1"), F.col("team2").cast("string").alias("team2"), "best_of", F.col("dt").alias("asked"))
     made = service.predict_series(asked, teams, kept(resume.last_ratings(rated, "team")), CUT)
     return rounded(made.select("request_id", "p", "error"), "p")
@@ -201,7 +201,7 @@ FROM (SELECT series.*, 1 / (1 + power(10, (coalesce(last.r[y.i], 1500) - coalesc
 
 
 def list_maps(spark, sf_dir):
-    return service.list_maps(pool.map_states(ledger(match_sides(spark, sf_dir))))
+    return service.list_maps(pool.map_states(ledger(kept_sides(spark, sf_dir))))
 
 
 def bootstrap_auc(spark, sf_dir):

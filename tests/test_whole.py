@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skirmish import streaming
 from skirmish.functions import DAY
-from skirmish.operators import metrics, quality
+from skirmish.operators import metrics, prefix, quality
 from skirmish.plans import model_queries
 from skirmish.plans.adapter import match_sides
 from skirmish.plans.catalog import QUERIES
@@ -89,6 +89,24 @@ def test_a_batch_that_runs_again_adds_nothing(spark, tmp_path):
     assert got[5] == got[4] == (3, 2) and got[6] == (5, 3)
 
 
+def test_a_small_batch_asks_for_little(spark, tmp_path, monkeypatch):
+    """A batch looks for cells of time only if it could have two, and learns schemas and the frontier from what it has written."""
+    sink = streaming.PriorCounts(spark, str(tmp_path / "tables"))
+    rows = [[(1, 1, 7, 10, 1), (2, 1, 7, 20, 0)], [(3, 1, 7, 15, 1), (4, 1, 7, 30, 1)]]
+    monkeypatch.setattr(prefix, "cuts", None)
+    sink(spark.createDataFrame(rows[0], SIDES), 0)
+    sc, group = spark.sparkContext, "a small batch"
+    sc.setJobGroup(group, group)
+    sink(spark.createDataFrame(rows[1], SIDES), 1)
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    jobs = len(sc.statusTracker().getJobIdsForGroup(group))
+    assert jobs <= 30, jobs
+    # another object over the same tables goes on from them
+    more = streaming.PriorCounts(spark, str(tmp_path / "tables"))
+    more(spark.createDataFrame([(5, 1, 7, 12, 0)], SIDES), 2)
+    assert {r["match_id"]: (r["n_before"], r["wins_before"]) for r in more.result().collect()} == {1: (0, 0), 5: (1, 1), 3: (2, 1), 2: (3, 2), 4: (4, 2)}
+
+
 def test_only_identities_of_one_name_are_compared(spark):
     rows = [("A", 1, 10), ("A", 1, 11), ("A", 2, 10), ("A", 2, 11), ("A", 2, 11), ("A", 3, 12), ("A", 3, None), ("B", 4, 10), ("B", 5, None)]
     df = spark.createDataFrame(rows, "name string, id long, player long")
