@@ -242,7 +242,9 @@ VALUES = ["adr", "kast", "kd"]
 def player_form_decay(spark, sf_dir):
     """Decayed form of the inferred roster: mean, best and worst player."""
     _, players, _, _, core = _roster(spark, sf_dir)
-    form = roster.player_form(core.select("match_id", "side", "player", "t"), roster.player_states(players, VALUES), VALUES)
+    # written once: the form counts its cells, finds who is asked for, and answers, and each would make all pairs again
+    asked = kept(core.select("match_id", "side", "player", "t"))
+    form = roster.player_form(asked, roster.player_states(players, VALUES), VALUES)
     made = roster.roster_form(form, VALUES)
     cols = ["mean_mass", "min_mass", *[f"{n}_{v}" for v in VALUES for n in ("mean", "top", "bottom")]]
     return rounded(made, *cols, places=5)

@@ -1,11 +1,17 @@
 """What several steps of a query read is made once."""
 
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
 from skirmish.functions import DAY
 from skirmish.operators import compose, roster
+from skirmish.plans.catalog import QUERIES
 from skirmish.scratch import at_once
 
+FOLDER = "/root/testdata/sf0.001"
+
 
 def games(spark):
     """A match a day of two teams, five players each."""
@@ -39,3 +45,9 @@ def test_recent_side_equals_its_parts(spark):
 
 def test_tables_of_several_threads_keep_their_order(spark):
     assert [d.first()[0] for d in at_once(*[lambda k=k: spark.range(k, k + 1) for k in range(5)])] == list(range(5))
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_form_of_players_makes_pairs_once(spark):
+    df = QUERIES["player_form_decay"][0](spark, FOLDER)
+    assert "e_player#" not in df._jdf.queryExecution().optimizedPlan().toString()
