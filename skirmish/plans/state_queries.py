@@ -12,7 +12,7 @@ from ..operators import history, intervals, pool, ratings, resume, service, stat
 from ..operators.streams import ledger
 from ..scratch import delete, kept, shared_dir
 from ..sources import read_tables, read_tiers
-from .adapter import kept_sides, matches, player_rows, sql
+from .adapter import kept_sides, match_sides, matches, player_rows, sql
 from .history_queries import FORM, LASTS, WINDOWS, elo_fold, rounded
 from .model_queries import REPLICATES, scored
 
@@ -61,7 +61,7 @@ def rating_baseline(spark, sf_dir):
 
 def cut_in_two(spark, sf_dir):
     """(cut-off in microseconds, history entries before it, those from it on)."""
-    rows = kept(ledger(kept_sides(spark, sf_dir)))
+    rows = kept(ledger(match_sides(spark, sf_dir)))
     return int(CUT.replace(tzinfo=datetime.timezone.utc).timestamp()) * 1_000_000, rows.where(F.col("dt") < F.lit(CUT)), rows.where(F.col("dt") >= F.lit(CUT))
 
 
@@ -105,7 +105,7 @@ FROM ledger WINDOW w AS (PARTITION BY team, map_name ORDER BY t RANGE BETWEEN UN
 
 def form_resume(spark, sf_dir):
     """The form features, ratings and residuals included, gone on from written states after the cut-off."""
-    sides = kept(kept_sides(spark, sf_dir))
+    sides = kept(match_sides(spark, sf_dir))
     early, late = sides.where(F.col("dt") < F.lit(CUT)), sides.where(F.col("dt") >= F.lit(CUT))
     first = kept(ratings.residuals(ratings.rate(early)).where("elig"))
     state = written(spark, states.form_state(first) | states.rating_state(first, "team"))
